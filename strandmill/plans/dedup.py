@@ -132,11 +132,11 @@ def chromosome_picker(spark, sf):
 
 
 def seed_stats(spark, sf):
-    """Full, partial and empty genomes with the summed coverage."""
+    """Fully and not fully held genomes with the summed coverage."""
     return coverage_per_assembly(spark, sf).agg(
+        F.count(F.lit(1)).alias("manifests"),
         F.count_if(F.col("state") == "full").alias("full"),
-        F.count_if(F.col("state") == "partial").alias("partial"),
-        F.count_if(F.col("state") == "empty").alias("empty"),
+        F.count_if(F.col("state") != "full").alias("partial"),
         F.sum("have").alias("have"),
         F.sum("total").alias("total"),
     )
@@ -273,9 +273,8 @@ ORACLES = {
     "coverage_per_chromosome": f"WITH {SEG}{HELD}{_CHROM} SELECT * FROM chrom_cov",
     "chromosome_picker": f"WITH {SEG}{HELD}{_CHROM} SELECT * FROM chrom_cov WHERE have < segments",
     "seed_stats": f"""WITH {REFS}{HELD}{_COVERAGE}
-        SELECT count(*) FILTER (state = 'full') AS "full",
-               count(*) FILTER (state = 'partial') AS partial,
-               count(*) FILTER (state = 'empty') AS empty,
+        SELECT count(*) AS manifests, count(*) FILTER (state = 'full') AS "full",
+               count(*) FILTER (state <> 'full') AS partial,
                CAST(sum(have) AS BIGINT) AS have, CAST(sum(total) AS BIGINT) AS total
         FROM states""",
     "delete_plan": f"""WITH {SEG}, own AS (SELECT DISTINCT assembly, hash FROM seg)

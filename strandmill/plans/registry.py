@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandmill.plans import dedup
+from strandmill.plans import dedup, sequences
 
-_MODULES = (dedup,)
+_MODULES = (dedup, sequences)
 
 
 def queries():
