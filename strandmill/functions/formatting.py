@@ -9,20 +9,21 @@ from pyspark.sql import functions as F
 def _one_decimal(n: Column, unit: int) -> Column:
     """``n / unit`` printed with one decimal, rounded as the double quotient would be.
 
-    Only a tie needs care: the double nearest to n / unit may lie above or below it.  The
-    sign of that error is q * unit - n, computed without rounding by splitting q in two.
+    A tie is decided by whether the double nearest to n / unit lies above or below it.
+    That quotient is exact for powers of two.  Otherwise the sign of q * unit - n tells,
+    computed without rounding by splitting q in two.
     """
-    q = n.cast("double") / float(unit)
-    high = q * 134217729.0 - (q * 134217729.0 - q)
-    product = q * float(unit)
-    error = (high * float(unit) - product) + (q - high) * float(unit)
-    above = (product - n.cast("double")) + error
     tenths = F.floor(n * 10 / unit).cast("long")
     twice_rest = (n * 10 - tenths * unit) * 2
-    tie_up = (above > 0) | ((above == 0) & (tenths % 2 == 1))
-    up = (twice_rest > unit) | ((twice_rest == unit) & tie_up)
-    t = tenths + F.when(up, 1).otherwise(0)
-    return F.concat(F.floor(t / 10).cast("string"), F.lit("."), (t % 10).cast("string"))
+    odd = tenths % 2 == 1
+    if unit & (unit - 1):
+        q = n.cast("double") / float(unit)
+        high = q * 134217729.0 - (q * 134217729.0 - q)
+        product = q * float(unit)
+        error = (product - n) + ((high * float(unit) - product) + (q - high) * float(unit))
+        odd = (error > 0) | ((error == 0) & odd)
+    t = tenths + F.when((twice_rest > unit) | ((twice_rest == unit) & odd), 1).otherwise(0)
+    return F.regexp_replace(t.cast("string"), r"^(-?\d*)(\d)$", "$1.$2")
 
 
 def _scaled(n: Column, steps: list[tuple[int, str]], plain: str) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandmill.plans import dedup, sequences
+from strandmill.plans import alignments, dedup, sequences, swarm
 
-_MODULES = (dedup, sequences)
+_MODULES = (dedup, sequences, alignments, swarm)
 
 
 def queries():
