@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandmill.functions import cigar
-from strandmill.session import fill_cores
 
 MIN_BLOCK_LEN = 1_000
 MIN_IDENTITY = 0.90
@@ -91,7 +90,7 @@ def exact_runs(blocks: DataFrame, min_len: int, keep: tuple[str, ...] = ()) -> D
                 names=names + coords,
             )
 
-    given = fill_cores(blocks.where(F.col("cigar") != "")).select(
+    given = blocks.where(F.col("cigar") != "").select(
         *names, "target_start", "query_start", "query_end", "cigar"
     )
     kept = [given.schema[c] for c in names]

@@ -16,6 +16,21 @@ from pyspark.sql import functions as F
 
 BLOCK = "__block"
 
+
+def block_of(position: str, width: int) -> Column:
+    """Number of the block of ``width`` positions a non-negative position falls into."""
+    return F.expr(f"`{position}` div {width}")
+
+
+def _in_blocks(df: DataFrame, keys: Sequence[str], block: Column) -> DataFrame:
+    # Said once here, the optimizer need not add it to one branch of the joins below,
+    # which would keep the two branches from sharing their exchange.
+    rows = df.withColumn(BLOCK, block)
+    for name in (*keys, BLOCK):
+        rows = rows.where(F.col(name).isNotNull())
+    return rows
+
+
 _FOLD = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count}
 _MERGE = {
     "sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
@@ -40,7 +55,7 @@ def running(
     ``aggs`` maps an output name to (``sum``/``count``/``max``/``min``, column);
     ``inclusive`` decides whether a row sees itself.
     """
-    rows = df.withColumn(BLOCK, block)
+    rows = _in_blocks(df, keys, block)
     grain = [*keys, BLOCK]
     here = (
         Window.partitionBy(*grain)
@@ -92,7 +107,7 @@ def following(
     name: str = "next_value",
 ) -> DataFrame:
     """The next larger ``value`` inside the key (null at the end); values are unique."""
-    rows = df.withColumn(BLOCK, block)
+    rows = _in_blocks(df, keys, block)
     grain = [*keys, BLOCK]
     here = Window.partitionBy(*grain).orderBy(value)
     firsts = rows.groupBy(*grain).agg(F.min(value).alias("__first"))

@@ -27,8 +27,10 @@ def merge(ivs: DataFrame, key: str, start: str = "start", end: str = "end", widt
     here = Window.partitionBy(key, "bin").orderBy("s")
     earlier = here.rowsBetween(Window.unboundedPreceding, -1)
     so_far = here.rowsBetween(Window.unboundedPreceding, 0)
-    binned = longest.withColumn("bin", F.floor(F.col("s") / width)).withColumn(
-        "reach", F.max("e").over(earlier)
+    binned = (
+        longest.withColumn("bin", blocked.block_of("s", width))
+        .where(F.col(key).isNotNull() & F.col("bin").isNotNull())
+        .withColumn("reach", F.max("e").over(earlier))
     )
     opened = F.when(F.col("reach").isNull() | (F.col("s") > F.col("reach")), F.col("s"))
     islands = (
@@ -76,7 +78,7 @@ def regions(
     ends = lengths.select(key, F.explode(F.array(F.lit(0).cast("long"), F.col("length"))).alias("pos"))
     points = inside.select(key, "pos").unionByName(ends).distinct()
     pieces = blocked.following(
-        points, [key], "pos", F.floor(F.col("pos") / width), "end"
+        points, [key], "pos", blocked.block_of("pos", width), "end"
     ).where(F.col("end").isNotNull())
     # Last merged interval starting at or before each piece: disjoint intervals are
     # ordered by end as well, so its end is the running maximum.
@@ -88,7 +90,7 @@ def regions(
         F.lit(None).cast("long").alias("end"), F.col("end").alias("reach"),
     ))
     seen = blocked.running(
-        line, [key], ["at", "kind"], F.floor(F.col("at") / width),
+        line, [key], ["at", "kind"], blocked.block_of("at", width),
         {"limit": ("max", F.col("reach"))}, inclusive=True,
     )
     return seen.where("kind = 1").select(

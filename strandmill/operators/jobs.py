@@ -40,7 +40,7 @@ def rollup(jobs: DataFrame) -> DataFrame:
 def tiles(chroms: DataFrame, per_block: int = 65_536) -> DataFrame:
     """One job per query chromosome, numbered in chromosome order."""
     placed = blocked.position(
-        chroms, [], ["chrom"], F.floor(F.col("chrom") / per_block), "n"
+        chroms, [], ["chrom"], blocked.block_of("chrom", per_block), "n"
     )
     return placed.select(
         F.concat(F.lit("job-"), (F.col("n") + 1).cast("string")).alias("job"), "assembly", "chrom"

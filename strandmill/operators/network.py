@@ -160,7 +160,7 @@ def hot_set(accesses: DataFrame, capacity: int, block_us: int) -> DataFrame:
     ).select("key", "at.us", "at.seq", "size")
     recency = F.struct((-F.col("us")).alias("u"), (-F.col("seq")).alias("s"))
     scanned = blocked.running(
-        last, [], [recency], F.floor(-F.col("us") / block_us),
+        last, [], [recency], -blocked.block_of("us", block_us),
         {"newer": ("sum", F.col("size"))},
     )
     fits = F.col("newer") + F.col("size") <= capacity

@@ -52,7 +52,7 @@ def verified_segments(arrived: DataFrame) -> DataFrame:
 
 def chrom_index(chroms: DataFrame, block: Column | None = None) -> DataFrame:
     """0-based place of each chromosome inside its assembly."""
-    block = F.floor(F.col("chrom") / CHROMS_PER_BLOCK) if block is None else block
+    block = blocked.block_of("chrom", CHROMS_PER_BLOCK) if block is None else block
     return blocked.position(chroms, ["assembly"], ["chrom"], block, "chrom_idx")
 
 
@@ -83,7 +83,7 @@ def segments_root(manifest: DataFrame) -> DataFrame:
     """Root hash of each assembly over its segment addresses in genome order."""
     placed = blocked.position(
         manifest.select("assembly", "chrom", "seg_idx", "hash"),
-        ["assembly"], ["chrom", "seg_idx"], F.floor(F.col("chrom") / CHROMS_PER_BLOCK),
+        ["assembly"], ["chrom", "seg_idx"], blocked.block_of("chrom", CHROMS_PER_BLOCK),
     )
     return ordered_root(placed, "assembly", "position", F.col("hash"), "segments_root")
 
@@ -105,7 +105,7 @@ def reference_hash(chroms: DataFrame, group: str) -> DataFrame:
     ), 256)
     tokens = chroms.select(group, "chrom", token.alias("token"))
     placed = blocked.position(
-        tokens, [group], ["chrom"], F.floor(F.col("chrom") / CHROMS_PER_BLOCK)
+        tokens, [group], ["chrom"], blocked.block_of("chrom", CHROMS_PER_BLOCK)
     )
     return ordered_root(placed, group, "position", F.col("token"), "reference_hash")
 
@@ -114,5 +114,5 @@ def offsets(rows: DataFrame, key: str, index: str, length: Column, per_block: in
     """Start of every piece inside its sequence, as a prefix sum of lengths."""
     sized = rows.withColumn("length", length)
     return blocked.running(
-        sized, [key], [index], F.floor(F.col(index) / per_block), {"start": ("sum", F.col("length"))}
+        sized, [key], [index], blocked.block_of(index, per_block), {"start": ("sum", F.col("length"))}
     )

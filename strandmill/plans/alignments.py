@@ -29,7 +29,7 @@ def paf_lines(spark, sf):
             F.lit("dv:f:"), F.col("l_discount").cast("decimal(6,4)").cast("string"))),
         F.concat(F.lit("cg:Z:"), cigar),
     ]
-    return corpus.table(spark, sf, "lineitem").select(
+    return corpus.spread_table(spark, sf, "lineitem").select(
         F.concat_ws("\t", *[f.cast("string") for f in fields]).alias("value")
     )
 

@@ -11,14 +11,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandmill.functions.hashing import address
+from strandmill.session import fill_cores
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table on which rows are expensive to work on."""
+    return fill_cores(table(spark, sf_dir, name))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    return spread_table(spark, sf_dir, "documents").select(
         F.col("source").alias("assembly"),
         F.col("lang").alias("organism"),
         F.col("doc_id").alias("chrom"),
@@ -27,7 +33,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def genomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select("assembly")
+    return table(spark, sf_dir, "documents").select(F.col("source").alias("assembly"))
 
 
 def lines(docs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from strandmill.operators import jobs, network, segments
+from strandmill.operators import blocked, jobs, network, segments
 from strandmill.plans import corpus
 from strandmill.plans.dedup import HELD, SEG
 
@@ -50,7 +50,7 @@ def announce_latest(spark, sf):
 
 def announce_fresh(spark, sf):
     return network.announce_fresh(
-        corpus.events(spark, sf), 300 * SECOND, F.floor(F.col("seq") / 65_536)
+        corpus.events(spark, sf), 300 * SECOND, blocked.block_of("seq", 65_536)
     )
 
 

@@ -36,11 +36,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path or current
 
 
-def fill_cores(df: DataFrame) -> DataFrame:
-    """Spread a scan with fewer splits than cores before CPU-heavy per-row work.
+def fill_cores(scan: DataFrame) -> DataFrame:
+    """Spread a file scan with fewer splits than cores over all of them.
 
-    A large table already arrives in many splits and is passed through unchanged, so
-    the extra exchange only ever touches inputs of a handful of row groups.
+    A large table already arrives in many splits and is passed through unchanged, so the
+    extra exchange only ever touches inputs of a handful of row groups.  Call it on a
+    plain scan only: asking a plan with shuffles for its partitions would run it.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
