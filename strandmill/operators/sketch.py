@@ -20,7 +20,7 @@ HELD_HASHES = 4_000_000
 
 def unsigned(h: Column) -> Column:
     """The hash as its unsigned decimal value."""
-    return h.cast("decimal(20,0)") + F.lit(2**63).cast("decimal(20,0)")
+    return h.cast("decimal(20,0)") + F.lit(str(2**63)).cast("decimal(20,0)")
 
 
 def _smallest(parts: list[np.ndarray], size: int) -> np.ndarray:

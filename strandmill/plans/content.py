@@ -102,28 +102,29 @@ def _cdc(sizes: list[tuple[int, int]]) -> str:
         parts.append(f"""SELECT {low} AS lo, {high} AS hi, doc, i,
           ({terms}) % {1 << bits} = 0 AS cand FROM gb WINDOW w AS (PARTITION BY doc ORDER BY i)""")
     return f"""gear(b, v) AS (
-      SELECT 0, (6364136223846793005::UHUGEINT + 1442695040888963407) % 18446744073709551616::UHUGEINT
+      SELECT 0, (6364136223846793005::UHUGEINT + 1442695040888963407) & 18446744073709551615::UHUGEINT
       UNION ALL
-      SELECT b + 1, (v * 6364136223846793005 + 1442695040888963407) % 18446744073709551616::UHUGEINT
+      SELECT b + 1, (v * 6364136223846793005 + 1442695040888963407) & 18446744073709551615::UHUGEINT
       FROM gear WHERE b < 255
     ),
     hx AS (SELECT doc_id AS doc, source AS assembly, encode(text) AS raw, hex(encode(text)) AS h,
              octet_length(encode(text)) AS n FROM documents),
-    gb AS (SELECT doc, t.i, CAST(v % 1048576 AS BIGINT) AS g
-           FROM hx, unnest(range(0, n)) AS t(i)
-           JOIN gear ON gear.b = CAST('0x' || substr(h, 2 * t.i + 1, 2) AS INTEGER)),
+    bytes AS (SELECT doc, unnest(regexp_extract_all(h, '..')) AS x,
+                generate_subscripts(regexp_extract_all(h, '..'), 1) - 1 AS i FROM hx WHERE n > 0),
+    gb AS (SELECT doc, i, CAST(v & 1048575::UHUGEINT AS BIGINT) AS g
+           FROM bytes JOIN (SELECT printf('%02X', b) AS x, v FROM gear) USING (x)),
     cands AS ({" UNION ALL ".join(parts)}),
-    nxt AS (SELECT lo, hi, doc, i, min(CASE WHEN cand THEN i + 1 END) OVER
-              (PARTITION BY hi, doc ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS e
-            FROM cands),
+    ends AS (SELECT lo, hi, doc, list(i + 1 ORDER BY i) AS ends FROM cands WHERE cand
+             GROUP BY lo, hi, doc),
     size(lo, hi) AS (VALUES {", ".join(str(s) for s in sizes)}),
-    cuts(lo, hi, doc, n, seg_idx, s, e) AS (
-      SELECT lo, hi, doc, n, -1, CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM hx, size WHERE n > 0
+    cuts(lo, hi, doc, n, ends, seg_idx, s, e) AS (
+      SELECT size.lo, size.hi, hx.doc, n, ends, -1, CAST(0 AS BIGINT), CAST(0 AS BIGINT)
+      FROM hx JOIN size ON n > 0
+      LEFT JOIN ends ON ends.doc = hx.doc AND ends.hi = size.hi
       UNION ALL
-      SELECT c.lo, c.hi, c.doc, c.n, c.seg_idx + 1, c.e,
-             least(coalesce(x.e, c.n), c.e + c.hi, c.n)
-      FROM cuts c LEFT JOIN nxt x ON x.hi = c.hi AND x.doc = c.doc AND x.i = c.e + c.lo - 1
-      WHERE c.e < c.n
+      SELECT lo, hi, doc, n, ends, seg_idx + 1, e,
+        least(coalesce(list_min(list_filter(ends, lambda x: x >= e + lo)), n), e + hi, n)
+      FROM cuts WHERE e < n
     ),
     pieces AS (SELECT h.assembly, c.hi AS max_chunk, c.doc AS chrom, c.seg_idx, c.s AS start,
                  c.e - c.s AS length,
@@ -136,25 +137,28 @@ _KMERS = """dna AS (
     string_split(text, chr(10)), lambda l: translate(lower(hex(encode(l))), '0123456789abcdef',
     'ACGTACGTACGTACGT')), 'N') AS s FROM documents
 ),
-k0 AS (
-  SELECT assembly, chrom, substr(s, i, 21) AS k
-  FROM dna, unnest(range(1, length(s) - 19)) AS t(i)
+ch AS (
+  SELECT assembly, chrom, unnest(string_split(s, '')) AS c,
+         generate_subscripts(string_split(s, ''), 1) AS i FROM dna
 ),
+num AS (SELECT assembly, chrom, i, CASE c WHEN 'A' THEN 0 WHEN 'C' THEN 1 WHEN 'G' THEN 2
+          WHEN 'T' THEN 3 END::BIGINT AS c FROM ch),
 k1 AS (
-  SELECT assembly, chrom, least(k, reverse(translate(k, 'ACGT', 'TGCA'))) AS k
-  FROM k0 WHERE k NOT LIKE '%N%'
+  SELECT assembly, chrom, {fwd} AS f, {rev} AS r FROM num
+  WINDOW w AS (PARTITION BY chrom ORDER BY i)
 ),
-k2 AS (SELECT assembly, min(chrom) AS chrom, k FROM k1 GROUP BY assembly, k),
-code AS (
-  SELECT assembly, chrom, CAST(CAST(replace(replace(replace(replace(k,
-    'A', '00'), 'C', '01'), 'G', '10'), 'T', '11') AS BIT) AS BIGINT)::UHUGEINT AS x FROM {src}
-),
-m0 AS (SELECT *, (x + 11400714819323198485) % 18446744073709551616::UHUGEINT AS y FROM code),
-m1 AS (SELECT *, (xor(y, y >> 30) * 13787848793156543929) % 18446744073709551616::UHUGEINT AS z FROM m0),
-m2 AS (SELECT *, (xor(z, z >> 27) * 10723151780598845931) % 18446744073709551616::UHUGEINT AS u FROM m1),
-hashed AS (SELECT assembly, chrom, xor(u, u >> 31) AS h FROM m2)"""
-KMERS = _KMERS.replace("{src}", "k2")
-SKETCH = KMERS + """,
+code AS (SELECT assembly, chrom, least(f, r)::UHUGEINT AS x FROM k1 WHERE f IS NOT NULL),
+m0 AS (SELECT *, (x + 11400714819323198485) & {m} AS y FROM code),
+m1 AS (SELECT *, (xor(y, y >> 30) * 13787848793156543929) & {m} AS z FROM m0),
+m2 AS (SELECT *, (xor(z, z >> 27) * 10723151780598845931) & {m} AS u FROM m1),
+hashed AS (SELECT assembly, chrom, xor(u, u >> 31) AS h FROM m2)""".replace(
+    "{m}", "18446744073709551615::UHUGEINT"
+).replace(
+    "{fwd}", " + ".join(f"lag(c, {j}) OVER w * {4**j}" for j in range(21))
+).replace(
+    "{rev}", " + ".join(f"(3 - lag(c, {j}) OVER w) * {4**(20 - j)}" for j in range(21))
+)
+SKETCH = _KMERS + """,
 sk AS (
   SELECT * FROM (SELECT assembly, h, row_number() OVER (PARTITION BY assembly ORDER BY h) AS rank
                  FROM (SELECT DISTINCT assembly, h FROM hashed)) WHERE rank <= 1000
@@ -206,7 +210,7 @@ ORACLES = {
                 JOIN sz y ON y.assembly = sh.b AND y.max_chunk = sh.max_chunk""",
     "sketch_bottomk": f"""WITH {SKETCH}
         SELECT assembly, rank, CAST(h AS VARCHAR) AS hash FROM sk""",
-    "kmer_canonical": f"""WITH {_KMERS.replace('{src}', 'k1')}
+    "kmer_canonical": f"""WITH {_KMERS}
         SELECT chrom, CAST(min(h) AS VARCHAR) AS hash FROM hashed GROUP BY chrom""",
     "sketch_jaccard": f"WITH {SCORES} SELECT assembly, round(j, 6) AS jaccard FROM sims",
     "sketch_similarity": f"WITH {SCORES} SELECT assembly, similarity FROM sims",
