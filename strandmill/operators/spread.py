@@ -1,4 +1,4 @@
-"""Equi-join of a table with skewed keys to a table with one row per key."""
+"""Equi-join of a table with skewed keys to a table with few rows per key."""
 
 from __future__ import annotations
 
@@ -29,7 +29,7 @@ def spread_join(
     """
     key = list(key)
     fan = F.ceil(F.col(copies) / F.lit(hot_rows)).cast("int")
-    hot = one.where(F.col(copies) > hot_rows).select(*key, fan.alias("__fan"))
+    hot = one.where(F.col(copies) > hot_rows).select(*key, fan.alias("__fan")).distinct()
     salted = (
         many.join(F.broadcast(hot), key, "left")
         .withColumn(

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandmill.plans import alignments, content, dedup, sequences, swarm
+from strandmill.plans import alignments, content, dedup, matching, sequences, swarm
 
-_MODULES = (dedup, sequences, alignments, swarm, content)
+_MODULES = (dedup, sequences, alignments, swarm, content, matching)
 
 
 def queries():
