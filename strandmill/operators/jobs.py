@@ -26,6 +26,29 @@ def reclaim(jobs: DataFrame, now: Column, lease: Column) -> DataFrame:
     })
 
 
+def report(jobs: DataFrame, reports: DataFrame) -> DataFrame:
+    """Apply workers' reports (job, worker, kind, at, found, valid) to the job table.
+
+    Only the worker holding a claim is heard: a heartbeat renews its lease, a completion
+    ends the job with the counts found and verified.
+    """
+    done = F.col("kind") == "complete"
+    heard = reports.groupBy("job", "worker").agg(
+        F.max("at").alias("at"), F.bool_or(done).alias("complete"),
+        F.sum(F.when(done, F.col("found")).otherwise(0)).alias("found"),
+        F.sum(F.when(done, F.col("valid")).otherwise(0)).alias("valid"),
+    )
+    holds = (F.col("state") == "claimed") & F.col("at").isNotNull()
+    ends = holds & F.col("complete")
+    return jobs.join(heard, ["job", "worker"], "left").select(
+        *[c for c in jobs.columns if c not in ("state", "claimed_at")],
+        F.when(ends, "done").otherwise(F.col("state")).alias("state"),
+        F.when(holds, F.greatest("claimed_at", "at")).otherwise(F.col("claimed_at")).alias("claimed_at"),
+        F.when(ends, F.col("found")).alias("found"),
+        F.when(ends, F.col("valid")).alias("valid"),
+    )
+
+
 def rollup(jobs: DataFrame) -> DataFrame:
     def n(state: str) -> Column:
         return F.count_if(F.col("state") == state).alias(state)

@@ -82,25 +82,29 @@ def matches_search(query: str, *cols: str) -> Column:
 ANNOUNCE, HEARTBEAT, LEAVE, SERVED = "signup", "view", "error", "click"
 
 
-def nodes(log: DataFrame, now: Column, timeout_us: int) -> DataFrame:
-    """Current members: announced since their last leave, with age and liveness.
+def node_facts(log: DataFrame) -> DataFrame:
+    """Per node: latest announcement and its content, latest leave, last sign of life.
 
     Each fact is a partial aggregate, so a node that wrote a third of the log costs no
-    more than any other.
+    more than any other, and the same aggregate runs on a stream.
     """
     at = F.struct("us", "seq")
     is_a, is_h, is_l = (F.col("op") == op for op in (ANNOUNCE, HEARTBEAT, LEAVE))
-    per = log.where(is_a | is_h | is_l).groupBy("node").agg(
+    return log.where(is_a | is_h | is_l).groupBy("node").agg(
         F.max(F.when(is_a, at)).alias("announced"),
         F.max(F.when(is_l, at)).alias("left_at"),
         F.max(F.when(is_a | is_h, F.col("us"))).alias("last_seen"),
         F.max_by(F.when(is_a, F.col("content")), F.when(is_a, at)).alias("content"),
     )
+
+
+def members(facts: DataFrame, now: Column, timeout_us: int) -> DataFrame:
+    """Nodes announced since their last leave, with age and liveness."""
     member = F.col("announced").isNotNull() & (
         F.col("left_at").isNull() | (F.col("announced") > F.col("left_at"))
     )
     age = now - F.col("last_seen")
-    return per.where(member).select(
+    return facts.where(member).select(
         "node", "content", "last_seen",
         F.floor(age / 1_000_000).cast("long").alias("age_s"),
         (age <= timeout_us).alias("online"),

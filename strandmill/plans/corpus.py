@@ -70,10 +70,9 @@ def epoch_micros(ts: Column) -> Column:
     return (day * 86_400 + second) * 1_000_000 + micros
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def as_log(events: DataFrame) -> DataFrame:
     """The node log: node, operation, content id and transferred bytes."""
-    e = table(spark, sf_dir, "events")
-    return e.select(
+    return events.select(
         F.col("event_id").alias("seq"),
         epoch_micros(F.col("ts")).alias("us"),
         F.col("user_id").alias("node"),
@@ -81,3 +80,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value").alias("bytes"),
         F.get_json_object("props", "$.k").cast("long").alias("content"),
     )
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_log(table(spark, sf_dir, "events"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandmill.plans import alignments, content, dedup, matching, sequences, swarm
+from strandmill.plans import alignments, content, dedup, matching, sequences, streams, swarm
 
-_MODULES = (dedup, sequences, alignments, swarm, content, matching)
+_MODULES = (dedup, sequences, alignments, swarm, content, matching, streams)
 
 
 def queries():

@@ -22,7 +22,7 @@ LOG_BLOCK = 3_600 * SECOND
 def _nodes(spark, sf):
     log = corpus.events(spark, sf)
     now = log.agg(F.max("us")).scalar()
-    return network.nodes(log, now, timeout_us=DAY)
+    return network.members(network.node_facts(log), now, timeout_us=DAY)
 
 
 def tracker_nodes(spark, sf):
@@ -122,6 +122,20 @@ def job_reclaim(spark, sf):
     return done.select("job", "state", "worker")
 
 
+def job_reports(spark, sf):
+    """Line items report on jobs: finished ones complete them, others are heartbeats."""
+    reports = corpus.table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("job"),
+        F.concat(F.lit("worker-"), F.col("l_suppkey").cast("string")).alias("worker"),
+        F.when(F.col("l_linestatus") == "F", "complete").otherwise("heartbeat").alias("kind"),
+        corpus.epoch_micros(F.col("l_shipdate")).alias("at"),
+        F.lit(1).cast("long").alias("found"),
+        F.when(F.col("l_returnflag") == "N", 1).otherwise(0).cast("long").alias("valid"),
+    )
+    done = jobs.report(_jobs(spark, sf), reports)
+    return done.select("job", "state", "worker", "claimed_at", "found", "valid")
+
+
 def job_rollup(spark, sf):
     """Matches found and verified per job come from its line items."""
     found = corpus.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("job")).agg(
@@ -139,7 +153,7 @@ QUERIES = {
     for f in (
         tracker_nodes, tracker_peers, node_rollup, announce_latest, announce_fresh,
         announce_spot_check, rate_window, served_feed_lastn, events_tail, activity_summary,
-        lru_contents, job_list, job_claim_fifo, job_reclaim, job_rollup, tile_jobs,
+        lru_contents, job_list, job_claim_fifo, job_reclaim, job_reports, job_rollup, tile_jobs,
     )
 }
 
@@ -211,6 +225,17 @@ ORACLES = {
         SELECT job, CASE WHEN state = 'claimed' AND queued_at < cut THEN 'pending' ELSE state END AS state,
                CASE WHEN state = 'claimed' AND queued_at < cut THEN NULL ELSE worker END AS worker
         FROM jobs, c""",
+    "job_reports": f"""WITH {JOBS},
+        r AS (SELECT l_orderkey AS job, 'worker-' || l_suppkey AS worker,
+                max(epoch_us(l_shipdate)) AS at, bool_or(l_linestatus = 'F') AS complete,
+                count(*) FILTER (l_linestatus = 'F') AS found,
+                count(*) FILTER (l_linestatus = 'F' AND l_returnflag = 'N') AS valid
+              FROM lineitem GROUP BY 1, 2)
+        SELECT j.job, CASE WHEN state = 'claimed' AND complete THEN 'done' ELSE state END AS state,
+          j.worker, CASE WHEN state = 'claimed' THEN greatest(queued_at, r.at) ELSE queued_at END AS claimed_at,
+          CASE WHEN state = 'claimed' AND complete THEN found END AS found,
+          CASE WHEN state = 'claimed' AND complete THEN valid END AS valid
+        FROM jobs j LEFT JOIN r ON r.job = j.job AND r.worker = j.worker""",
     "job_rollup": f"""WITH {JOBS},
         f AS (SELECT l_orderkey AS job, count(*) AS found, count(*) FILTER (l_linestatus = 'F') AS valid
               FROM lineitem GROUP BY l_orderkey)
