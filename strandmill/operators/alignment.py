@@ -21,25 +21,27 @@ def _lenient_int(text: Column) -> Column:
     ).otherwise(0).cast("long")
 
 
+_FLOAT = r"[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?"
+
+
+def _tag(prefix: str, body: str) -> Column:
+    """Value of the last readable tag after the twelve fixed fields; empty if none."""
+    return F.regexp_extract(
+        "line", rf"^(?:[^\t]*\t){{12}}(?:.*\t)?{prefix}({body})(?:\t.*)?$", 1
+    )
+
+
 def parse_paf(lines: DataFrame, value: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """Alignment blocks from PAF text; lines with fewer than 12 fields are dropped.
 
     Identity is matches / block_len unless a readable ``dv:f:`` tag gives the divergence.
     """
-    fields = lines.select(*keep, F.split(F.col(value), "\t", -1).alias("f")).where(F.size("f") >= 12)
-    tags = F.slice("f", 13, F.greatest(F.size("f") - 12, F.lit(0)))
-
-    def last_tag(prefix: str, read) -> Column:
-        found = F.transform(
-            F.filter(tags, lambda t: F.startswith(t, F.lit(prefix))),
-            lambda t: read(F.substring(t, len(prefix) + 1, 1_000_000_000)),
-        )
-        return F.try_element_at(F.filter(found, lambda v: v.isNotNull()), F.lit(-1))
-
+    rows = lines.select(*keep, F.col(value).alias("line"), F.split(F.col(value), "\t", -1).alias("f"))
+    rows = rows.where(F.size("f") >= 12)
     matches, block_len = _lenient_int(F.col("f")[9]), _lenient_int(F.col("f")[10])
     plain = F.when(block_len > 0, matches / block_len).otherwise(0.0)
-    divergence = last_tag("dv:f:", lambda v: v.try_cast("double"))
-    return fields.select(
+    divergence = _tag("dv:f:", _FLOAT).try_cast("double")
+    return rows.select(
         *keep,
         F.col("f")[0].alias("query_name"),
         _lenient_int(F.col("f")[2]).alias("query_start"),
@@ -51,7 +53,7 @@ def parse_paf(lines: DataFrame, value: str = "value", keep: tuple[str, ...] = ()
         matches.alias("matches"),
         block_len.alias("block_len"),
         F.coalesce(1.0 - divergence, plain).alias("identity"),
-        F.coalesce(last_tag("cg:Z:", lambda v: v), F.lit("")).alias("cigar"),
+        _tag("cg:Z:", r"[^\t]*").alias("cigar"),
     )
 
 
@@ -71,7 +73,7 @@ def exact_runs(blocks: DataFrame, min_len: int, keep: tuple[str, ...] = ()) -> D
     """Maximal runs of ``=`` with at least ``min_len`` bases, in both coordinate systems.
 
     On the reverse strand the query is walked from its end.  A block is worked on where
-    it lies, so no shuffle is needed.
+    it lies, so no shuffle is needed; one without a CIGAR has no runs.
     """
     names = [*keep, "query_name", "target_name", "strand"]
     coords = ["target_start", "target_end", "query_start", "query_end"]
@@ -90,7 +92,7 @@ def exact_runs(blocks: DataFrame, min_len: int, keep: tuple[str, ...] = ()) -> D
                 names=names + coords,
             )
 
-    given = blocks.where(F.col("cigar") != "").select(
+    given = blocks.select(
         *names, "target_start", "query_start", "query_end", "cigar"
     )
     kept = [given.schema[c] for c in names]

@@ -110,9 +110,12 @@ def strategy(sim: Column) -> Column:
     return F.when(sim >= DELTA_AT, "delta").when(sim >= REINDEX_AT, "reindex").otherwise("skip")
 
 
-def against(sketch_table: DataFrame, group: str, query: str, kmer: int = KMER, size: int = SIZE) -> DataFrame:
-    """Similarity of one sketch to every other; its hashes (at most ``size``) are a scalar."""
-    mine = sketch_table.where(F.col(group) == query).select("hashes").scalar()
-    others = sketch_table.where(F.col(group) != query).withColumn("__mine", mine)
+def against(sketch_table: DataFrame, group: str, query: DataFrame, kmer: int = KMER, size: int = SIZE) -> DataFrame:
+    """Similarity of every sketch to the single sketch in ``query``.
+
+    The query's hashes (at most ``size``) become a scalar; it is sketched on its own, so
+    that its filter reaches the scan of its sequences.
+    """
+    others = sketch_table.withColumn("__mine", query.select("hashes").scalar())
     scored = others.select(group, jaccard(F.col("__mine"), F.col("hashes"), size).alias("jaccard"))
     return scored.withColumn("similarity", similarity(F.col("jaccard"), kmer))

@@ -39,8 +39,9 @@ def _bases(spark, sf):
     )
 
 
-def _sketches(spark, sf):
-    return sketch.sketches(sketch.bottom_hashes(_bases(spark, sf), "assembly", "seq"), "assembly")
+def _sketches(spark, sf, which):
+    chroms = _bases(spark, sf).where(which)
+    return sketch.sketches(sketch.bottom_hashes(chroms, "assembly", "seq"), "assembly")
 
 
 def sketch_bottomk(spark, sf):
@@ -58,7 +59,11 @@ def kmer_canonical(spark, sf):
 
 
 def _scores(spark, sf):
-    return sketch.against(_sketches(spark, sf), "assembly", "src0")
+    """Candidates scored against one query genome."""
+    name = F.col("assembly")
+    return sketch.against(
+        _sketches(spark, sf, name != "src0"), "assembly", _sketches(spark, sf, name == "src0")
+    )
 
 
 def sketch_jaccard(spark, sf):
