@@ -9,8 +9,12 @@ ALGORITHM = "sha256:"
 
 
 def address(data: Column) -> Column:
-    """Self-describing content address of a string or binary column."""
-    return F.concat(F.lit(ALGORITHM), F.sha2(data, 256))
+    """Self-describing content address of a string or binary column.
+
+    An absent value has the empty address.  The column is never null, so joins on it need
+    no null filter, which would hash everything a second time.
+    """
+    return F.coalesce(F.concat(F.lit(ALGORITHM), F.sha2(data, 256)), F.lit(""))
 
 
 def bare(hash_: Column) -> Column:

@@ -23,12 +23,26 @@ def block_of(position: str, width: int) -> Column:
 
 
 def _in_blocks(df: DataFrame, keys: Sequence[str], block: Column) -> DataFrame:
-    # Said once here, the optimizer need not add it to one branch of the joins below,
-    # which would keep the two branches from sharing their exchange.
+    """Rows laid out by (key, block), the one exchange both levels work from.
+
+    Nulls are dropped here once; otherwise the optimizer adds that filter to only one of
+    the branches, and they can no longer share the exchange.
+    """
     rows = df.withColumn(BLOCK, block)
     for name in (*keys, BLOCK):
         rows = rows.where(F.col(name).isNotNull())
-    return rows
+    return rows.repartition(*keys, BLOCK)
+
+
+def _per_block(rows: DataFrame, grain: Sequence[str], *folds: Column) -> DataFrame:
+    """One summary row per block, reading the same columns as the row-level branch.
+
+    With fewer columns the summary would get an exchange of its own and everything before
+    it would be computed a second time.
+    """
+    rest = [c for c in rows.columns if c not in grain]
+    touched = F.max(F.xxhash64(*rest)).alias("__touched")
+    return rows.groupBy(*grain).agg(*folds, touched).where(F.col("__touched").isNotNull())
 
 
 _FOLD = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count}
@@ -67,8 +81,8 @@ def running(
         .orderBy(BLOCK)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    totals = rows.groupBy(*grain).agg(
-        *[_FOLD[kind](col).alias(name) for name, (kind, col) in aggs.items()]
+    totals = _per_block(
+        rows, grain, *[_FOLD[kind](col).alias(name) for name, (kind, col) in aggs.items()]
     )
     carry = totals.select(
         *grain,

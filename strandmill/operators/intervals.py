@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandmill.operators import blocked
-from strandmill.operators.spread import spread_join
 
 BIN = 65_536
 
@@ -70,30 +69,30 @@ def regions(
 
     ``cuts`` has (key, pos), ``lengths`` (key, length) and ``merged`` disjoint intervals.
     """
-    unique = cuts.select(key, "pos").distinct()
-    counted = lengths.join(unique.groupBy(key).agg(F.count(F.lit(1)).alias("cuts")), key)
-    inside = spread_join(unique, counted, [key], "cuts", ["pos"]).where(
-        (F.col("pos") > 0) & (F.col("pos") < F.col("length"))
-    )
     ends = lengths.select(key, F.explode(F.array(F.lit(0).cast("long"), F.col("length"))).alias("pos"))
-    points = inside.select(key, "pos").unionByName(ends).distinct()
+    points = cuts.where("pos > 0").select(key, "pos").unionByName(ends).distinct()
     pieces = blocked.following(
         points, [key], "pos", blocked.block_of("pos", width), "end"
     ).where(F.col("end").isNotNull())
-    # Last merged interval starting at or before each piece: disjoint intervals are
-    # ordered by end as well, so its end is the running maximum.
-    line = pieces.select(
-        key, F.col("pos").alias("at"), F.lit(1).alias("kind"), "end",
-        F.lit(None).cast("long").alias("reach"),
-    ).unionByName(merged.select(
-        key, F.col("start").alias("at"), F.lit(0).alias("kind"),
-        F.lit(None).cast("long").alias("end"), F.col("end").alias("reach"),
-    ))
+    # One walk along the line answers both questions about a piece.  The last merged
+    # interval starting at or before it has the largest end so far, disjoint intervals
+    # being ordered by end as well; and beyond the length marker nothing is a region.
+    none = F.lit(None).cast("long")
+    line = (
+        pieces.select(key, F.col("pos").alias("at"), F.lit(1).alias("kind"), "end",
+                      none.alias("reach"), none.alias("stop"))
+        .unionByName(merged.select(
+            key, F.col("start").alias("at"), F.lit(0).alias("kind"), none.alias("end"),
+            F.col("end").alias("reach"), none.alias("stop")))
+        .unionByName(lengths.select(
+            key, F.col("length").alias("at"), F.lit(0).alias("kind"), none.alias("end"),
+            none.alias("reach"), F.col("length").alias("stop")))
+    )
     seen = blocked.running(
         line, [key], ["at", "kind"], blocked.block_of("at", width),
-        {"limit": ("max", F.col("reach"))}, inclusive=True,
+        {"limit": ("max", F.col("reach")), "past": ("max", F.col("stop"))}, inclusive=True,
     )
-    return seen.where("kind = 1").select(
+    return seen.where("kind = 1 AND past IS NULL").select(
         key, F.col("at").alias("start"), "end",
         F.coalesce(F.col("end") <= F.col("limit"), F.lit(False)).alias("shared"),
     )

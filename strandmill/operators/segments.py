@@ -252,7 +252,10 @@ def neighbour_sharing(refs: DataFrame, genomes: DataFrame, by: list[str] | None
     b = refs.join(pairs, refs["assembly"] == pairs["b"]).select(
         *by, "hash", "a", "b", "occurrences"
     )
-    a = refs.select(*by, "hash", F.col("assembly").alias("a"), F.lit(True).alias("in_a"))
+    # Reads the same columns as the other uses of ``refs``, so they share its exchange.
+    a = refs.select(
+        *by, "hash", F.col("assembly").alias("a"), (F.col("occurrences") > 0).alias("in_a")
+    )
     shared = b.join(a, [*by, "hash", "a"], "left").groupBy(*by, "a", "b").agg(
         F.sum(F.when(F.col("in_a"), F.col("occurrences")).otherwise(0)).alias("shared")
     )

@@ -29,7 +29,10 @@ def spread_join(
     """
     key = list(key)
     fan = F.ceil(F.col(copies) / F.lit(hot_rows)).cast("int")
-    hot = one.where(F.col(copies) > hot_rows).select(*key, fan.alias("__fan")).distinct()
+    # Reading every column keeps this branch on the same exchange as the join side below,
+    # so ``one`` is computed once.  A key whose hash is 0 would merely not be split.
+    whole = F.hash(*one.columns) != 0
+    hot = one.where((F.col(copies) > hot_rows) & whole).select(*key, fan.alias("__fan")).distinct()
     salted = (
         many.join(F.broadcast(hot), key, "left")
         .withColumn(

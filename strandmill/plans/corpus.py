@@ -29,7 +29,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("lang").alias("organism"),
         F.col("doc_id").alias("chrom"),
         "text",
-    )
+    ).where("assembly IS NOT NULL AND organism IS NOT NULL AND chrom IS NOT NULL")
 
 
 def genomes(spark: SparkSession, sf_dir: str) -> DataFrame:

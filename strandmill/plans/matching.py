@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from strandmill.operators import alignment, delta, intervals, matches, propagate, reindex
 from strandmill.operators import segments as seg_ops
 from strandmill.plans import corpus
+from strandmill.session import checkpoint_dir
 
 MIN_LEN, MAX_GAP = 32, 8
 CHUNK = (64, 1_024)
@@ -83,8 +84,14 @@ def delta_ref_gap(spark, sf):
     return delta.reference_gaps(_delta(spark, sf))
 
 
-def _pairs(spark, sf):
-    return _mems(spark, sf).select(
+def _written_mems(spark, sf):
+    """Matches read several times below, so they are written once to the shared folder."""
+    checkpoint_dir(spark)
+    return _mems(spark, sf).checkpoint()
+
+
+def _pairs(mems):
+    return mems.select(
         F.lit("benchmark").alias("i_genome"), F.col("target").alias("i_chrom"),
         F.col("t_start").alias("i_start"), F.col("t_end").alias("i_end"),
         F.lit("documents").alias("j_genome"), F.col("query").alias("j_chrom"),
@@ -92,8 +99,8 @@ def _pairs(spark, sf):
     )
 
 
-def cut_propagation(spark, sf):
-    pairs = _pairs(spark, sf)
+def _closed_cuts(mems):
+    pairs = _pairs(mems)
     ends = [
         pairs.select(F.col(f"{s}_genome").alias("genome"), F.col(f"{s}_chrom").alias("chrom"),
                      F.explode(F.array(f"{s}_start", f"{s}_end")).alias("pos"))
@@ -102,11 +109,16 @@ def cut_propagation(spark, sf):
     return propagate.cut_propagation(ends[0].unionByName(ends[1]), pairs)
 
 
+def cut_propagation(spark, sf):
+    return _closed_cuts(_written_mems(spark, sf))
+
+
 def _reindex_regions(spark, sf):
-    cuts = cut_propagation(spark, sf).where("genome = 'documents'").select("chrom", "pos")
+    mems = _written_mems(spark, sf)
+    cuts = _closed_cuts(mems).where("genome = 'documents'").select("chrom", "pos")
     docs = _query(spark, sf)
     lengths = docs.select(F.col("query").alias("chrom"), F.octet_length("seq").cast("long").alias("length"))
-    cover = _mems(spark, sf).select(F.col("query").alias("chrom"), "q_start", "q_end")
+    cover = mems.select(F.col("query").alias("chrom"), "q_start", "q_end")
     return intervals.regions(cuts, lengths, intervals.merge(cover, "chrom", "q_start", "q_end"), "chrom")
 
 
