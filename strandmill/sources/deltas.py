@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from strandmill import schemas
 from strandmill.functions import ghd
-from strandmill.operators import blocked
+from strandmill.functions.hashing import bare
+from strandmill.operators import blocked, chunking
 
 ROWS = 20_000
 
@@ -98,3 +99,33 @@ def encode_deltas(ops: DataFrame) -> DataFrame:
         "literal_bases", F.date_format("created", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"),
     )
     return files.select("assembly", F.concat(lead(header, "names", "chroms"), "bodies").alias("content"))
+
+
+def recipe_chunks(files: DataFrame, sizes: tuple[int, int] | None = None) -> DataFrame:
+    """Pieces of delta files (assembly, content) as segments, so that they deduplicate too."""
+    pieces = chunking.chunks(files, ["assembly"], "content", [sizes] if sizes else None)
+    return pieces.select(
+        "assembly", F.col("seg_idx").alias("chunk_idx"), bare(F.col("hash")).alias("hash"), "length", "data"
+    )
+
+
+def write_recipes(chunks: DataFrame, references: DataFrame, path: str) -> None:
+    """Recipes as JSON lines: the chunk hashes of each delta file, in order."""
+    listed = F.array_sort(F.collect_list(F.struct("chunk_idx", "hash", "length")))
+    recipes = chunks.groupBy("assembly").agg(
+        F.sum("length").alias("total_size"),
+        F.transform(listed, lambda c: F.struct(c["hash"].alias("hash"), c["length"].alias("length")))
+        .alias("chunks"),
+    )
+    recipes.join(references.select("assembly", "reference"), "assembly").write.mode(
+        "errorifexists"
+    ).json(path)
+
+
+def join_chunks(chunks: DataFrame, store: DataFrame) -> DataFrame:
+    """Delta files put back together from stored chunks (hash, data)."""
+    parts = F.array_sort(F.collect_list(F.struct("chunk_idx", F.hex("data").alias("x"))))
+    return chunks.select("assembly", "chunk_idx", "hash").join(store, "hash", "left").groupBy("assembly").agg(
+        F.count_if(F.col("data").isNull()).alias("missing"),
+        F.unhex(F.array_join(F.transform(parts, lambda p: p["x"]), "")).alias("content"),
+    )

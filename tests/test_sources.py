@@ -125,3 +125,17 @@ def test_truncated_delta_is_an_error(spark, tmp_path):
 
     with pytest.raises(ValueError):
         list(ghd.operations(ghd.MAGIC + b"\x01\x05{}"))
+
+
+def test_delta_files_as_chunks(spark, tmp_path):
+    blob = bytes((7 * i * i + i // 3) % 251 for i in range(3000))
+    files = spark.createDataFrame([("Q", bytearray(blob))], "assembly string, content binary")
+    chunks = deltas.recipe_chunks(files, (64, 256))
+    refs = spark.createDataFrame([("Q", "R")], "assembly string, reference string")
+    deltas.write_recipes(chunks, refs, str(tmp_path / "recipes"))
+    part = next((tmp_path / "recipes").glob("part-*.json"))
+    recipe = documents.read_recipes(spark, str(part))
+    store = chunks.groupBy("hash").agg(F.first("data").alias("data"))
+    assert recipe.first().total_size == 3000
+    back = deltas.join_chunks(recipe, store).first()
+    assert back.missing == 0 and bytes(back.content) == blob
