@@ -169,3 +169,23 @@ def hot_set(accesses: DataFrame, capacity: int, block_us: int) -> DataFrame:
     )
     fits = F.col("newer") + F.col("size") <= capacity
     return scanned.where(fits | (F.col("newer") == 0)).select("key", "us", "size")
+
+
+def by_priority(candidates: DataFrame, key: str, rank: str) -> DataFrame:
+    """The candidate with the lowest rank per key: local before remote, manifest before delta."""
+    rest = [c for c in candidates.columns if c != key]
+    best = candidates.groupBy(key).agg(F.min_by(F.struct(*rest), rank).alias("b"))
+    return best.select(key, *[F.col(f"b.{c}").alias(c) for c in rest])
+
+
+def merge_addresses(listed: DataFrame) -> DataFrame:
+    """Addresses without trailing slashes, empty ones dropped, at their first place."""
+    plain = listed.select(F.regexp_replace("address", "/+$", "").alias("address"), "place")
+    return plain.where("address <> ''").groupBy("address").agg(F.min("place").alias("place"))
+
+
+def last_by_name(chroms: DataFrame, name: str, order: str) -> DataFrame:
+    """One row per chromosome name; a later duplicate replaces an earlier one."""
+    rest = [c for c in chroms.columns if c != name]
+    last = chroms.groupBy(name).agg(F.max_by(F.struct(*rest), order).alias("l"))
+    return last.select(name, *[F.col(f"l.{c}").alias(c) for c in rest])

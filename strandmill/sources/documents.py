@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandmill import schemas
-from strandmill.functions.hashing import bare
+from strandmill.functions.hashing import address, bare
 from strandmill.operators.alignment import parse_paf
 from strandmill.operators.sketch import unsigned
 
@@ -148,3 +148,14 @@ def mirror(store: DataFrame, refs: DataFrame, path: str) -> None:
     ).repartition("shelf", F.substring(bare(F.col("hash")), 3, 1)).write.partitionBy("shelf").mode(
         "errorifexists"
     ).parquet(path)
+
+
+def write_matches(mems: DataFrame, path: str) -> None:
+    """Verified matches as JSON, one directory per target and query genome."""
+    mems.write.partitionBy("target_genome", "query_genome").mode("append").json(path)
+
+
+def file_addresses(spark: SparkSession, path: str) -> DataFrame:
+    """Content address of every file, the key under which its alignments are kept."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select("path", address(F.col("content")).alias("hash"), "length")

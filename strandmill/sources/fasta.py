@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandmill.functions.bases import FASTA_WIDTH, wrap
+from strandmill.functions.names import assembly_of
 
 
 def _places(batches):
@@ -49,7 +50,7 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     head = F.regexp_extract("value", r"^>?([^\n]*)", 1)
     body = F.regexp_replace("value", r"^[^\n]*\n?", "")
     return records.select(
-        F.regexp_extract("file", r"([^/]+?)(\.[^./]*)?$", 1).alias("assembly"),
+        assembly_of(F.col("file")).alias("assembly"),
         F.col("place").alias("chrom_idx"),
         F.regexp_extract(F.regexp_replace(head, r"\r$", ""), r"^([^ \t]*)", 1).alias("chrom"),
         F.upper(F.regexp_replace(body, r"[ \r]*(\n|$)", "")).alias("seq"),

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strandmill.functions import bases, formatting
+from strandmill.functions import bases, formatting, names
 from strandmill.operators import (
     alignment, blocked, chunking, delta, digest, intervals, jobs, matches, network, propagate,
     reconstruct, segments, sketch,
@@ -398,3 +398,20 @@ def test_small_functions(spark):
     assert get(formatting.progress_bar(F.lit(3), F.lit(6), 4)) == "▓▓░░"
     assert get(network.attribute_path(F.lit("/genomes/A1/manifest"))) == "A1"
     assert get(network.attribute_path(F.lit("/deltas/B"))) == "B"
+
+
+def test_names_and_priorities(spark):
+    df = spark.createDataFrame([("a:/x:y",), (":p",), ("n:",), ("plain",)], "s string")
+    got = df.select(names.name_and_path(F.col("s")).alias("n")).collect()
+    assert [tuple(r.n) if r.n else None for r in got] == [("a", "/x:y"), None, None, None]
+    c = spark.createDataFrame([("k", 2, "remote"), ("k", 1, "local"), ("j", 3, "x")], "k string, r long, v string")
+    assert rows(network.by_priority(c, "k", "r")) == [("j", 3, "x"), ("k", 1, "local")]
+    assert rows(network.last_by_name(c, "k", "r")) == [("j", 3, "x"), ("k", 2, "remote")]
+    a = spark.createDataFrame([("http://a/", 0), ("", 1), ("http://b", 2), ("http://a", 3)], "address string, place long")
+    assert rows(network.merge_addresses(a)) == [("http://a", 0), ("http://b", 2)]
+
+
+def test_top_k_is_cut_before_the_shuffle(spark):
+    df = spark.createDataFrame([("g", "ACGTACGT" * 10)], "g string, s string")
+    plan = sketch.bottom_hashes(df, "g", "s")._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan.split("WindowGroupLimit", 1)[1]
