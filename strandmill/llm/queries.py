@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandmill.llm import near_dup
+from strandmill.llm import decontaminate, near_dup
 
 
 def _table(spark, sf_dir, name):
@@ -20,5 +20,13 @@ def op8_simhash(spark, sf_dir):
     )
 
 
-QUERIES = {"op8_simhash": op8_simhash}
+def op5_decontaminate(spark, sf_dir):
+    found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+    )
+
+
+QUERIES = {"op5_decontaminate": op5_decontaminate, "op8_simhash": op8_simhash}
 ORACLES: dict[str, str] = {}
