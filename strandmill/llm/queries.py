@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandmill.llm import decontaminate, near_dup
+from strandmill.llm import decontaminate, near_dup, substrings
 
 
 def _table(spark, sf_dir, name):
@@ -28,5 +28,9 @@ def op5_decontaminate(spark, sf_dir):
     )
 
 
-QUERIES = {"op5_decontaminate": op5_decontaminate, "op8_simhash": op8_simhash}
+def op6_substrings(spark, sf_dir):
+    return substrings.report(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {"op5_decontaminate": op5_decontaminate, "op6_substrings": op6_substrings, "op8_simhash": op8_simhash}
 ORACLES: dict[str, str] = {}

@@ -28,3 +28,13 @@ def worker_state() -> dict:
     """A dictionary that lives as long as the Python worker, whatever function asks for it."""
     name = "_strandmill_worker_state"
     return sys.modules.setdefault(name, types.ModuleType(name)).__dict__
+
+
+def bucketed(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Like ``kept``, as a bucketed external table: joins on ``keys`` only move the other side."""
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    table = f"strandmill_{name}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, *keys).option("path", path).format("parquet").saveAsTable(table)
+    return spark.table(table)
