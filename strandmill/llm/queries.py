@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandmill.llm import decontaminate, near_dup, substrings
+from strandmill.llm import decontaminate, near_dup, substrings, wavelet
 
 
 def _table(spark, sf_dir, name):
@@ -32,5 +32,10 @@ def op6_substrings(spark, sf_dir):
     return substrings.report(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op5_decontaminate": op5_decontaminate, "op6_substrings": op6_substrings, "op8_simhash": op8_simhash}
+def op9_wavelet(spark, sf_dir):
+    folder = wavelet.write_shards(_table(spark, sf_dir, "documents"))
+    return wavelet.shard_digests(spark, folder).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {"op5_decontaminate": op5_decontaminate, "op6_substrings": op6_substrings, "op8_simhash": op8_simhash, "op9_wavelet": op9_wavelet}
 ORACLES: dict[str, str] = {}

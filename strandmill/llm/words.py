@@ -95,6 +95,13 @@ class Words:
     def word(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]]
 
+    def array(self) -> pa.Array:
+        """All words as one binary column."""
+        buf = np.frombuffer(self.data, np.uint8)
+        offsets = np.concatenate([[0], np.cumsum(self.end - self.start)])
+        return pa.Array.from_buffers(
+            pa.large_binary(), len(self), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(buf[buf != 32])])
+
     def text(self, lo: int, hi: int) -> bytes:
         """Words ``lo:hi`` joined by one blank."""
         return b" ".join(self.data[self.start[lo] : self.end[hi - 1]].split()) if hi > lo else b""
