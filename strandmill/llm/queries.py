@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandmill.llm import decontaminate, near_dup, substrings, wavelet
+from strandmill.llm import decontaminate, language, near_dup, packing, substrings, wavelet
 
 
 def _table(spark, sf_dir, name):
@@ -20,6 +20,10 @@ def op8_simhash(spark, sf_dir):
     )
 
 
+def op2_packing(spark, sf_dir):
+    return packing.pack_digests(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op5_decontaminate(spark, sf_dir):
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -37,5 +41,15 @@ def op9_wavelet(spark, sf_dir):
     return wavelet.shard_digests(spark, folder).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op5_decontaminate": op5_decontaminate, "op6_substrings": op6_substrings, "op8_simhash": op8_simhash, "op9_wavelet": op9_wavelet}
+def op7_language(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    found = language.predict(docs.select("doc_id", "text"), language.fit(docs))
+    held_out = ~language.learns()
+    return found.select("doc_id", held_out.alias("held_out"), "language.lang_pred", "language.score")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op2_packing, op5_decontaminate, op6_substrings, op7_language, op8_simhash, op9_wavelet)
+}
 ORACLES: dict[str, str] = {}
