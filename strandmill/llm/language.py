@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -165,9 +166,7 @@ def predict(docs: DataFrame, net: ByteNet | None, text_col: str = "text") -> Dat
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     @F.pandas_udf("struct<lang_pred:string,score:double>")
-    def judge(texts: Iterator) -> Iterator:
-        import pandas as pd
-
+    def judge(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = shared.value
         for series in texts:
             names, scores = [], []
