@@ -28,7 +28,8 @@ WINDOW = 192
 SAMPLE_ROWS = 400
 SAMPLE_WINDOWS = 4
 UNKNOWN = "und"
-_BATCH = 4096
+STEPS = 600
+_BATCH = 512
 
 
 class ByteNet:
@@ -65,13 +66,17 @@ class ByteNet:
     def probabilities(self, rows: np.ndarray) -> np.ndarray:
         """(windows, labels) for rows of ``window`` bytes."""
         parts = []
-        for lo in range(0, len(rows), _BATCH // 8):
-            peaks = np.concatenate([r.max(axis=1) for r in self._responses(rows[lo : lo + _BATCH // 8])], axis=1)
+        for lo in range(0, len(rows), _BATCH):
+            peaks = np.concatenate([r.max(axis=1) for r in self._responses(rows[lo : lo + _BATCH])], axis=1)
             parts.append(_softmax(np.maximum(peaks, 0) @ self.weight + self.bias))
         return np.concatenate(parts) if parts else np.zeros((0, len(self.labels)), np.float32)
 
     def train(self, rows: np.ndarray, target: np.ndarray, epochs: int = 8, rate: float = 0.02, batch: int = 64, seed: int = 3) -> None:
-        """Adam on the cross entropy; the gradient reaches a filter through its maximum only."""
+        """Adam on the cross entropy; the gradient reaches a filter through its maximum only.
+
+        Small samples are gone through more often, for ``STEPS`` steps at least.
+        """
+        epochs = max(epochs, -(-STEPS * batch // max(1, len(rows))))
         rng = np.random.default_rng(seed)
         params = [*self.taps, self.weight, self.bias]
         first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]

@@ -40,7 +40,7 @@ def test_held_out(spark):
     net = language.fit(df.drop("language"))
     assert net.labels == ["aa", "bb", "cc"]
     out = language.predict(df.drop("language").withColumn("held", ~language.learns()), net).collect()
-    held = [r for r in out if r.held and r.lang]
+    held = [r for r in out if r.held and r.lang and r.text]
     assert len(held) > 30 and all(r.language.lang_pred == r.lang for r in held)
     by = {r.doc_id: r.language for r in out}
     assert by[900] == by[901] == by[902] == ("und", 0.0)
