@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandmill.llm import decontaminate, language, near_dup, packing, substrings, wavelet
+from strandmill.llm import decontaminate, language, near_dup, packing, substrings, url_filter, wavelet
 
 
 def _table(spark, sf_dir, name):
@@ -48,8 +48,41 @@ def op7_language(spark, sf_dir):
     return found.select("doc_id", held_out.alias("held_out"), "language.lang_pred", "language.score")
 
 
+def op10_urls(spark, sf_dir):
+    found = url_filter.judge(_table(spark, sf_dir, "pages").select("page_id", "url"))
+    return found.select("page_id", *[f"url_verdict.{c}" for c in ("host", "path", "rule", "verdict")])
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op2_packing, op5_decontaminate, op6_substrings, op7_language, op8_simhash, op9_wavelet)
+    for f in (op2_packing, op5_decontaminate, op6_substrings, op7_language, op8_simhash, op9_wavelet, op10_urls)
 }
-ORACLES: dict[str, str] = {}
+_OP5 = r"""
+    WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    items AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    runs AS (SELECT DISTINCT item, size, array_to_string(w[i:i + size - 1], ' ') AS run FROM
+            (SELECT item, w, least(13, len(w)) AS size, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM items WHERE len(w) > 0)),
+    sizes AS (SELECT DISTINCT size FROM runs),
+    places AS (SELECT r, i, size, array_to_string(w[i:i + size - 1], ' ') AS run FROM
+            (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM docs, sizes WHERE len(w) >= size)),
+    hits AS (SELECT r, i, p.size, item FROM places p JOIN runs USING (size, run)),
+    words AS (SELECT r, count(DISTINCT pos) AS n_hit FROM (SELECT r, unnest(range(i, i + size)) AS pos FROM (SELECT DISTINCT r, i, size FROM hits)) GROUP BY r),
+    found AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+        sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+    FROM docs LEFT JOIN words USING (r) LEFT JOIN found USING (r)"""
+
+_OP6 = r"""
+    WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    runs AS (SELECT r, doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) AS run FROM
+            (SELECT r, doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM docs WHERE len(w) >= 20)),
+    firsts AS (SELECT run, min({'d': doc_id, 'i': i}) AS first FROM runs GROUP BY run HAVING count(*) > 1),
+    gone AS (SELECT DISTINCT r, unnest(range(i, i + 20)) AS pos FROM runs JOIN firsts USING (run) WHERE {'d': doc_id, 'i': i} > first),
+    lists AS (SELECT r, list(pos) AS ats, count(*) AS n FROM gone GROUP BY r)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+        sha256(coalesce(array_to_string(CASE WHEN n IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(ats, i)) END, ' '), '')) AS kept_sha256
+    FROM docs LEFT JOIN lists USING (r)"""
+
+ORACLES: dict[str, str] = {"op5_decontaminate": _OP5, "op6_substrings": _OP6, "op10_urls": url_filter.oracle_sql()}
