@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandmill.llm import decontaminate, language, near_dup, packing, substrings, url_filter, wavelet
+from strandmill.llm import decontaminate, language, near_dup, neighbours, packing, substrings, url_filter, wavelet
 
 
 def _table(spark, sf_dir, name):
@@ -24,6 +24,11 @@ def op2_packing(spark, sf_dir):
     return packing.pack_digests(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op3_neighbours(spark, sf_dir):
+    found = neighbours.search(_table(spark, sf_dir, "embeddings"))
+    return found.withColumnRenamed("id", "vec_id")
+
+
 def op5_decontaminate(spark, sf_dir):
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -55,7 +60,7 @@ def op10_urls(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_packing, op5_decontaminate, op6_substrings, op7_language, op8_simhash, op9_wavelet, op10_urls)
+    for f in (op2_packing, op3_neighbours, op5_decontaminate, op6_substrings, op7_language, op8_simhash, op9_wavelet, op10_urls)
 }
 _OP5 = r"""
     WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
