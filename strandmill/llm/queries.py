@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandmill.llm import decontaminate, language, near_dup, neighbours, packing, substrings, url_filter, wavelet
+from strandmill.llm import decontaminate, language, near_dup, neighbours, ngram_model, packing, substrings, url_filter, wavelet
 
 
 def _table(spark, sf_dir, name):
@@ -20,6 +20,13 @@ def op8_simhash(spark, sf_dir):
     )
 
 
+def op1_lm_scores(spark, sf_dir):
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10 == 0
+    found = ngram_model.score(_table(spark, sf_dir, "documents"), ~held_out)
+    return found.select(
+        F.col("id").alias("doc_id"), (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_packing(spark, sf_dir):
     return packing.pack_digests(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -60,7 +67,7 @@ def op10_urls(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_packing, op3_neighbours, op5_decontaminate, op6_substrings, op7_language, op8_simhash, op9_wavelet, op10_urls)
+    for f in (op1_lm_scores, op2_packing, op3_neighbours, op5_decontaminate, op6_substrings, op7_language, op8_simhash, op9_wavelet, op10_urls)
 }
 _OP5 = r"""
     WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
