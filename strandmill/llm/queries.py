@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandmill.llm import decontaminate, language, near_dup, neighbours, ngram_model, packing, substrings, url_filter, wavelet
+from strandmill.llm import decontaminate, language, near_dup, neighbours, ngram_model, packing, page_text, substrings, url_filter, wavelet
 
 
 def _table(spark, sf_dir, name):
@@ -36,6 +36,11 @@ def op3_neighbours(spark, sf_dir):
     return found.withColumnRenamed("id", "vec_id")
 
 
+def op4_page_text(spark, sf_dir):
+    found = page_text.extract(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def op5_decontaminate(spark, sf_dir):
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -67,7 +72,7 @@ def op10_urls(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_lm_scores, op2_packing, op3_neighbours, op5_decontaminate, op6_substrings, op7_language, op8_simhash, op9_wavelet, op10_urls)
+    for f in (op1_lm_scores, op2_packing, op3_neighbours, op4_page_text, op5_decontaminate, op6_substrings, op7_language, op8_simhash, op9_wavelet, op10_urls)
 }
 _OP5 = r"""
     WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
