@@ -26,9 +26,11 @@ from pyspark.sql import functions as F
 from strandmill.llm import tokens
 from strandmill.llm.store import kept
 from strandmill.llm.wavelet import crc_of
+from strandmill.llm.words import slices
 
 WINDOW = 4096
 SLACK = 4
+PLACE_BYTES = 8 << 20
 
 
 def best_fill(counts: dict[int, int], window: int) -> dict[int, int]:
@@ -204,9 +206,7 @@ def _packed(docs, id_col, text_col, vocabulary, window, slack, column, column_ki
         plan = shared.value
         step = np.int64(1) << np.int64(44)
         keys = plan["length"] * step + plan["rank"]
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in slices(whole, "ids", PLACE_BYTES)):
             get = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("n", "rest", "rank", "fulls", "rank_before", "width")}
             source, start, length, sequence, offset = [], [], [], [], []
             full = get["n"] // window
