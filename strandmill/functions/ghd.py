@@ -99,6 +99,16 @@ class _Reader:
         return self.take(self.number())
 
 
+def declared_assembly(data: bytes) -> str | None:
+    """The assembly that a binary delta's header names; None for other content."""
+    r = _Reader(data)
+    try:
+        known = r.take(4) == MAGIC and r.take(1)[0] == VERSION
+        return json.loads(r.blob()).get("assembly") if known else None
+    except ValueError:
+        return None
+
+
 def operations(data: bytes) -> Iterator[tuple]:
     """Rows of the delta_ops schema, one per operation, in file order."""
     r = _Reader(data)

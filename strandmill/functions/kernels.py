@@ -113,16 +113,30 @@ def cut_ends(data: bytes, min_size: int, max_size: int) -> list[int]:
 
 
 def _cut_ends_short(data: bytes, min_size: int, max_size: int, bits: int) -> list[int]:
-    """Minimum below the mask width: the hash restarts with each chunk, byte by byte."""
-    mask, out, start, h = (1 << bits) - 1, [], 0, 0
-    for end, byte in enumerate(data, 1):
-        h = ((h << 1) + int(GEAR[byte])) & _M64
-        size = end - start
-        if size >= min_size and (size >= max_size or not h & mask):
-            out.append(end)
-            start, h = end, 0
-    if start < len(data):
-        out.append(len(data))
+    """Minimum below the mask width: a chunk's first bytes see fewer than ``bits`` of them.
+
+    From ``bits`` bytes on, the rolling value no longer depends on the chunk's start, so those ends
+    are found for all starts at once; only the few shorter lengths are looked up per chunk, in the
+    values of runs of 1 .. bits - 1 bytes.
+    """
+    n = len(data)
+    if not n:
+        return []
+    mask = np.uint64((1 << bits) - 1)
+    unit = GEAR[np.frombuffer(data, np.uint8)] & mask
+    runs = [unit]  # runs[k - 1][i]: value of the k bytes from i
+    for k in range(2, bits + 1):
+        runs.append((runs[-1][:-1] << np.uint64(1)) + unit[k - 1:] if k <= n else unit[:0])
+    hits = [(r & mask) == 0 for r in runs]
+    late = np.flatnonzero(hits[-1]) + bits if bits <= n else np.zeros(0, np.int64)
+    longest = max(min_size, max_size)
+    out, start = [], 0
+    while start < n:
+        end = min(start + longest, n)
+        early = next((start + k for k in range(min_size, bits) if start + k <= n and hits[k - 1][start]), end)
+        i = np.searchsorted(late, start + max(bits, min_size))
+        start = min(end, early, int(late[i]) if i < len(late) else n)
+        out.append(start)
     return out
 
 

@@ -14,23 +14,32 @@ def _digest(index: Column, token: Column) -> Column:
     return F.sha2(F.array_join(F.transform(items, lambda x: x["t"]), ""), 256)
 
 
+SCHEME = "sha256-tree:"
+
+
+def levels_for(fan: int) -> int:
+    """Levels that any 63-bit number of tokens fits into."""
+    levels, reach = 1, fan
+    while reach < 1 << 63:
+        levels, reach = levels + 1, reach * fan
+    return levels
+
+
 def ordered_root(rows: DataFrame, group: str, position: str, token: Column,
                  name: str = "root", fan: int = FAN) -> DataFrame:
     """One digest per group over its tokens in position order.
 
-    Up to ``fan`` tokens this is the hash of their concatenation.  Beyond that, runs of
-    ``fan`` tokens are hashed on their own and the run digests are hashed the same way,
-    so no task ever holds more than ``fan`` tokens of a group.  ``position`` is 0-based
-    and dense.
+    Runs of ``fan`` tokens are hashed, then runs of ``fan`` of those digests, and so on
+    through the same number of levels for every group, whatever its size.  So no task ever
+    holds more than ``fan`` tokens of a group, and a root means the same for short and long
+    groups.  ``position`` is 0-based and dense.
     """
     at = F.col(position)
     level = rows.groupBy(group, F.floor(at / fan).cast("long").alias("run")).agg(
         _digest(at, token).alias("d")
     )
-    # Three more levels cover fan**4 tokens; a node with a single child is that child.
-    for _ in range(3):
+    for _ in range(levels_for(fan) - 1):
         level = level.groupBy(group, F.floor(F.col("run") / fan).cast("long").alias("up")).agg(
-            F.when(F.count(F.lit(1)) == 1, F.min("d"))
-            .otherwise(_digest(F.col("run"), F.col("d"))).alias("d")
+            _digest(F.col("run"), F.col("d")).alias("d")
         ).withColumnRenamed("up", "run")
-    return level.select(group, F.col("d").alias(name))
+    return level.select(group, F.concat(F.lit(SCHEME), F.col("d")).alias(name))

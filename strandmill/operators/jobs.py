@@ -29,23 +29,23 @@ def reclaim(jobs: DataFrame, now: Column, lease: Column) -> DataFrame:
 def report(jobs: DataFrame, reports: DataFrame) -> DataFrame:
     """Apply workers' reports (job, worker, kind, at, found, valid) to the job table.
 
-    Only the worker holding a claim is heard: a heartbeat renews its lease, a completion
-    ends the job with the counts found and verified.
+    Only the worker holding a claim is heard, and only from the claim on.  A heartbeat renews the
+    lease.  The first completion ends the job with its counts (ties: the smaller counts); whatever
+    comes later is refused.
     """
+    claims = jobs.where("state = 'claimed'").select("job", "worker", F.col("claimed_at").alias("since"))
+    heard = reports.join(claims, ["job", "worker"]).where(F.col("at") >= F.col("since"))
     done = F.col("kind") == "complete"
-    heard = reports.groupBy("job", "worker").agg(
-        F.max("at").alias("at"), F.bool_or(done).alias("complete"),
-        F.sum(F.when(done, F.col("found")).otherwise(0)).alias("found"),
-        F.sum(F.when(done, F.col("valid")).otherwise(0)).alias("valid"),
-    )
-    holds = (F.col("state") == "claimed") & F.col("at").isNotNull()
-    ends = holds & F.col("complete")
-    return jobs.join(heard, ["job", "worker"], "left").select(
+    ends = heard.where(done).groupBy("job").agg(F.min(F.struct("at", "found", "valid")).alias("end"))
+    beats = heard.where(~done).join(ends, "job", "left").where(
+        F.col("end").isNull() | (F.col("at") <= F.col("end.at"))).groupBy("job").agg(F.max("at").alias("beat"))
+    ended = F.col("end").isNotNull()
+    return jobs.join(ends, "job", "left").join(beats, "job", "left").select(
         *[c for c in jobs.columns if c not in ("state", "claimed_at")],
-        F.when(ends, "done").otherwise(F.col("state")).alias("state"),
-        F.when(holds, F.greatest("claimed_at", "at")).otherwise(F.col("claimed_at")).alias("claimed_at"),
-        F.when(ends, F.col("found")).alias("found"),
-        F.when(ends, F.col("valid")).alias("valid"),
+        F.when(ended, "done").otherwise(F.col("state")).alias("state"),
+        F.coalesce("beat", "claimed_at").alias("claimed_at"),
+        F.col("end.found").alias("found"),
+        F.col("end.valid").alias("valid"),
     )
 
 

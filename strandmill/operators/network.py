@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from strandmill.operators import blocked
 
-MAX_EAGER_SEGMENTS = 20_000
-
 
 def overlay(own: DataFrame, cached: DataFrame, key: str) -> DataFrame:
     """Own entries plus cached entries for keys the node does not have itself."""
@@ -46,7 +44,6 @@ def discover(
         F.count(F.lit(1)).alias("sources"),
         F.bool_or(F.col("organism") == local_node).alias("local"),
     ).select("assembly", "e.organism", "e.version", "e.segments", "sources", "local")
-    eager = F.col("local") | (F.col("segments") <= MAX_EAGER_SEGMENTS)
     # Coverage of every published manifest first: hashes are spread evenly there, whereas
     # joining the winners first would gather a big genome under one key.
     have = (
@@ -56,7 +53,7 @@ def discover(
     )
     return best.join(have, ["assembly", "organism"], "left").select(
         "assembly", F.col("organism").alias("node"), "version", "segments", "sources", "local",
-        F.when(eager, F.coalesce("n", F.lit(0))).alias("have"),
+        F.coalesce("n", F.lit(0)).alias("have"),
     )
 
 
@@ -120,6 +117,11 @@ def announce_fresh(log: DataFrame, skew_us: int, block: Column) -> DataFrame:
     return clocked.select("seq", "node", (F.col("clock") - F.col("us") <= skew_us).alias("fresh"))
 
 
+def cents(amount: Column) -> Column:
+    """Hundredths, rounded; a plain cast would turn 0.29 into 28."""
+    return (amount * 100).cast("decimal(38,0)").cast("long")
+
+
 def request_rate(log: DataFrame, window_us: int) -> DataFrame:
     """Requests and bytes per second over the window ending at each served request.
 
@@ -127,7 +129,7 @@ def request_rate(log: DataFrame, window_us: int) -> DataFrame:
     everything its requests can look back on, and no global ordering is needed.
     """
     served = log.where(F.col("op") == SERVED).select(
-        "us", (F.col("bytes") * 100).cast("long").alias("cents")
+        "us", cents(F.col("bytes")).alias("cents")
     )
     # Requests of the same microsecond see each other; one row stands for them all.
     ticks = served.groupBy("us").agg(
@@ -154,23 +156,6 @@ def request_rate(log: DataFrame, window_us: int) -> DataFrame:
     )
 
 
-def hot_set(accesses: DataFrame, capacity: int, block_us: int) -> DataFrame:
-    """Entries a byte-capped cache keeps: most recently used first while they fit.
-
-    The most recent entry always stays, even if it alone exceeds the capacity.
-    """
-    last = accesses.groupBy("key").agg(
-        F.max(F.struct("us", "seq")).alias("at"), F.max_by("size", F.struct("us", "seq")).alias("size")
-    ).select("key", "at.us", "at.seq", "size")
-    recency = F.struct((-F.col("us")).alias("u"), (-F.col("seq")).alias("s"))
-    scanned = blocked.running(
-        last, [], [recency], -blocked.block_of("us", block_us),
-        {"newer": ("sum", F.col("size"))},
-    )
-    fits = F.col("newer") + F.col("size") <= capacity
-    return scanned.where(fits | (F.col("newer") == 0)).select("key", "us", "size")
-
-
 def by_priority(candidates: DataFrame, key: str, rank: str) -> DataFrame:
     """The candidate with the lowest rank per key: local before remote, manifest before delta."""
     rest = [c for c in candidates.columns if c != key]

@@ -2,7 +2,8 @@
 
 assembly = documents.source, organism = documents.lang, chromosome = doc_id,
 sequence = UTF-8 bytes of the text, segment = line of the text.  The local store holds
-the lines of documents labelled with good quality.
+the lines of documents labelled with good quality.  A null source or language is the
+empty name and a null id is -1, so that no row is lost to a missing key.
 """
 
 from __future__ import annotations
@@ -25,11 +26,11 @@ def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread_table(spark, sf_dir, "documents").select(
-        F.col("source").alias("assembly"),
-        F.col("lang").alias("organism"),
-        F.col("doc_id").alias("chrom"),
+        F.coalesce("source", F.lit("")).alias("assembly"),
+        F.coalesce("lang", F.lit("")).alias("organism"),
+        F.coalesce("doc_id", F.lit(-1)).alias("chrom"),
         "text",
-    ).where("assembly IS NOT NULL AND organism IS NOT NULL AND chrom IS NOT NULL")
+    )
 
 
 def genomes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -322,8 +322,7 @@ ORACLES = {
         ),
         win AS (SELECT * FROM ranked WHERE r = 1)
         SELECT w.assembly, w.node, w.version, w.segments, w.sources, w.local,
-               CASE WHEN w.local OR w.segments <= 20000 THEN
-                 (SELECT count(DISTINCT s.hash) FROM seg s JOIN held h ON h.hash = s.hash
-                  WHERE s.assembly = w.assembly AND s.organism = w.node) END AS have
+               (SELECT count(DISTINCT s.hash) FROM seg s JOIN held h ON h.hash = s.hash
+                WHERE s.assembly = w.assembly AND s.organism = w.node) AS have
         FROM win w""",
 }

@@ -157,17 +157,12 @@ QUERIES = {
     )
 }
 
-# Digest of tokens in order, in runs of 65,536; a second level only where needed.
+# Digest of tokens in order: four levels of runs of 65,536 each.
 _ROOT = """,
-runs AS (
-  SELECT g, p // 65536 AS run, sha256(string_agg(token, '' ORDER BY p)) AS d
-  FROM placed GROUP BY g, p // 65536
-),
-root AS (
-  SELECT g, CASE WHEN count(*) = 1 THEN min(d)
-                 ELSE sha256(string_agg(d, '' ORDER BY run)) END AS d
-  FROM runs GROUP BY g
-)"""
+l0 AS (SELECT g, p // 65536 AS run, sha256(string_agg(token, '' ORDER BY p)) AS d FROM placed GROUP BY ALL),
+l1 AS (SELECT g, run // 65536 AS run, sha256(string_agg(d, '' ORDER BY l0.run)) AS d FROM l0 GROUP BY g, l0.run // 65536),
+l2 AS (SELECT g, run // 65536 AS run, sha256(string_agg(d, '' ORDER BY l1.run)) AS d FROM l1 GROUP BY g, l1.run // 65536),
+root AS (SELECT g, 'sha256-tree:' || sha256(string_agg(d, '' ORDER BY l2.run)) AS d FROM l2 GROUP BY g)"""
 
 
 def _short(x: str) -> str:

@@ -9,12 +9,12 @@ from strandmill.plans import corpus
 from strandmill.plans.swarm import DAY, LOG, ORACLES as BATCH
 from strandmill.streaming import node_log
 
-WINDOW, SLIDE, LATE = 600, 60, 300
+WINDOW, SLIDE = 600, 60
 
 
 def _stream(spark, sf):
     schema = corpus.table(spark, sf, "events").schema
-    return node_log.read_log(spark, sf, "events.parquet", schema)
+    return node_log.read_log(spark, f"{sf}/events.parquet", schema)
 
 
 def stream_liveness(spark, sf):
@@ -25,9 +25,9 @@ def stream_liveness(spark, sf):
 
 def stream_rate(spark, sf):
     served = _stream(spark, sf).where(F.col("event_type") == network.SERVED).select(
-        F.col("ts").cast("timestamp").alias("ts"), (F.col("value") * 100).cast("long").alias("cents")
+        F.col("ts").cast("timestamp").alias("ts"), network.cents(F.col("value")).alias("cents")
     )
-    out = node_log.rates(served, "ts", F.col("cents"), WINDOW, SLIDE, LATE)
+    out = node_log.rates(served, "ts", F.col("cents"), WINDOW, SLIDE)
     return out.select(
         corpus.epoch_micros(F.col("window_end").cast("timestamp_ntz")).alias("window_end"),
         F.round("requests_per_s", 6).alias("requests_per_s"),
@@ -41,10 +41,9 @@ ORACLES = {
     "stream_liveness": BATCH["tracker_nodes"],
     "stream_rate": f"""WITH {LOG},
         hits AS (SELECT (us // 60000000 + t.i) * 60000000 AS window_end, us,
-                   CAST(trunc(bytes * 100) AS BIGINT) AS cents
+                   CAST(CAST(bytes * 100 AS DECIMAL(38,0)) AS BIGINT) AS cents
                  FROM log, unnest(range(1, 11)) AS t(i) WHERE op = 'click')
         SELECT window_end, round(count(*) / 600, 6) AS requests_per_s,
                round(sum(cents) / 60000, 6) AS bytes_per_s
-        FROM hits WHERE window_end <= (SELECT max(us) FROM log WHERE op = 'click') - 300000000
-        GROUP BY window_end""",
+        FROM hits GROUP BY window_end""",
 }

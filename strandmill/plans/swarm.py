@@ -16,7 +16,6 @@ from strandmill.plans.dedup import HELD, SEG
 
 SECOND = 1_000_000
 DAY = 86_400 * SECOND
-LOG_BLOCK = 3_600 * SECOND
 
 
 def _nodes(spark, sf):
@@ -81,19 +80,11 @@ def events_tail(spark, sf):
 def activity_summary(spark, sf):
     return corpus.events(spark, sf).groupBy("op").agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum((F.col("bytes") * 100).cast("decimal(38,0)")).cast("long").alias("cents"),
+        F.sum(network.cents(F.col("bytes"))).alias("cents"),
         F.max("us").alias("latest"),
     )
 
 
-def lru_contents(spark, sf):
-    """What a cache of 1,000 bytes holds after all content accesses."""
-    log = corpus.events(spark, sf).select(
-        F.col("content").alias("key"), "us", "seq", F.floor("bytes").cast("long").alias("size")
-    ).where("size > 0")
-    return network.hot_set(log, 1_000, LOG_BLOCK)
-
-
 def _jobs(spark, sf):
     us = corpus.epoch_micros(F.col("o_orderdate"))
     state = (F.when(F.col("o_orderstatus") == "O", "pending")
@@ -153,7 +144,7 @@ QUERIES = {
     for f in (
         tracker_nodes, tracker_peers, node_rollup, announce_latest, announce_fresh,
         announce_spot_check, rate_window, served_feed_lastn, events_tail, activity_summary,
-        lru_contents, job_list, job_claim_fifo, job_reclaim, job_reports, job_rollup, tile_jobs,
+        job_list, job_claim_fifo, job_reclaim, job_reports, job_rollup, tile_jobs,
     )
 }
 
@@ -199,7 +190,7 @@ ORACLES = {
         s AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY sha256(hash || 'salt')) AS r FROM a)
         SELECT node, hash, hash IN (SELECT hash FROM held) AS held FROM s WHERE r <= 3""",
     "rate_window": f"""WITH {LOG},
-        t AS (SELECT us, count(*) AS h, sum(CAST(trunc(bytes * 100) AS BIGINT)) AS c
+        t AS (SELECT us, count(*) AS h, sum(CAST(CAST(bytes * 100 AS DECIMAL(38,0)) AS BIGINT)) AS c
               FROM log WHERE op = 'click' GROUP BY us)
         SELECT us, round(sum(h) OVER w / 600, 6) AS requests_per_s,
                round(sum(c) OVER w / 60000, 6) AS bytes_per_s
@@ -210,13 +201,6 @@ ORACLES = {
     "activity_summary": f"""WITH {LOG}
         SELECT op, count(*) AS n, CAST(sum(CAST(bytes * 100 AS DECIMAL(38,0))) AS BIGINT) AS cents,
                max(us) AS latest FROM log GROUP BY op""",
-    "lru_contents": f"""WITH {LOG},
-        last AS (SELECT content AS key, us, CAST(floor(bytes) AS BIGINT) AS size, seq FROM (
-          SELECT *, row_number() OVER (PARTITION BY content ORDER BY us DESC, seq DESC) AS r
-          FROM log WHERE floor(bytes) > 0) WHERE r = 1),
-        s AS (SELECT *, sum(size) OVER (ORDER BY us DESC, seq DESC ROWS UNBOUNDED PRECEDING) AS total,
-                row_number() OVER (ORDER BY us DESC, seq DESC) AS r FROM last)
-        SELECT key, us, size FROM s WHERE total <= 1000 OR r = 1""",
     "job_list": f"WITH {JOBS} SELECT * FROM jobs",
     "job_claim_fifo": f"""WITH {JOBS}
         SELECT job, 'worker-' || row_number() OVER (ORDER BY queued_at, job) AS worker
@@ -226,16 +210,18 @@ ORACLES = {
                CASE WHEN state = 'claimed' AND queued_at < cut THEN NULL ELSE worker END AS worker
         FROM jobs, c""",
     "job_reports": f"""WITH {JOBS},
-        r AS (SELECT l_orderkey AS job, 'worker-' || l_suppkey AS worker,
-                max(epoch_us(l_shipdate)) AS at, bool_or(l_linestatus = 'F') AS complete,
-                count(*) FILTER (l_linestatus = 'F') AS found,
-                count(*) FILTER (l_linestatus = 'F' AND l_returnflag = 'N') AS valid
-              FROM lineitem GROUP BY 1, 2)
-        SELECT j.job, CASE WHEN state = 'claimed' AND complete THEN 'done' ELSE state END AS state,
-          j.worker, CASE WHEN state = 'claimed' THEN greatest(queued_at, r.at) ELSE queued_at END AS claimed_at,
-          CASE WHEN state = 'claimed' AND complete THEN found END AS found,
-          CASE WHEN state = 'claimed' AND complete THEN valid END AS valid
-        FROM jobs j LEFT JOIN r ON r.job = j.job AND r.worker = j.worker""",
+        said AS (SELECT job, state, queued_at, epoch_us(l_shipdate) AS moment, l_linestatus = 'F' AS complete,
+                CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END AS valid
+              FROM jobs JOIN lineitem ON l_orderkey = job AND worker = 'worker-' || l_suppkey
+              WHERE state = 'claimed' AND epoch_us(l_shipdate) >= queued_at),
+        ends AS (SELECT job, moment AS ended, valid FROM (
+              SELECT *, row_number() OVER (PARTITION BY job ORDER BY moment, valid) AS r FROM said WHERE complete) WHERE r = 1),
+        beats AS (SELECT s.job, max(s.moment) AS moment FROM said s LEFT JOIN ends e USING (job)
+              WHERE NOT complete AND (e.ended IS NULL OR s.moment <= e.ended) GROUP BY s.job)
+        SELECT j.job, CASE WHEN e.job IS NOT NULL THEN 'done' ELSE state END AS state, j.worker,
+          coalesce(b.moment, j.queued_at) AS claimed_at,
+          CASE WHEN e.job IS NOT NULL THEN CAST(1 AS BIGINT) END AS found, CAST(e.valid AS BIGINT) AS valid
+        FROM jobs j LEFT JOIN ends e USING (job) LEFT JOIN beats b USING (job)""",
     "job_rollup": f"""WITH {JOBS},
         f AS (SELECT l_orderkey AS job, count(*) AS found, count(*) FILTER (l_linestatus = 'F') AS valid
               FROM lineitem GROUP BY l_orderkey)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,14 +27,20 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a local one only where none is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    path = path or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The shared folder: the one set on the context, else the one that the cluster names.
+
+    A folder of this machine stands in only where driver and executors are one process.
+    """
     current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        path = path or tempfile.mkdtemp(prefix="strandmill-ckpt-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path or current
+    if current is not None:
+        return current
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="strandmill-ckpt-")
+    spark.sparkContext.setCheckpointDir(path)
+    return path
 
 
 def fill_cores(scan: DataFrame) -> DataFrame:

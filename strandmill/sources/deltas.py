@@ -51,6 +51,17 @@ def read_deltas(spark: SparkSession, path: str) -> DataFrame:
     return binary.unionByName(plain)
 
 
+def declared(spark: SparkSession, folder: str) -> DataFrame:
+    """(assembly, path) of the binary delta files in a folder."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ghd").load(folder).select("path", "content")
+
+    @F.pandas_udf("string")
+    def assembly(contents: pd.Series) -> pd.Series:
+        return contents.map(lambda c: ghd.declared_assembly(bytes(c)))
+
+    return files.select(assembly("content").alias("assembly"), "path")
+
+
 def encode_deltas(ops: DataFrame) -> DataFrame:
     """One binary file content per assembly.
 

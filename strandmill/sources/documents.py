@@ -122,13 +122,16 @@ def catalog(entries: DataFrame) -> DataFrame:
 
 
 def scan_catalog(spark: SparkSession, folder: str) -> DataFrame:
-    """Catalog of a directory of JSON artifacts, keyed by the assembly each declares."""
+    """Catalog of a directory of artifacts, keyed by the assembly each declares: JSON documents in
+    their ``assembly`` field, binary deltas in their header."""
+    from strandmill.sources import deltas
+
     declared = (
         spark.read.schema("assembly string").option("multiLine", True)
         .option("pathGlobFilter", "*.json").json(folder)
         .select("assembly", F.col("_metadata.file_path").alias("path"))
     )
-    return catalog(declared)
+    return catalog(declared.unionByName(deltas.declared(spark, folder)))
 
 
 def unseed(entries: DataFrame, assembly: str) -> DataFrame:

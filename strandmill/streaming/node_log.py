@@ -19,63 +19,51 @@ def _folder(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def read_log(spark: SparkSession, folder: str, pattern: str, schema) -> DataFrame:
-    """New files of a log folder, a bounded number of them per micro-batch."""
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", 1_000)
-        .parquet(folder)
-    )
+def read_log(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Files of a log table, one or many, a bounded number of them per micro-batch.
 
+    The source takes a plain path for a folder; as a pattern it may also name a single file.
+    """
+    pattern = f"{path[:-1]}[{path[-1]}]"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1_000).parquet(pattern)
 
-def latest_facts(log: DataFrame) -> DataFrame:
-    """Run the node facts over all available input and return their latest values."""
-    spark = log.sparkSession
-    folder = _folder(spark)
+
+def _latest(updates: DataFrame, key: str) -> DataFrame:
+    """Run an updating aggregate over all available input; the last row of each key."""
+    spark, folder = updates.sparkSession, _folder(updates.sparkSession)
+    schema = updates.schema
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(
-            f"{folder}/facts/step={batch_id}"
-        )
+        batch.withColumn("batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{folder}/rows/step={batch_id}")
 
     query = (
-        network.node_facts(log)
-        .writeStream.outputMode("update")
-        .foreachBatch(store)
-        .option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
+        updates.writeStream.outputMode("update").foreachBatch(store)
+        .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    updates = spark.read.parquet(f"{folder}/facts")
-    facts = [c for c in updates.columns if c not in ("node", "batch", "step")]
-    return updates.groupBy("node").agg(
-        F.max_by(F.struct(*facts), "batch").alias("f")
-    ).select("node", "f.*")
+    # Without any input there is no batch: an empty one keeps the folder readable.
+    store(spark.createDataFrame([], schema), -1)
+    rest = [c for c in updates.columns if c != key]
+    rows = spark.read.schema(schema.add("batch", "long")).parquet(f"{folder}/rows")
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), "batch").alias("f")).select(key, "f.*")
+
+
+def latest_facts(log: DataFrame) -> DataFrame:
+    """The node facts over all available input."""
+    return _latest(network.node_facts(log), "node")
+
 
+def rates(served: DataFrame, event_time: str, size: Column, window_s: int, slide_s: int) -> DataFrame:
+    """Requests and bytes per second in sliding windows over all available input.
 
-def rates(served: DataFrame, event_time: str, size: Column, window_s: int, slide_s: int, late_s: int) -> DataFrame:
-    """Requests and bytes per second in sliding windows, once each window has closed."""
-    spark = served.sparkSession
-    folder = _folder(spark)
+    Every window is kept, open ones included, and no event is too late: the state is one row per
+    slide of the log's time span.
+    """
     spans = F.window(event_time, f"{window_s} seconds", f"{slide_s} seconds")
-    closed = (
-        served.withWatermark(event_time, f"{late_s} seconds")
-        .groupBy(spans)
-        .agg(F.count(F.lit(1)).alias("hits"), F.sum(size).alias("bytes"))
-        .select(
-            F.col("window.end").alias("window_end"),
-            (F.col("hits") / window_s).alias("requests_per_s"),
-            (F.col("bytes") / window_s).alias("bytes_per_s"),
-        )
+    counts = served.groupBy(spans).agg(F.count(F.lit(1)).alias("hits"), F.sum(size).alias("bytes")).select(
+        F.col("window.end").alias("window_end"), "hits", "bytes")
+    return _latest(counts, "window_end").select(
+        "window_end",
+        (F.col("hits") / window_s).alias("requests_per_s"),
+        (F.col("bytes") / window_s).alias("bytes_per_s"),
     )
-    query = (
-        closed.writeStream.outputMode("append").format("parquet")
-        .option("path", f"{folder}/rates")
-        .option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return spark.read.schema(closed.schema).parquet(f"{folder}/rates")

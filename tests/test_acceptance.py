@@ -1,4 +1,4 @@
-"""End to end: four synthetic genomes with planned overlap, held by two nodes."""
+"""End to end: genomes that share some chromosomes, coverage, re-cutting and deltas."""
 
 import random
 
@@ -8,33 +8,19 @@ from strandmill.operators import chunking, delta, intervals, matches, propagate,
 from strandmill.sources import fasta
 
 
-def genomes():
-    rng = random.Random(42)
-    make = lambda n: "".join(rng.choices("ACGT", k=n))
-    athena = [make(80_000) for _ in range(5)]
-    return {
-        "ATHENA": athena,
-        "ATHENA2": athena[:3] + [make(80_000) for _ in range(2)],
-        "ECOLI": [make(160_000)],
-        "HSAP": [make(80_000) for _ in range(3)],
-    }
-
-
-def test_coverage_of_two_holders(spark, tmp_path):
-    for name, chroms in genomes().items():
-        text = "".join(f">{name}_chr{i + 1} synthetic\n" + "\n".join(
-            c[j:j + 60] for j in range(0, len(c), 60)) + "\n" for i, c in enumerate(chroms))
+def test_coverage_of_each_holder(spark, tmp_path):
+    rng = random.Random(31)
+    pool = ["".join(rng.choices("ACGT", k=rng.randrange(70_000, 90_000))) for _ in range(7)]
+    plan = {"plum": [0, 1, 2], "fig": [2, 3], "pear": [1, 2, 4, 5], "kiwi": [6]}
+    for name, chroms in plan.items():
+        text = "".join(f">{name}.{c} made up\n" + "\n".join(pool[c][j:j + 77] for j in range(0, len(pool[c]), 77)) + "\n" for c in chroms)
         (tmp_path / f"{name}.fa").write_text(text)
-    chroms = fasta.read_fasta(spark, str(tmp_path))
-    parts = chunking.chunks(chroms, ["assembly", "chrom"], "seq")
+    parts = chunking.chunks(fasta.read_fasta(spark, str(tmp_path)), ["assembly", "chrom"], "seq")
     refs = segments.references(parts)
-
-    def seen_by(name):
-        held = parts.where(F.col("assembly") == name).select("hash")
-        return {r.assembly: (r.have, r.total) for r in segments.coverage(refs, held).collect()}
-
-    assert seen_by("ATHENA") == {"ATHENA": (5, 5), "ATHENA2": (3, 5), "ECOLI": (0, 1), "HSAP": (0, 3)}
-    assert seen_by("ECOLI") == {"ATHENA": (0, 5), "ATHENA2": (0, 5), "ECOLI": (1, 1), "HSAP": (0, 3)}
+    for holder, own in plan.items():
+        seen = segments.coverage(refs, parts.where(F.col("assembly") == holder).select("hash")).collect()
+        assert {r.assembly: r.have == r.total for r in seen} == {g: set(cs) <= set(own) for g, cs in plan.items()}
+        assert {r.assembly for r in seen if r.have} == {g for g, cs in plan.items() if set(cs) & set(own)}
 
 
 def test_reindex_makes_shared_stretches_equal(spark):

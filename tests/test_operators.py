@@ -51,19 +51,18 @@ def test_spread_join_splits_hot_keys(spark, how):
         want.select("k", "i", F.coalesce("v", F.lit("-"))))
 
 
-def test_ordered_root_levels(spark):
+@pytest.mark.parametrize("size", [1, 2, 255, 256, 257, 65_537])
+def test_ordered_root_is_one_definition(spark, size):
     import hashlib
 
-    h = lambda parts: hashlib.sha256("".join(parts).encode()).hexdigest()
-    tokens = [f"t{i}" for i in range(11)]
-    df = spark.createDataFrame([("g", i, t) for i, t in enumerate(tokens)] + [("one", 0, "x")],
-                               "g string, p long, t string")
-    got = {r.g: r.root for r in digest.ordered_root(df, "g", "p", F.col("t"), fan=3).collect()}
-    level = [h(tokens[i:i + 3]) for i in range(0, 11, 3)]
-    up = [h(level[:3]), level[3]]
-    assert got == {"g": h(up), "one": h(["x"])}
-    flat = {r.g: r.root for r in digest.ordered_root(df, "g", "p", F.col("t")).collect()}
-    assert flat["g"] == h(tokens)
+    def up(parts):
+        return [hashlib.sha256("".join(parts[i:i + 256]).encode()).hexdigest() for i in range(0, len(parts), 256)]
+
+    df = spark.range(size).select(F.lit("g").alias("g"), F.col("id").alias("p"), F.concat(F.lit("t"), "id").alias("t"))
+    nodes = [f"t{i}" for i in range(size)]
+    for _ in range(digest.levels_for(256)):
+        nodes = up(nodes)
+    assert rows(digest.ordered_root(df, "g", "p", F.col("t"), fan=256)) == [("g", "sha256-tree:" + nodes[0])]
 
 
 # --- index ------------------------------------------------------------------------------
@@ -80,14 +79,20 @@ def summarise(m, r):
     return (s.genomes, s.segments, s.core_bytes, s.partial_bytes, s.unique_bytes, s.stored_bytes, s.naive_bytes)
 
 
-def test_two_and_three_genomes(spark):
-    m, r = refs(spark, ("s", 1000, "A"), ("s", 1000, "B"), ("a", 500, "A"), ("b", 300, "B"), ("a", 500, "A"))
-    assert summarise(m, r) == (2, 3, 1000, 0, 800, 1800, 2800)
-    assert rows(segments.unique_per_genome(segments.refcounts(r), m)) == [("A", 500), ("B", 300)]
-    assert rows(segments.delete_plan(segments.refcounts(r), r)) == [("A", 1, 1), ("B", 1, 1)]
-    m, r = refs(spark, *[("c", 900, g) for g in "ABC"], ("p", 400, "A"), ("p", 400, "B"),
-                ("a", 100, "A"), ("b", 200, "B"), ("d", 300, "C"))
-    assert summarise(m, r)[2:5] == (900, 400, 600)
+@pytest.mark.parametrize("genomes", [2, 3, 5])
+def test_summary_of_random_genomes(spark, genomes):
+    rng = random.Random(genomes)
+    size = {f"h{i}": rng.randrange(1, 2000) for i in range(25)}
+    own = {f"G{g}": [rng.choice(list(size)) for _ in range(12)] for g in range(genomes)}
+    m, r = refs(spark, *[(h, size[h], g) for g, hs in own.items() for h in hs])
+    count = {h: sum(h in hs for hs in own.values()) for h in size}
+    total = lambda keep: sum(n for h, n in size.items() if keep(count[h]))
+    assert summarise(m, r) == (
+        genomes, sum(c > 0 for c in count.values()), total(lambda c: c == genomes), total(lambda c: 1 < c < genomes),
+        total(lambda c: c == 1), total(lambda c: c > 0), sum(size[h] for hs in own.values() for h in set(hs)))
+    alone = {g: {h for h in hs if count[h] == 1} for g, hs in own.items()}
+    assert rows(segments.unique_per_genome(segments.refcounts(r), m)) == sorted((g, sum(size[h] for h in hs)) for g, hs in alone.items())
+    assert rows(segments.delete_plan(segments.refcounts(r), r)) == sorted((g, len(alone[g]), len(set(hs) - alone[g])) for g, hs in own.items())
 
 
 def test_single_genome_is_all_core(spark):
@@ -132,25 +137,41 @@ def test_verify_is_positional(spark):
 
 # --- alignments and intervals -------------------------------------------------------------
 
-CASES = [
-    ("", "+", 0, 100, 1, []),
-    ("100=", "+", 0, 100, 1, [(0, 100, 0, 100)]),
-    ("50=1X50=", "+", 0, 101, 1, [(0, 50, 0, 50), (51, 101, 51, 101)]),
-    ("10=1X10=", "+", 0, 21, 50, []),
-    ("20=10I30=", "+", 0, 60, 1, [(0, 20, 0, 20), (20, 50, 30, 60)]),
-    ("20=10D30=", "+", 0, 50, 1, [(0, 20, 0, 20), (30, 60, 20, 50)]),
-    ("30=1X20=", "-", 0, 51, 1, [(0, 30, 21, 51), (31, 51, 0, 20)]),
-    ("5=3M5=", "+", 0, 13, 1, [(0, 10, 0, 10)]),
-]
+def walked_runs(ops, strand, t0, q0, q1, least):
+    """Base by base: mark the matching pairs, then read off the unbroken diagonals."""
+    t, q, pairs = t0, 0, []
+    for n, c in ops:
+        for _ in range(n):
+            if c == "=":
+                pairs.append((t, q))
+            t += c in "=XD"
+            q += c in "=XI"
+    out, start = [], 0
+    for i in range(1, len(pairs) + 1):
+        if i == len(pairs) or (pairs[i][0] - pairs[i - 1][0], pairs[i][1] - pairs[i - 1][1]) != (1, 1):
+            (a, x), (b, y) = pairs[start], pairs[i - 1]
+            if b + 1 - a >= least:
+                out.append((a, b + 1, q0 + x, q0 + y + 1) if strand == "+" else (a, b + 1, q1 - y - 1, q1 - x))
+            start = i
+    return sorted(out)
 
 
-@pytest.mark.parametrize("cigar,strand,q0,q1,least,want", CASES)
-def test_exact_runs(spark, cigar, strand, q0, q1, least, want):
-    b = spark.createDataFrame([("q", "t", strand, 0, 200, q0, q1, cigar)],
-                              "query_name string, target_name string, strand string, target_start long,"
-                              "target_end long, query_start long, query_end long, cigar string")
-    got = alignment.exact_runs(b, least).select("target_start", "target_end", "query_start", "query_end")
-    assert rows(got) == want
+@pytest.mark.parametrize("strand", ["+", "-"])
+@pytest.mark.parametrize("least", [1, 7, 30])
+def test_exact_runs(spark, strand, least):
+    rng = random.Random(f"{strand}{least}")
+    table, want = [("q", "t", strand, 3, 90, 5, 60, "")], []
+    for name in range(25):
+        ops = [(rng.randrange(1, 40), rng.choice("===XID")) for _ in range(rng.randrange(1, 9))]
+        t0, q0 = rng.randrange(500), rng.randrange(500)
+        q1 = q0 + sum(n for n, c in ops if c in "=XI")
+        t1 = t0 + sum(n for n, c in ops if c in "=XD")
+        table.append((f"q{name}", "t", strand, t0, t1, q0, q1, "".join(f"{n}{c}" for n, c in ops)))
+        want += [(f"q{name}", *r) for r in walked_runs(ops, strand, t0, q0, q1, least)]
+    b = spark.createDataFrame(table, "query_name string, target_name string, strand string, target_start long,"
+                                     "target_end long, query_start long, query_end long, cigar string")
+    got = alignment.exact_runs(b, least).select("query_name", "target_start", "target_end", "query_start", "query_end")
+    assert rows(got) == sorted(want)
 
 
 @pytest.mark.parametrize("width", [4, 64, 65_536])
@@ -305,50 +326,49 @@ def test_cuts_mirror_on_the_reverse_strand(spark):
 
 # --- delta --------------------------------------------------------------------------------
 
-REF = "ACGTACGTACGTACGTACGT"
-
-
-@pytest.mark.parametrize("query,blocks,literals,n_ops", [
-    ("ACGTACGTAC", [], 10, 1),
-    ("ACGTATGTACGTACG", [(0, 15, 0, "5=1X9=")], 1, 3),
-    ("ACGTAGGCGTACCGT", [(0, 15, 0, "5=2I5=3D3=")], 2, 4),
-    ("GGACGTACGTACTT", [(2, 12, 0, "10=")], 4, 3),
-    ("ACGTACGTAC", [(0, 10, 0, "5=5=")], 0, 1),
-    ("ACGTACGTAC", [(0, 6, 0, "6="), (4, 10, 4, "6=")], 4, 2),
-])
-def test_delta(spark, query, blocks, literals, n_ops):
-    b = spark.createDataFrame([("q", s, e, "+", "r", t, c) for s, e, t, c in blocks],
+def edited(rng, ref):
+    """A query made from stretches of ``ref``, with its CIGAR over the aligned part and the bases in no stretch."""
+    at, query, ops, extra = rng.randrange(5), "", [], 0
+    first = at
+    for _ in range(rng.randrange(1, 5)):
+        n = rng.randrange(3, 9)
+        query += ref[at:at + n]
+        ops.append((n, "="))
+        at += n
+        kind, m = rng.choice("XID"), rng.randrange(1, 4)
+        ops.append((m, kind))
+        if kind in "XI":
+            # never the reference's own base, so the walk finds no longer stretch
+            query += "".join(rng.choice([b for b in "ACGT" if b != ref[at + i]]) for i in range(m))
+            extra += m
+        at += m if kind in "XD" else 0
+    query += ref[at:at + 4]
+    ops.append((4, "="))
+    return first, query, "".join(f"{n}{c}" for n, c in ops), extra
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_delta(spark, seed):
+    rng = random.Random(seed)
+    ref = "".join(rng.choice("ACGT") for _ in range(80))
+    first, middle, cigar, extra = edited(rng, ref)
+    head, tail = ("".join(rng.choice("ACGT") for _ in range(rng.randrange(4))) for _ in range(2))
+    query = head + middle + tail
+    b = spark.createDataFrame([("q", len(head), len(head) + len(middle), "+", "r", first, cigar)] if seed else [],
                               "query_name string, query_start long, query_end long, strand string,"
                               "target_name string, target_start long, cigar string")
-    ref = spark.createDataFrame([("r", REF)], "target string, seq string")
+    r = spark.createDataFrame([("r", ref)], "target string, seq string")
     q = spark.createDataFrame([("q", query)], "query string, seq string")
     ops = delta.build(b, q)
     s = delta.summarise(ops).first()
-    assert (s.total, s.literal, s.ops) == (len(query), literals, n_ops)
-    assert delta.verified(delta.apply(ops, ref), q).first().verified
-    assert delta.apply(ops.where("type = 'copy'").withColumn("ref_chrom", F.lit("zz")), ref).where("bad = 0").isEmpty()
+    assert (s.total, s.literal) == (len(query), extra + len(head) + len(tail) if seed else len(query))
+    assert delta.verified(delta.apply(ops, r), q).first().verified
+    assert delta.apply(ops.where("type = 'copy'").withColumn("ref_chrom", F.lit("zz")), r).where("bad = 0").isEmpty()
 
 
 # --- network ------------------------------------------------------------------------------
 
 
-def test_hot_set_matches_a_cache(spark):
-    rng = random.Random(9)
-    for capacity in (10, 25, 60):
-        log = [(rng.randrange(8), i * 1000, i, rng.randrange(1, 12)) for i in range(60)]
-        order, size = [], {}
-        for key, _, _, n in log:
-            if key in size:
-                order.remove(key)
-            order.append(key)
-            size[key] = n
-            while len(order) > 1 and sum(size[k] for k in order) > capacity:
-                size.pop(order.pop(0))
-        df = spark.createDataFrame(log, "key long, us long, seq long, size long")
-        got = network.hot_set(df, capacity, 7000)
-        assert sorted(r.key for r in got.collect()) == sorted(order)
-
-
 def test_members(spark):
     log = [("n1", "signup", 0), ("n2", "signup", 5), ("n1", "error", 10), ("n3", "view", 11),
            ("n2", "view", 20), ("n4", "signup", 1), ("n4", "error", 2), ("n4", "signup", 3)]
@@ -358,6 +378,23 @@ def test_members(spark):
     assert rows(got.select("node", "age_s", "online")) == [("n2", 80, True), ("n4", 97, False)]
 
 
+def test_first_completion_after_the_claim_counts(spark):
+    j = spark.createDataFrame([(1, 0, 50, "claimed", "w")], "job long, queued_at long, claimed_at long, state string, worker string")
+    said = [(1, "w", "complete", 40, 1, 1), (1, "w", "heartbeat", 60, 0, 0), (1, "w", "complete", 70, 5, 4),
+            (1, "w", "heartbeat", 75, 0, 0), (1, "w", "complete", 80, 7, 7), (1, "v", "complete", 55, 9, 9)]
+    rep = spark.createDataFrame(said, "job long, worker string, kind string, at long, found long, valid long")
+    got = jobs.report(j, rep).select("state", "claimed_at", "found", "valid")
+    assert rows(got) == [("done", 60, 5, 4)]
+    early = jobs.report(j, rep.where("at < 50")).select("state", "claimed_at", F.coalesce("found", F.lit(-1)))
+    assert rows(early) == [("claimed", 50, -1)]
+
+
+def test_rates_keep_every_cent(spark):
+    log = spark.createDataFrame([("click", 0, 0.29), ("click", 1_000_000, 0.58)], "op string, us long, bytes double")
+    got = rows(network.request_rate(log, 10_000_000).select("us", "bytes_per_s"))
+    assert got == [(0, 0.029), (1_000_000, 0.087)]
+
+
 def test_job_lifecycle(spark):
     j = spark.createDataFrame([(1, 10, None, "pending", None), (2, 5, None, "pending", None),
                                (3, 1, 100, "claimed", "w1"), (4, 1, 10, "claimed", "w2")],

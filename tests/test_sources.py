@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,13 +89,26 @@ def test_sketch_and_activity_files(spark, tmp_path):
 
 
 def test_paf(spark, tmp_path):
-    base = ["q", "1000", "0", "500", "+", "t", "2000", "100", "600", "490", "500", "60"]
-    lines = [base, base + ["dv:f:0.05"], base + ["cg:Z:50=1X49=", "dv:f:bad"], base[:11],
-             base[:9] + ["x", "500", "60"]]
-    (tmp_path / "a.paf").write_text("\n".join("\t".join(x) for x in lines) + "\n\n")
+    rng = random.Random(21)
+    lines, want = [], []
+    for i in range(12):
+        span = rng.randrange(50, 900)
+        same = rng.randrange(span)
+        fields = [f"read{i}", "2000", "7", str(7 + span), rng.choice("+-"), "contig", "9000", "40", str(40 + span), str(same), str(span), "33"]
+        tags, identity, cigar = [], same / span, ""
+        if i % 3 == 0:
+            off = rng.randrange(100) / 1000
+            tags, identity = [f"dv:f:{off}"], 1 - off
+        if i % 4 == 1:
+            cigar = f"{same}={span - same}X"
+            tags.append(f"cg:Z:{cigar}")
+        lines.append(fields + tags)
+        want.append((f"read{i}", round(identity, 6), cigar))
+    broken = [lines[0][:7], lines[1][:3] + ["", "x"]]
+    unread = lines[2][:9] + ["none", "80", "33", "dv:f:oops"]
+    (tmp_path / "a.paf").write_text("\n".join("\t".join(x) for x in [*lines, *broken, unread]) + "\n\n")
     got = documents.read_paf(spark, str(tmp_path / "a.paf")).collect()
-    assert [round(r.identity, 6) for r in got] == [0.98, 0.95, 0.98, 0.0]
-    assert [r.cigar for r in got] == ["", "", "50=1X49=", ""]
+    assert sorted((r.query_name, round(r.identity, 6), r.cigar) for r in got) == sorted([*want, (unread[0], 0.0, "")])
 
 
 def test_binary_delta_round_trip(spark, tmp_path):
