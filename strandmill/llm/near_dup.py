@@ -19,13 +19,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandmill.llm.bitmap import Bitmap
 from strandmill.llm.store import kept
-from strandmill.llm.words import BLANKS_LOWER, Words, slices
+from strandmill.llm.words import BLANKS_LOWER, Words, mix, slices
 
 SHINGLE = 3
 SEED = 42
@@ -85,6 +87,26 @@ def _variants(nodes: DataFrame) -> DataFrame:
     )
 
 
+def _variants_of(nodes: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``_variants`` whose key is in ``keys``, and few others."""
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(mix(batch.column("key").to_numpy().view(np.uint64)).view(np.int64))], ["h"])
+
+    shared = nodes.sparkSession.sparkContext.broadcast(Bitmap(keys.select("key").mapInArrow(hashed, "h long"), "h"))
+
+    def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = np.arange(64, dtype=np.uint64)
+        rest = ~(np.uint64(1) << (v % np.uint64(32))) & np.uint64(0xFFFFFFFF)
+        for batch in batches:
+            fp = batch.column("fp").to_numpy().view(np.uint64)[:, None]
+            key = (v << np.uint64(32)) + ((fp >> (v // np.uint64(32) * np.uint64(32))) & rest)
+            row, at = np.nonzero(shared.value.passes(mix(key)))
+            yield pa.RecordBatch.from_arrays([pa.array(key[row, at].view(np.int64)), batch.column("fp").take(pa.array(row))], ["key", "fp"])
+
+    return nodes.select("fp").mapInArrow(variants, "key long, fp long")
+
+
 def _near(a: str, b: str, bits: int):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= bits
 
@@ -97,16 +119,20 @@ def links(nodes: DataFrame, bits: int = BITS, bucket: int = BUCKET) -> DataFrame
     """
     if bits not in (1, 2):
         raise ValueError("two halves with one ignored bit find one or two differing bits")
-    variants = _variants(nodes)
     buckets = (
-        variants.groupBy("key")
-        .agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"))
+        _variants(nodes).groupBy("key")
+        .agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.bit_xor("fp").alias("all"))
         .where("n > 1")
     )
     buckets = kept(buckets, "buckets")
-    two = buckets.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    more = buckets.where("n > 2").select("key", "n")
-    members = kept(variants.join(more, "key"), "members")
+    # Buckets of two or three are known from their aggregates; only larger ones need their members.
+    mid = F.col("all").bitwiseXOR(F.col("lo")).bitwiseXOR(F.col("hi"))
+    few = buckets.where("n <= 3").select("lo", "hi", F.when(F.col("n") == 3, mid).alias("mid"))
+    two = few.select(F.inline(F.array(
+        F.struct(F.col("lo").alias("a"), F.col("hi").alias("b")), F.struct(F.col("lo").alias("a"), F.col("mid").alias("b")),
+        F.struct(F.col("mid").alias("a"), F.col("hi").alias("b")))))
+    more = buckets.where("n > 3").select("key", "n")
+    members = kept(_variants_of(nodes, more).join(more, "key"), "members")
     small = members.where(F.col("n") <= bucket)
     pairs = small.select("key", F.col("fp").alias("a")).join(
         small.select("key", F.col("fp").alias("b")),
@@ -152,16 +178,36 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS, bucket: int = BUCKET
 ) -> DataFrame:
-    """(id, fp, component): one row per row of ``docs``; component is the smallest id that can be
-    reached over fingerprints within ``bits`` bits.
+    """(id, fp, root, component): one row per row of ``docs``.
 
-    Null ids never become a component's id (null only if the whole component has none).  Repeated
-    rows keep their own result rows.  An empty table gives no rows.
+    ``root`` is the smallest fingerprint that can be reached over fingerprints within ``bits`` bits,
+    component the smallest id there.  Null ids never become a component's id (null only if the whole
+    component has none).  Repeated rows keep their own result rows.  An empty table gives no rows.
     """
     prints = kept(fingerprints(docs, id_col, text_col, shingle), "prints")
     nodes = kept(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
     roots = components(links(nodes.select("fp"), bits, bucket))
     placed = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = placed.groupBy("root").agg(F.min("least").alias("component"))
-    label = kept(placed.join(named, "root").select("fp", "component"), "labels")
-    return prints.join(label, "fp").select(id_col, "fp", "component")
+    label = kept(placed.join(named, "root").select("fp", "root", "component"), "labels")
+    return prints.join(label, "fp").select(id_col, "fp", "root", "component")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: that with the smallest id.
+
+    Without an id, or among equal ids, it is one with the smallest fingerprint.
+    """
+    found = near_duplicates(docs, id_col, text_col, shingle, bits)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "fp")).alias("k"))
+    chosen = first.select(F.col("k.none").alias("__none"), F.coalesce("k.id", F.lit(0)).alias("__id"), F.col("k.fp").alias("__fp"))
+
+    @F.pandas_udf("long")
+    def print_of(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for series in values:
+            batch = pa.RecordBatch.from_arrays([pa.array(series, pa.string())], ["text"])
+            parts = [_fingerprints(part.column("text"), shingle) for part in slices(batch, "text")]
+            yield pd.Series(np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64))
+
+    named = docs.withColumns({"__none": F.col(id_col).isNull(), "__id": F.coalesce(F.col(id_col), F.lit(0)), "__fp": print_of(F.col(text_col))})
+    return named.join(chosen, ["__none", "__id", "__fp"]).dropDuplicates(["__none", "__id", "__fp"]).select(*docs.columns)
