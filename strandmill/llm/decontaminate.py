@@ -7,7 +7,7 @@ in the corpus, is a sufficient prefix:
 1. The item shingles are counted in the corpus and each window keeps its rarest as its anchor.
    Neighbouring windows with the same anchor stay together as one row.
 2. The text scan emits the places where an anchor may occur, with the words around.  A
-   bitmap of fixed size (at most ``BITMAP_BITS``) of anchor hashes decides that; false
+   bitmap of bounded size of anchor hashes decides that; false
    hits cost time only.
 3. Places join anchors on the shingle's hash, under the length and position bounds.
 4. Each joined row is verified word by word to both sides of the anchor, which gives the range of
@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandmill.llm.bitmap import Bitmap
 from strandmill.llm.store import kept
 from strandmill.llm.words import ALNUM_LOWER, Words, roll, slices
 
 WINDOW = 13
 SHINGLE = 3
-BITMAP_BITS = 1 << 27
 SHARE = 20  # contaminated from one hit word in 20
 
 
@@ -68,27 +68,7 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str, window: int, shingl
     return named.mapInArrow(scan, "item string, words array<string>, width int, size int, hashes array<long>").where("width > 0")
 
 
-def _bitmap(hashes: DataFrame, column: str) -> tuple[np.ndarray, int]:
-    """Bits of the hashes' top bits: about 64 bits per value, never more than ``BITMAP_BITS``."""
-    n = hashes.count()
-    bits = min(BITMAP_BITS, 1 << max(16, (64 * n).bit_length()))
-    shift = 64 - bits.bit_length() + 1
-    place = F.shiftrightunsigned(column, shift)
-    rows = hashes.select(F.shiftrightunsigned(place, 6).alias("i"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {shift}) & 63 as int))").alias("b"))
-    found = rows.groupBy("i").agg(F.bit_or("b").alias("b")).toPandas()
-    out = np.zeros(bits // 64, np.uint64)
-    out[found["i"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64).view(np.uint64)
-    return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool) if bits <= 1 << 22 else out, shift
-
-
-def _member(bitmap: np.ndarray, shift: int, hashes: np.ndarray) -> np.ndarray:
-    place = hashes >> np.uint64(shift)
-    if bitmap.dtype == bool:
-        return bitmap[place]
-    return ((bitmap[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1)).astype(bool)
-
-
-def _count_in_corpus(docs: DataFrame, text_col: str, widths: list[int], shared, shift: int) -> DataFrame:
+def _count_in_corpus(docs: DataFrame, text_col: str, widths: list[int], shared) -> DataFrame:
     """(hash, n): how often shingles that the bitmap lets pass occur in the corpus."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,7 +76,7 @@ def _count_in_corpus(docs: DataFrame, text_col: str, widths: list[int], shared,
                 words = Words(part.column(text_col), ALNUM_LOWER)
                 for width in widths:
                     hashes, _ = _shingles(words, width)
-                    value, n = np.unique(hashes[_member(shared.value, shift, hashes)], return_counts=True)
+                    value, n = np.unique(hashes[shared.value.passes(hashes)], return_counts=True)
                     if len(value):
                         yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n)], ["hash", "n"])
 
@@ -129,7 +109,7 @@ def _anchors(items: DataFrame, counts: DataFrame) -> DataFrame:
     )
 
 
-def _places(docs: DataFrame, id_col: str, text_col: str, widths: list[int], window: int, shared, shift: int) -> DataFrame:
+def _places(docs: DataFrame, id_col: str, text_col: str, widths: list[int], window: int, shared) -> DataFrame:
     """One row per document: n_words and the places where an anchor may start."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,7 +118,7 @@ def _places(docs: DataFrame, id_col: str, text_col: str, widths: list[int], wind
                 rows, hits = [], [[] for _ in range(words.rows)]
                 for width in widths:
                     hashes, at = _shingles(words, width)
-                    ok = _member(shared.value, shift, hashes)
+                    ok = shared.value.passes(hashes)
                     rows.append((at[ok], hashes[ok].view(np.int64)))
                 for at, hashes in rows:
                     row = np.searchsorted(words.first, at, "right") - 1
@@ -198,15 +178,14 @@ def contamination(
     is hit.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    spark = docs.sparkSession
+    context = docs.sparkSession.sparkContext
     items = kept(_items(benchmark, item_col, item_text, window, shingle), "items")
     widths = [r.width for r in items.select("width").distinct().collect()]
     hashes = items.select(F.explode("hashes").alias("hash")).distinct()
-    bitmap, shift = _bitmap(hashes, "hash")
-    counts = _count_in_corpus(docs, text_col, widths, spark.sparkContext.broadcast(bitmap), shift)
+    counts = _count_in_corpus(docs, text_col, widths, context.broadcast(Bitmap(hashes, "hash", 64)))
     anchors = kept(_anchors(items, counts), "anchors")
-    bitmap, shift = _bitmap(anchors.select("hash").distinct(), "hash")
-    found = kept(_places(docs, id_col, text_col, widths, window, spark.sparkContext.broadcast(bitmap), shift), "places")
+    near_anchor = context.broadcast(Bitmap(anchors.select("hash").distinct(), "hash", 64))
+    found = kept(_places(docs, id_col, text_col, widths, window, near_anchor), "places")
     hits = found.where(F.size("places") > 0).distinct().select("id", "same", "n_words", F.explode("places").alias("p"))
     hits = hits.select("id", "same", "n_words", "p.*")
     near = hits.join(anchors.withColumnRenamed("at", "anchor"), "hash").where(
