@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandmill.functions.hashing import address
+from strandmill.operators import reconstruct
 from strandmill.operators.alignment import cigar_ops
 
 COPY, LITERAL = "copy", "literal"
@@ -84,6 +85,15 @@ def _pieces(taken: DataFrame, lengths: DataFrame) -> DataFrame:
     return steps.unionByName(gaps).where(F.col("q_end") > F.col("q_start"))
 
 
+def _inside(pieces: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Pieces with copies that leave their reference (ref_chrom, ref_size) turned into literals."""
+    lost = F.col("ref_end") > F.col("ref_size")
+    copies = pieces.where(F.col("type") == COPY).join(sizes, "ref_chrom").select(
+        "chrom", "q_start", "q_end", F.when(lost, LITERAL).otherwise(COPY).alias("type"),
+        *[F.when(~lost, F.col(c)).alias(c) for c in ("ref_chrom", "ref_start", "ref_end")])
+    return pieces.where(F.col("type") == LITERAL).unionByName(copies)
+
+
 def coalesce_ops(pieces: DataFrame) -> DataFrame:
     """Merge neighbouring literals, and copies that continue on the same reference."""
     order = Window.partitionBy("chrom").orderBy("q_start")
@@ -104,12 +114,23 @@ def coalesce_ops(pieces: DataFrame) -> DataFrame:
     )
 
 
-def build(blocks: DataFrame, query: DataFrame) -> DataFrame:
-    """Operations for every query sequence (query, seq), literals with their bytes."""
+def build(blocks: DataFrame, query: DataFrame, reference: DataFrame | None = None) -> DataFrame:
+    """Operations for every query sequence (query, seq), literals with their bytes.
+
+    With a reference (target, seq), blocks on targets it does not have are left out, and a match
+    that runs past the end of its target becomes a literal.
+    """
+    sizes = None
+    if reference is not None:
+        sizes = reference.select(F.col("target").alias("ref_chrom"), F.octet_length(F.col("seq").cast("binary")).cast("long").alias("ref_size"))
+        blocks = blocks.join(sizes.select(F.col("ref_chrom").alias("target_name")), "target_name", "left_semi")
     taken = select_blocks(blocks).withColumnRenamed("query_name", "chrom")
     data = query.select(F.col("query").alias("chrom"), F.col("seq").cast("binary").alias("seq"))
     lengths = data.select("chrom", F.octet_length("seq").cast("long").alias("length"))
-    ops = coalesce_ops(_pieces(taken, lengths))
+    pieces = _pieces(taken, lengths)
+    if sizes is not None:
+        pieces = _inside(pieces, sizes)
+    ops = coalesce_ops(pieces)
     # One row per sequence on both sides: the text moves once, next to its operations.
     grouped = ops.groupBy("chrom").agg(F.collect_list(F.struct(*[c for c in ops.columns if c != "chrom"])).alias("ops"))
     own = F.when(F.col("o.type") == LITERAL, F.substring(
@@ -119,11 +140,25 @@ def build(blocks: DataFrame, query: DataFrame) -> DataFrame:
     )
 
 
-def apply(ops: DataFrame, reference: DataFrame) -> DataFrame:
+class ReferenceMismatch(ValueError):
+    """The delta was made against another reference."""
+
+
+def reference_digest(reference: DataFrame) -> str | None:
+    """The hash of a reference (target, seq), which a delta records; None for one without sequences."""
+    chroms = reference.select(F.lit("").alias("of"), F.col("target").alias("chrom"), F.col("seq").alias("text"))
+    row = reconstruct.reference_hash(chroms, "of").first()
+    return row.reference_hash if row else None
+
+
+def apply(ops: DataFrame, reference: DataFrame, recorded: str | None = None) -> DataFrame:
     """Sequences rebuilt from operations and a reference (target, seq).
 
-    A copy that leaves its reference, or names an unknown one, makes ``bad`` positive.
+    A copy that leaves its reference, or names an unknown one, makes ``bad`` positive.  With a
+    ``recorded`` reference hash, another reference is refused.
     """
+    if recorded is not None and (got := reference_digest(reference)) != recorded:
+        raise ReferenceMismatch(f"made against {recorded}, got {got}")
     ref = reference.select(
         F.col("target").alias("ref_chrom"), F.col("seq").cast("binary").alias("ref")
     )
@@ -165,7 +200,8 @@ def reference_gaps(ops: DataFrame) -> DataFrame:
 
 def verified(rebuilt: DataFrame, query: DataFrame) -> DataFrame:
     recorded = query.select(F.col("query").alias("chrom"), address(F.col("seq")).alias("recorded"))
-    return rebuilt.join(recorded, "chrom").select(
-        "chrom", "recorded",
-        ((F.col("bad") == 0) & (address(F.col("data")) == F.col("recorded"))).alias("verified"),
-    )
+    # An empty sequence has no operations, so nothing rebuilt stands for no bytes.
+    found = recorded.join(rebuilt, "chrom", "left")
+    data = F.when(F.col("bad").isNull(), F.lit(b"")).otherwise(F.col("data"))
+    same = (F.coalesce("bad", F.lit(0)) == 0) & (address(data) == F.col("recorded"))
+    return found.select("chrom", "recorded", F.coalesce(same, F.lit(False)).alias("verified"))

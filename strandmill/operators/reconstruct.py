@@ -13,6 +13,13 @@ from strandmill.operators.spread import spread_join
 CHROMS_PER_BLOCK = 4_096
 
 
+def _chrom_block(rows: DataFrame, chrom: str = "chrom") -> Column:
+    """Blocks along the chromosome order: of numbers, or of the first two letters of names."""
+    if rows.schema[chrom].dataType.typeName() != "string":
+        return blocked.block_of(chrom, CHROMS_PER_BLOCK)
+    return F.ascii(chrom).cast("long") * (1 << 21) + F.ascii(F.substring(chrom, 2, 1))
+
+
 def store_of(segments: DataFrame) -> DataFrame:
     """Content-addressed store: one copy of every segment and how often it is used."""
     return segments.groupBy("hash").agg(
@@ -52,7 +59,7 @@ def verified_segments(arrived: DataFrame) -> DataFrame:
 
 def chrom_index(chroms: DataFrame, block: Column | None = None) -> DataFrame:
     """0-based place of each chromosome inside its assembly."""
-    block = blocked.block_of("chrom", CHROMS_PER_BLOCK) if block is None else block
+    block = _chrom_block(chroms) if block is None else block
     return blocked.position(chroms, ["assembly"], ["chrom"], block, "chrom_idx")
 
 
@@ -83,7 +90,7 @@ def segments_root(manifest: DataFrame) -> DataFrame:
     """Root hash of each assembly over its segment addresses in genome order."""
     placed = blocked.position(
         manifest.select("assembly", "chrom", "seg_idx", "hash"),
-        ["assembly"], ["chrom", "seg_idx"], blocked.block_of("chrom", CHROMS_PER_BLOCK),
+        ["assembly"], ["chrom", "seg_idx"], _chrom_block(manifest),
     )
     return ordered_root(placed, "assembly", "position", F.col("hash"), "segments_root")
 
@@ -105,7 +112,7 @@ def reference_hash(chroms: DataFrame, group: str) -> DataFrame:
     ), 256)
     tokens = chroms.select(group, "chrom", token.alias("token"))
     placed = blocked.position(
-        tokens, [group], ["chrom"], blocked.block_of("chrom", CHROMS_PER_BLOCK)
+        tokens, [group], ["chrom"], _chrom_block(tokens)
     )
     return ordered_root(placed, group, "position", F.col("token"), "reference_hash")
 

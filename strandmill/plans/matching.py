@@ -65,7 +65,7 @@ def match_block_runs(spark, sf):
 
 
 def _delta(spark, sf):
-    return delta.build(_blocks(spark, sf), _query(spark, sf))
+    return delta.build(_blocks(spark, sf), _query(spark, sf), _target(spark, sf))
 
 
 def delta_ops(spark, sf):
@@ -256,7 +256,7 @@ ORACLES = {
         t_start AS target_start, t_end AS target_end, q_start AS query_start, q_end AS query_end
         FROM mems""",
     "delta_apply": """SELECT doc_id AS chrom, 'sha256:' || sha256(text) AS recorded, true AS verified
-        FROM documents WHERE text <> ''""",
+        FROM documents""",
     "cut_propagation": f"WITH RECURSIVE {CUTS} SELECT * FROM cut",
     "reindex_regions": f"""WITH RECURSIVE {REGIONS}
         SELECT p.chrom, p."start", p."end", EXISTS (SELECT 1 FROM merged m WHERE m.chrom = p.chrom
