@@ -7,18 +7,21 @@ words one after the other, and each different word is encoded once.  A worker ke
 
 from __future__ import annotations
 
-import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from strandmill.llm.store import worker_state
 from strandmill.llm.words import BLANKS, Words, slices
 
 CACHE = 300_000
+SLICE = 12 << 20
 END = 2
-_PLAIN = re.compile(rb"([A-Za-z]+|(?:\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[A-Za-z])+)([.,;:!?]*)")
+# Latin letters make one part and the marks after them another; such words need no more care.
+_PLAIN = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[.,;:!?]*)\z"
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -35,45 +38,54 @@ def whole_tokenizer(path: str):
 
 
 class Encoder:
-    """Encodes words; the ids of word ``w`` are ``flat[at[w]:at[w] + size[w]]``."""
+    """Ids of distinct words; the parts of words stay known between batches."""
 
     def __init__(self, path: str):
         self.whole = whole_tokenizer(path)
         self.byte_chars = _byte_chars()
-        self.parts: dict[str, list[int]] = {}
-        self.words: dict[bytes, list[int]] = {}
-
-    def _part(self, part: str) -> list[int]:
-        ids = self.parts.get(part)
-        if ids is None:
-            coded = part if part.isascii() else "".join([self.byte_chars[b] for b in part.encode()])
-            ids = self.parts[part] = [t.id for t in self.whole.model.tokenize(coded)]
-        return ids
-
-    def encode(self, words: list[bytes]) -> list[list[int]]:
-        if len(self.words) + len(words) > CACHE:
-            self.words.clear()
+        self.parts: dict[str, bytes] = {}
+
+    def _part(self, part: str) -> bytes:
+        coded = part if part.isascii() else "".join([self.byte_chars[b] for b in part.encode()])
+        return array("I", [t.id for t in self.whole.model.tokenize(coded)]).tobytes()
+
+    def _known(self, parts: pa.Array) -> tuple[pa.Array, list[bytes]]:
+        """Indices of the parts, and the ids of each different one."""
+        coded = parts.dictionary_encode()
         if len(self.parts) > CACHE:
             self.parts.clear()
-        known, out, odd = self.words, [], []
-        for i, word in enumerate(words):
-            ids = known.get(word)
+        known = self.parts
+        out = []
+        for part in coded.dictionary.to_pylist():
+            ids = known.get(part)
             if ids is None:
-                plain = _PLAIN.fullmatch(word)
-                if plain:
-                    # Letters make one part and the marks after them another.
-                    ids = self._part(plain[1].decode().lower())
-                    if plain[2]:
-                        ids = ids + self._part(plain[2].decode())
-                    known[word] = ids
-                else:
-                    odd.append(i)
+                ids = known[part] = self._part(part) if part else b""
             out.append(ids)
-        if odd:
-            texts = [words[i].decode() for i in odd]
-            for i, coded in zip(odd, self.whole.encode_batch(texts, add_special_tokens=False), strict=True):
-                out[i] = coded.ids
-        return out
+        return coded.indices, out
+
+    def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(flat, at, size): the ids of word ``w`` are ``flat[at[w]:at[w] + size[w]]``."""
+        split = pc.extract_regex(words, _PLAIN)
+        plain = split.is_valid().to_numpy(zero_copy_only=False)
+        letters, marks = pc.struct_field(split, "letters"), pc.struct_field(split, "marks")
+        first, first_ids = self._known(pc.utf8_lower(letters).drop_null())
+        second, second_ids = self._known(marks.drop_null())
+        odd = [x.ids for x in self.whole.encode_batch(words.filter(pa.array(~plain)).to_pylist(), add_special_tokens=False)]
+        runs = first_ids + second_ids + [np.array(x, np.uint32).tobytes() for x in odd] + [b""]
+        length = np.array([len(x) // 4 for x in runs], np.int64)
+        starts = np.cumsum(length) - length
+        store = np.frombuffer(b"".join(runs), np.uint32)
+        one, two = np.empty(len(plain), np.int64), np.full(len(plain), len(runs) - 1)
+        one[plain], two[plain] = first.to_numpy(), second.to_numpy() + len(first_ids)
+        one[~plain] = np.arange(len(odd)) + len(first_ids) + len(second_ids)
+        size = length[one] + length[two]
+        at = np.cumsum(size) - size
+        flat = np.empty(int(size.sum()), np.uint32)
+        for run, shift in ((one, 0), (two, length[one])):
+            each = length[run]
+            inner = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
+            flat[np.repeat(at + shift, each) + inner] = store[np.repeat(starts[run], each) + inner]
+        return flat, at, size
 
 
 def _byte_chars() -> list[str]:
@@ -95,10 +107,7 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """(ids, bounds): the ids of text ``r``, its end id included, are ``ids[bounds[r]:bounds[r + 1]]``."""
     words = Words(texts, BLANKS)
     coded = words.array().dictionary_encode()
-    lists = encoder(path).encode(coded.dictionary.to_pylist())
-    size = np.array([len(x) for x in lists], np.int64)
-    flat = np.fromiter((i for x in lists for i in x), np.uint32, int(size.sum()))
-    at = np.cumsum(size) - size
+    flat, at, size = encoder(path).encode(coded.dictionary.cast(pa.large_string()))
     word = coded.indices.to_numpy(zero_copy_only=False)
     each = size[word]
     # A text is its words and then the end id: place the words, leave one place after each text.
@@ -114,5 +123,5 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
 def encoded(batches: Iterator[pa.RecordBatch], text_col: str, path: str):
     """(slice of rows, ids, bounds) for slices of the batches."""
     for batch in batches:
-        for part in slices(batch, text_col):
+        for part in slices(batch, text_col, SLICE):
             yield part, *encode(part.column(text_col), path)
