@@ -28,14 +28,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandmill.llm.bitmap import Bitmap
 from strandmill.llm.store import bucketed, kept
 from strandmill.llm.words import BLANKS, Words, roll, slices, slide
 
 WIDTH = 20
 SEED = 6
-BITMAP_BITS = 1 << 27
+COUNT_BYTES = 16 << 20
+BLOCK_BITS = 20
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LAST = (1 << 63) - 1
+_FORK = -1
 
 
 class _Runs:
@@ -70,48 +73,40 @@ class _Runs:
 
 
 def _counts(docs: DataFrame, width: int, seed: int) -> DataFrame:
-    """(seed): hashes of seeds that occur at two places of different texts, or of one text."""
+    """(seed): hashes of seeds that occur at two places of different texts, or of one text.
+
+    A slice of rows sends at most two places per seed, so a common seed is small in the shuffle.
+    """
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", COUNT_BYTES):
                 runs = _Runs(part.column("text"), width, seed)
                 at = runs.chosen()
                 row, place = runs.place(at)
-                source = part.column("c1").to_numpy()[row]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(runs.seeds[at].view(np.int64)), pa.array(source ^ place * 0x2545F4914F6CDD1D)], ["seed", "place"])
-
-    rows = docs.select("text", "c1").mapInArrow(scan, "seed long, place long")
-    both = rows.groupBy("seed").agg(F.min("place").alias("lo"), F.max("place").alias("hi"))
-    return both.where("lo <> hi").select("seed")
-
-
-def _bitmap(values: DataFrame, column: str) -> tuple[np.ndarray, int]:
-    """A bitmap with about 16 bits per value, never more than ``BITMAP_BITS``: it only saves
-    rows of the exact join that follows."""
-    bits = min(BITMAP_BITS, 1 << max(16, (16 * values.count()).bit_length()))
-    shift = 64 - bits.bit_length() + 1
-    words = values.select(F.shiftrightunsigned(column, shift).alias("p")).select(
-        F.shiftrightunsigned("p", 6).alias("i"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("b"))
-    found = words.groupBy("i").agg(F.bit_or("b").alias("b")).toPandas()
-    out = np.zeros(bits // 64, np.uint64)
-    out[found["i"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64).view(np.uint64)
-    return out, shift
-
-
-def _member(bitmap: np.ndarray, shift: int, hashes: np.ndarray) -> np.ndarray:
-    place = hashes >> np.uint64(shift)
-    return ((bitmap[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1)).astype(bool)
-
-
-def _seed_places(docs: DataFrame, shared, shift: int, width: int, seed: int) -> DataFrame:
+                value = part.column("c1").to_numpy()[row] ^ place * 0x2545F4914F6CDD1D
+                key = runs.seeds[at].view(np.int64)
+                order = np.lexsort((value, key))
+                key, value = key[order], value[order]
+                first = np.ones(len(key), bool)
+                first[1:] = key[1:] != key[:-1]
+                last = np.ones(len(key), bool)
+                last[:-1] = first[1:]
+                ends = first | last
+                ends[1:] &= first[1:] | (value[1:] != value[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(key[ends]), pa.array(value[ends])], ["seed", "place"])
+
+    rows = docs.select("text", "c1").mapInArrow(scan, "seed long, place long").repartition("seed")
+    return rows.groupBy("seed").agg(F.min("place").alias("lo"), F.max("place").alias("hi")).where("lo <> hi").select("seed")
+
+
+def _seed_places(docs: DataFrame, shared, width: int, seed: int) -> DataFrame:
     """(seed, c1, at): places of seeds that pass the bitmap."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 runs = _Runs(part.column("text"), width, seed)
                 at = runs.chosen()
-                at = at[_member(shared.value, shift, runs.seeds[at])]
+                at = at[shared.value.passes(runs.seeds[at])]
                 row, place = runs.place(at)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(runs.seeds[at].view(np.int64)), part.column("c1").take(pa.array(row)), pa.array(place.astype(np.int32))],
@@ -121,10 +116,14 @@ def _seed_places(docs: DataFrame, shared, shift: int, width: int, seed: int) ->
 
 
 def _edges(sources: DataFrame, width: int, seed: int) -> DataFrame:
-    """(edge, id, k, at, prev, next) of edges whose seed is at one of the row's ``places``."""
+    """(edge, n, coord, prev, next) of edges whose seed is at one of the row's ``places``.
+
+    A slice of rows sends an edge once: n occurrences, the smallest coordinate, and the edges
+    before and after, each 0 if there is none and ``_FORK`` if they differ.
+    """
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", COUNT_BYTES):
                 runs = _Runs(part.column("text"), width, seed)
                 if not len(runs.edges):
                     continue
@@ -139,47 +138,61 @@ def _edges(sources: DataFrame, width: int, seed: int) -> DataFrame:
                 ended = at + 1 >= len(runs.edges)
                 after = np.minimum(at + 1, len(runs.edges) - 1)
                 none = np.uint64(0)
-                prev = np.where(place > 0, runs.edges[at - 1], none)
-                following = np.where(ended | ~runs.valid[after], none, runs.edges[after])
-                rows = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(runs.edges[at].view(np.int64)), part.column("uid").take(rows), part.column("k").take(rows),
-                     pa.array(place.astype(np.int32)), pa.array(prev.view(np.int64)), pa.array(following.view(np.int64))],
-                    ["edge", "uid", "k", "at", "prev", "next"])
+                prev = np.where(place > 0, runs.edges[at - 1], none).view(np.int64)
+                following = np.where(ended | ~runs.valid[after], none, runs.edges[after]).view(np.int64)
+                coord = part.column("base").to_numpy()[row] + place
+                edge = runs.edges[at].view(np.int64)
+                order = np.lexsort((coord, edge))
+                edge, coord, prev, following = edge[order], coord[order], prev[order], following[order]
+                first = np.flatnonzero(np.concatenate([[True], edge[1:] != edge[:-1]])) if len(edge) else order
+                n = np.diff(np.concatenate([first, [len(edge)]]))
+                columns = [edge[first], n, coord[first], *(_same(x, first, n) for x in (prev, following))]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["edge", "n", "coord", "prev", "next"])
+
+    return sources.select("text", "base", "places").mapInArrow(scan, "edge long, n long, coord long, prev long, next long")
 
-    return sources.select("text", "uid", "k", "places").mapInArrow(scan, "edge long, uid long, k long, at int, prev long, next long")
+
+def _same(values: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The value of each group, ``_FORK`` where it has several."""
+    if not len(first):
+        return values
+    low, high = np.minimum.reduceat(values, first), np.maximum.reduceat(values, first)
+    return np.where(low == high, low, _FORK)
 
 
 def _paths(edges: DataFrame) -> DataFrame:
-    """(edge, size): first edge and number of edges of each repeated nonbranching path."""
-    nodes = edges.groupBy("edge").agg(
-        F.count("*").alias("n"), F.min(F.struct("uid", "k", "at")).alias("first"),
+    """(edge, size): first edge and number of edges of each repeated nonbranching path.
+
+    Paths also end where a block of source coordinates ends, so no task sees more than a block.
+    """
+    nodes = edges.repartition("edge").groupBy("edge").agg(
+        F.sum("n").alias("n"), F.min("coord").alias("coord"),
         F.min("prev").alias("p0"), F.max("prev").alias("p1"), F.min("next").alias("n0"), F.max("next").alias("n1"),
     ).where("n > 1")
     rows = nodes.select(
-        "edge", "first.uid", "first.k", "first.at",
+        "edge", "coord", F.shiftright("coord", BLOCK_BITS).alias("block"),
         F.when(F.expr("p0 = p1"), F.col("p0")).otherwise(0).alias("prev"),
         F.when(F.expr("n0 = n1"), F.col("n0")).otherwise(0).alias("next"),
     )
-    along = Window.partitionBy("uid", "k").orderBy("at")
+    along = Window.partitionBy("block").orderBy("coord")
     joins = (
-        (F.lag("at").over(along) == F.col("at") - 1)
+        (F.lag("coord").over(along) == F.col("coord") - 1)
         & (F.lag("next").over(along) == F.col("edge"))
         & (F.lag("edge").over(along) == F.col("prev"))
     )
     marked = rows.withColumn("head", F.when(joins, 0).otherwise(1))
     path = F.sum("head").over(along.rowsBetween(Window.unboundedPreceding, 0))
-    return marked.withColumn("path", path).groupBy("uid", "k", "path").agg(
-        F.min_by("edge", "at").alias("edge"), F.count("*").cast("int").alias("size")).select("edge", "size")
+    return marked.withColumn("path", path).groupBy("block", "path").agg(
+        F.min_by("edge", "coord").alias("edge"), F.count("*").cast("int").alias("size")).select("edge", "size")
 
 
-def _starts(sources: DataFrame, shared, shift: int, width: int, seed: int) -> DataFrame:
+def _starts(sources: DataFrame, shared, width: int, seed: int) -> DataFrame:
     """(edge, c1, c2, at): places of edges that pass the bitmap of path heads."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 runs = _Runs(part.column("text"), width, seed)
-                at = np.flatnonzero(runs.valid & _member(shared.value, shift, runs.edges))
+                at = np.flatnonzero(runs.valid & shared.value.passes(runs.edges))
                 row, place = runs.place(at)
                 rows = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
@@ -190,7 +203,7 @@ def _starts(sources: DataFrame, shared, shift: int, width: int, seed: int) -> Da
 
 
 def _digests(sources: DataFrame, width: int) -> DataFrame:
-    """(edge, digest, uid, k, c1, c2, at, size) of the row's ``spans``."""
+    """(edge, digest, base, c1, c2, at, size) of the row's ``spans``."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -207,12 +220,12 @@ def _digests(sources: DataFrame, width: int) -> DataFrame:
                         out["size"].append(s["size"])
                 take = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(out["edge"], pa.int64()), pa.array(out["digest"], pa.binary()), part.column("uid").take(take),
-                     part.column("k").take(take), part.column("c1").take(take), part.column("c2").take(take),
+                    [pa.array(out["edge"], pa.int64()), pa.array(out["digest"], pa.binary()), part.column("base").take(take),
+                     part.column("c1").take(take), part.column("c2").take(take),
                      pa.array(out["at"], pa.int32()), pa.array(out["size"], pa.int32())],
-                    ["edge", "digest", "uid", "k", "c1", "c2", "at", "size"])
+                    ["edge", "digest", "base", "c1", "c2", "at", "size"])
 
-    kinds = "edge long, digest binary, uid long, k long, c1 long, c2 long, at int, size int"
+    kinds = "edge long, digest binary, base long, c1 long, c2 long, at int, size int"
     return sources.mapInArrow(scan, kinds)
 
 
@@ -248,6 +261,18 @@ def _order(id_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
 
 
+def _laid_out(classes: DataFrame) -> DataFrame:
+    """(c1, c2, uid, base): texts in the order of (uid, c2), each at the sum of the sizes before it,
+    so that base + place orders all words of all texts."""
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = kept(classes.repartitionByRange(parts, "uid", "c2").withColumn("part", F.spark_partition_id()), "classes")
+    inner = F.coalesce(F.sum(F.col("size") + 1).over(Window.partitionBy("part").orderBy("uid", "c2", "c1").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = rows.groupBy("part").agg(F.sum(F.col("size") + 1).alias("total"))  # one row per range
+    starts = totals.select("part", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    laid = rows.withColumn("inner", inner).join(F.broadcast(starts), "part")
+    return kept(laid.select("c1", "c2", "uid", (F.col("start") + F.col("inner")).alias("base")), "laid_out")
+
+
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, seed: int = SEED) -> DataFrame:
     """(c1, c2, uid, n_removed, kept_text, kept_sha256): one row per different text.
 
@@ -257,28 +282,23 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     """
     c1, c2 = _text_keys(text_col)
     texts = docs.select(_order(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), c1.alias("c1"), c2.alias("c2"))
-    classes = texts.groupBy("c1", "c2").agg(F.min("id").alias("uid"))
-    clash = classes.groupBy("uid").count().where("count > 1").select("uid", F.lit(1).alias("clash"))
-    classes = classes.join(clash, "uid", "left").select(
-        "c1", "c2", "uid", F.when(F.col("clash") == 1, F.col("c2")).otherwise(0).alias("k"))
-    classes = kept(classes, "classes")
+    classes = _laid_out(texts.groupBy("c1", "c2").agg(F.min("id").alias("uid"), F.max(F.length("text")).alias("size")))
     context = docs.sparkSession.sparkContext
     repeated = kept(_counts(texts, width, seed), "seeds")
-    bitmap, shift = _bitmap(repeated, "seed")
-    places = _seed_places(texts, context.broadcast(bitmap), shift, width, seed).join(repeated, "seed")
+    places = _seed_places(texts, context.broadcast(Bitmap(repeated, "seed")), width, seed).join(repeated, "seed")
     spots = places.groupBy("c1").agg(F.collect_set("at").alias("places")).join(classes, "c1")
     # Bucketed by text, so that what belongs to a text later meets it without moving it again.
-    sources = bucketed(texts.join(spots, ["c1", "c2"]).where("id = uid").select("c1", "c2", "uid", "k", "text", "places"), "sources", ["c1", "c2"])
+    sources = bucketed(texts.join(spots, ["c1", "c2"]).where("id = uid").select("c1", "c2", "base", "text", "places"), "sources", ["c1", "c2"])
     paths = kept(_paths(_edges(sources, width, seed)), "paths")
-    bitmap, shift = _bitmap(paths, "edge")
-    spans = _starts(sources, context.broadcast(bitmap), shift, width, seed).join(paths, "edge")
+    spans = _starts(sources, context.broadcast(Bitmap(paths, "edge")), width, seed).join(paths, "edge")
     spans = spans.groupBy("c1", "c2").agg(F.collect_set(F.struct("edge", "at", "size")).alias("spans"))
-    digests = kept(_digests(sources.select("c1", "c2", "uid", "k", "text").join(spans, ["c1", "c2"]), width), "digests")
-    least = digests.groupBy("edge", "digest").agg(F.min(F.struct("uid", "k", "at")).alias("first"))
-    later = digests.join(least, ["edge", "digest"]).where(F.struct("uid", "k", "at") > F.col("first"))
+    digests = kept(_digests(sources.select("c1", "c2", "base", "text").join(spans, ["c1", "c2"]), width), "digests")
+    digests = digests.withColumn("coord", F.col("base") + F.col("at"))
+    least = digests.groupBy("edge", "digest").agg(F.min("coord").alias("first"))
+    later = digests.join(least, ["edge", "digest"]).where("coord > first")
     removals = later.groupBy("c1", "c2").agg(
         F.collect_set(F.struct(F.col("at").alias("lo"), (F.col("at") + F.col("size") + (width - 1)).alias("hi"))).alias("spans"))
-    return classes.drop("k").join(_cut_texts(sources, removals), ["c1", "c2"], "left")
+    return classes.drop("base").join(_cut_texts(sources, removals), ["c1", "c2"], "left")
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, seed: int = SEED) -> DataFrame:
