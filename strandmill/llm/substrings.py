@@ -24,7 +24,9 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +38,7 @@ WIDTH = 20
 SEED = 6
 COUNT_BYTES = 16 << 20
 BLOCK_BITS = 20
+DIGEST_SEED = 11
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LAST = (1 << 63) - 1
 _FORK = -1
@@ -87,12 +90,10 @@ def _counts(docs: DataFrame, width: int, seed: int) -> DataFrame:
                 key = runs.seeds[at].view(np.int64)
                 order = np.lexsort((value, key))
                 key, value = key[order], value[order]
-                first = np.ones(len(key), bool)
-                first[1:] = key[1:] != key[:-1]
-                last = np.ones(len(key), bool)
-                last[:-1] = first[1:]
-                ends = first | last
-                ends[1:] &= first[1:] | (value[1:] != value[:-1])
+                change = key[1:] != key[:-1]
+                first = np.flatnonzero(np.concatenate([[True], change])) if len(key) else order
+                last = np.flatnonzero(np.concatenate([change, [True]])) if len(key) else order
+                ends = np.concatenate([first, last[value[last] != value[first]]])
                 yield pa.RecordBatch.from_arrays([pa.array(key[ends]), pa.array(value[ends])], ["seed", "place"])
 
     rows = docs.select("text", "c1").mapInArrow(scan, "seed long, place long").repartition("seed")
@@ -215,17 +216,17 @@ def _digests(sources: DataFrame, width: int) -> DataFrame:
                         text = words.text(lo + s["at"], lo + s["at"] + s["size"] + width - 1)
                         rows.append(r)
                         out["edge"].append(s["edge"])
-                        out["digest"].append(hashlib.blake2b(text, digest_size=16).digest())
+                        out["digest"].append(xxhash.xxh3_64_intdigest(text, DIGEST_SEED) - (1 << 63))
                         out["at"].append(s["at"])
                         out["size"].append(s["size"])
                 take = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(out["edge"], pa.int64()), pa.array(out["digest"], pa.binary()), part.column("base").take(take),
+                    [pa.array(out["edge"], pa.int64()), pa.array(out["digest"], pa.int64()), part.column("base").take(take),
                      part.column("c1").take(take), part.column("c2").take(take),
                      pa.array(out["at"], pa.int32()), pa.array(out["size"], pa.int32())],
                     ["edge", "digest", "base", "c1", "c2", "at", "size"])
 
-    kinds = "edge long, digest binary, base long, c1 long, c2 long, at int, size int"
+    kinds = "edge long, digest long, base long, c1 long, c2 long, at int, size int"
     return sources.mapInArrow(scan, kinds)
 
 
@@ -286,9 +287,16 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     context = docs.sparkSession.sparkContext
     repeated = kept(_counts(texts, width, seed), "seeds")
     places = _seed_places(texts, context.broadcast(Bitmap(repeated, "seed")), width, seed).join(repeated, "seed")
-    spots = places.groupBy("c1").agg(F.collect_set("at").alias("places")).join(classes, "c1")
+    spots = kept(places.groupBy("c1").agg(F.collect_set("at").alias("places")).join(classes, "c1"), "spots")
+    # Texts without repeated seeds need not travel to the join that would drop them.
+    wanted = context.broadcast(Bitmap(spots, "c1"))
+
+    @F.pandas_udf("boolean")
+    def may_repeat(keys: pd.Series) -> pd.Series:
+        return pd.Series(wanted.value.passes(keys.to_numpy().view(np.uint64)))
+
     # Bucketed by text, so that what belongs to a text later meets it without moving it again.
-    sources = bucketed(texts.join(spots, ["c1", "c2"]).where("id = uid").select("c1", "c2", "base", "text", "places"), "sources", ["c1", "c2"])
+    sources = bucketed(texts.where(may_repeat("c1")).join(spots, ["c1", "c2"]).where("id = uid").select("c1", "c2", "base", "text", "places"), "sources", ["c1", "c2"])
     paths = kept(_paths(_edges(sources, width, seed)), "paths")
     spans = _starts(sources, context.broadcast(Bitmap(paths, "edge")), width, seed).join(paths, "edge")
     spans = spans.groupBy("c1", "c2").agg(F.collect_set(F.struct("edge", "at", "size")).alias("spans"))

@@ -65,6 +65,21 @@ def test_texts(spark):
     assert digests
 
 
+def test_copies_in_one_slice(spark):
+    """Copies of a text must not hide that its passages also occur elsewhere."""
+    rng = random.Random(8)
+    text = lambda n: " ".join(f"w{rng.randrange(900)}" for _ in range(n))
+    data = []
+    for i in range(40):
+        shared = text(40)
+        whole = text(10) + " " + shared + " " + text(10)
+        data += [(100 + 3 * i, whole), (101 + 3 * i, whole), (102 + 3 * i, shared + " " + text(5))]
+    rng.shuffle(data)
+    df = spark.createDataFrame(data, "doc_id long, text string").coalesce(1)
+    found = sorted(((r.id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.report(df).collect()), key=str)
+    assert found == model(data, 20)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert substrings.report(df).collect() == [] and substrings.remove_repeats(df).collect() == []
