@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandmill.llm.bitmap import Bitmap
+from strandmill.llm.bitmap import bitmap_of, passes
 from strandmill.llm.store import kept
 from strandmill.llm.words import ALNUM_LOWER, Words, roll, slices
 
@@ -76,7 +76,7 @@ def _count_in_corpus(docs: DataFrame, text_col: str, widths: list[int], shared)
                 words = Words(part.column(text_col), ALNUM_LOWER)
                 for width in widths:
                     hashes, _ = _shingles(words, width)
-                    value, n = np.unique(hashes[shared.value.passes(hashes)], return_counts=True)
+                    value, n = np.unique(hashes[passes(shared.value, hashes)], return_counts=True)
                     if len(value):
                         yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n)], ["hash", "n"])
 
@@ -118,7 +118,7 @@ def _places(docs: DataFrame, id_col: str, text_col: str, widths: list[int], wind
                 rows, hits = [], [[] for _ in range(words.rows)]
                 for width in widths:
                     hashes, at = _shingles(words, width)
-                    ok = shared.value.passes(hashes)
+                    ok = passes(shared.value, hashes)
                     rows.append((at[ok], hashes[ok].view(np.int64)))
                 for at, hashes in rows:
                     row = np.searchsorted(words.first, at, "right") - 1
@@ -182,9 +182,9 @@ def contamination(
     items = kept(_items(benchmark, item_col, item_text, window, shingle), "items")
     widths = [r.width for r in items.select("width").distinct().collect()]
     hashes = items.select(F.explode("hashes").alias("hash")).distinct()
-    counts = _count_in_corpus(docs, text_col, widths, context.broadcast(Bitmap(hashes, "hash", 64)))
+    counts = _count_in_corpus(docs, text_col, widths, context.broadcast(bitmap_of(hashes, "hash", 64)))
     anchors = kept(_anchors(items, counts), "anchors")
-    near_anchor = context.broadcast(Bitmap(anchors.select("hash").distinct(), "hash", 64))
+    near_anchor = context.broadcast(bitmap_of(anchors.select("hash").distinct(), "hash", 64))
     found = kept(_places(docs, id_col, text_col, widths, window, near_anchor), "places")
     hits = found.where(F.size("places") > 0).distinct().select("id", "same", "n_words", F.explode("places").alias("p"))
     hits = hits.select("id", "same", "n_words", "p.*")

@@ -43,6 +43,18 @@ class ByteNet:
         self.weight = rng.normal(0, 0.1, (total, len(labels))).astype(np.float32)
         self.bias = np.zeros(len(labels), np.float32)
 
+    def state(self) -> dict:
+        """What a trained net consists of, as plain values: those can be broadcast."""
+        names = ("labels", "widths", "filters", "window", "taps", "weight", "bias")
+        return {n: getattr(self, n) for n in names}
+
+    @classmethod
+    def of(cls, state: dict) -> ByteNet:
+        net = cls.__new__(cls)
+        net.__dict__.update(state)
+        net.prepare()
+        return net
+
     def prepare(self) -> None:
         """Tables over byte pairs, made once per trained model."""
         self.pairs = []
@@ -168,11 +180,11 @@ def predict(docs: DataFrame, net: ByteNet | None, text_col: str = "text") -> Dat
 
     lang_pred is ``und`` with score 0 if the text is null or has no letter, or if nothing could be learned.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(net)
+    shared = docs.sparkSession.sparkContext.broadcast(net.state() if net else None)
 
     @F.pandas_udf("struct<lang_pred:string,score:double>")
     def judge(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = shared.value
+        model = ByteNet.of(shared.value) if shared.value else None
         for series in texts:
             names, scores = [], []
             batch = pa.RecordBatch.from_arrays([pa.array(series, pa.string())], ["text"])

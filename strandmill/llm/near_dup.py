@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.llm.bitmap import Bitmap
+from strandmill.llm.bitmap import bitmap_of, passes
 from strandmill.llm.store import kept
 from strandmill.llm.words import BLANKS_LOWER, Words, mix, slices
 
@@ -93,7 +93,7 @@ def _variants_of(nodes: DataFrame, keys: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(mix(batch.column("key").to_numpy().view(np.uint64)).view(np.int64))], ["h"])
 
-    shared = nodes.sparkSession.sparkContext.broadcast(Bitmap(keys.select("key").mapInArrow(hashed, "h long"), "h"))
+    shared = nodes.sparkSession.sparkContext.broadcast(bitmap_of(keys.select("key").mapInArrow(hashed, "h long"), "h"))
 
     def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = np.arange(64, dtype=np.uint64)
@@ -101,7 +101,7 @@ def _variants_of(nodes: DataFrame, keys: DataFrame) -> DataFrame:
         for batch in batches:
             fp = batch.column("fp").to_numpy().view(np.uint64)[:, None]
             key = (v << np.uint64(32)) + ((fp >> (v // np.uint64(32) * np.uint64(32))) & rest)
-            row, at = np.nonzero(shared.value.passes(mix(key)))
+            row, at = np.nonzero(passes(shared.value, mix(key)))
             yield pa.RecordBatch.from_arrays([pa.array(key[row, at].view(np.int64)), batch.column("fp").take(pa.array(row))], ["key", "fp"])
 
     return nodes.select("fp").mapInArrow(variants, "key long, fp long")

@@ -212,7 +212,7 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
         for r in built.where((F.col("region") >= low) & (F.col("region") < low + size)).toLocalIterator():
             at = (r.region - low) * (REGION_BITS // 8)
             bits[at : at + REGION_BITS // 8] = np.frombuffer(r.bits, np.uint8)
-        shared = spark.sparkContext.broadcast(Filter(regions, low, bits, steps))
+        shared = spark.sparkContext.broadcast((regions, low, bits, steps))
         parts.append(_scored(joined, shared, n_all, v_all, ends, kind))
     out = parts[0]
     for part in parts[1:]:
@@ -228,7 +228,7 @@ def _scored(joined: DataFrame, shared, n_all: int, v_all: int, ends: int, kind:
     floor = n_all + 0.1 * (v_all + 1)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = Filter(*shared.value)
         for batch in batches:
             for r in range(batch.num_rows):
                 index, first, hashes = _read(batch, r)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandmill.llm.bitmap import Bitmap
+from strandmill.llm.bitmap import bitmap_of, passes
 from strandmill.llm.store import bucketed, kept
 from strandmill.llm.words import BLANKS, Words, roll, slices, slide
 
@@ -107,7 +107,7 @@ def _seed_places(docs: DataFrame, shared, width: int, seed: int) -> DataFrame:
             for part in slices(batch, "text"):
                 runs = _Runs(part.column("text"), width, seed)
                 at = runs.chosen()
-                at = at[shared.value.passes(runs.seeds[at])]
+                at = at[passes(shared.value, runs.seeds[at])]
                 row, place = runs.place(at)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(runs.seeds[at].view(np.int64)), part.column("c1").take(pa.array(row)), pa.array(place.astype(np.int32))],
@@ -193,7 +193,7 @@ def _starts(sources: DataFrame, shared, width: int, seed: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 runs = _Runs(part.column("text"), width, seed)
-                at = np.flatnonzero(runs.valid & shared.value.passes(runs.edges))
+                at = np.flatnonzero(runs.valid & passes(shared.value, runs.edges))
                 row, place = runs.place(at)
                 rows = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
@@ -286,19 +286,19 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     classes = _laid_out(texts.groupBy("c1", "c2").agg(F.min("id").alias("uid"), F.max(F.length("text")).alias("size")))
     context = docs.sparkSession.sparkContext
     repeated = kept(_counts(texts, width, seed), "seeds")
-    places = _seed_places(texts, context.broadcast(Bitmap(repeated, "seed")), width, seed).join(repeated, "seed")
+    places = _seed_places(texts, context.broadcast(bitmap_of(repeated, "seed")), width, seed).join(repeated, "seed")
     spots = kept(places.groupBy("c1").agg(F.collect_set("at").alias("places")).join(classes, "c1"), "spots")
     # Texts without repeated seeds need not travel to the join that would drop them.
-    wanted = context.broadcast(Bitmap(spots, "c1"))
+    wanted = context.broadcast(bitmap_of(spots, "c1"))
 
     @F.pandas_udf("boolean")
     def may_repeat(keys: pd.Series) -> pd.Series:
-        return pd.Series(wanted.value.passes(keys.to_numpy().view(np.uint64)))
+        return pd.Series(passes(wanted.value, keys.to_numpy().view(np.uint64)))
 
     # Bucketed by text, so that what belongs to a text later meets it without moving it again.
     sources = bucketed(texts.where(may_repeat("c1")).join(spots, ["c1", "c2"]).where("id = uid").select("c1", "c2", "base", "text", "places"), "sources", ["c1", "c2"])
     paths = kept(_paths(_edges(sources, width, seed)), "paths")
-    spans = _starts(sources, context.broadcast(Bitmap(paths, "edge")), width, seed).join(paths, "edge")
+    spans = _starts(sources, context.broadcast(bitmap_of(paths, "edge")), width, seed).join(paths, "edge")
     spans = spans.groupBy("c1", "c2").agg(F.collect_set(F.struct("edge", "at", "size")).alias("spans"))
     digests = kept(_digests(sources.select("c1", "c2", "base", "text").join(spans, ["c1", "c2"]), width), "digests")
     digests = digests.withColumn("coord", F.col("base") + F.col("at"))
