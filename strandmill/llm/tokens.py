@@ -18,7 +18,7 @@ from strandmill.llm.store import worker_state
 from strandmill.llm.words import BLANKS, Words, slices
 
 CACHE = 300_000
-SLICE = 12 << 20
+SLICE = 4 << 20
 END = 2
 # Latin letters make one part and the marks after them another; such words need no more care.
 _PLAIN = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[.,;:!?]*)\z"
@@ -114,9 +114,12 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     total = np.concatenate([[0], np.cumsum(each)])
     bounds = total[words.first] + np.arange(words.rows + 1)
     ids = np.full(int(bounds[-1]), END, np.uint32)
-    start = total[:-1] + words.row_of()
-    inner = np.arange(int(total[-1])) - np.repeat(total[:-1], each)
-    ids[np.repeat(start, each) + inner] = flat[np.repeat(at[word], each) + inner]
+    # Half-width places where they suffice: these arrays are the largest in the worker.
+    kind = np.int32 if bounds[-1] < 1 << 31 and len(flat) < 1 << 31 else np.int64
+    inner = np.arange(int(total[-1]), dtype=kind) - np.repeat(total[:-1].astype(kind), each)
+    taken = flat[np.repeat(at[word].astype(kind), each) + inner]
+    inner += np.repeat((total[:-1] + words.row_of()).astype(kind), each)
+    ids[inner] = taken
     return ids, bounds
 
 
