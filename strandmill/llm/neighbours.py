@@ -5,11 +5,15 @@ vector's bucket is the signed axis it is nearest to.  A query looks into the buc
 ``PROBES`` nearest axes in each table, and what it finds there is ranked on the original vectors in
 double precision.
 
+Vectors are hashed by direction.  Entries are split by norm into bands of a factor of two, and each
+band is searched on its own, so within a band the nearest are those of nearest direction; a band of up to
+``WHOLE`` entries is compared whole, which keeps few long vectors from being missed.
+
 Equal vectors are hashed once and stand for their smallest ids, so a vector that many rows share is
 one entry.  Buckets are cut into chunks of bounded size, on the side of the entries as on
 that of the queries, and each pair of chunks is one group of bounded memory.  With 64 nearly
-random dimensions, the defaults look at 56 % of the rows and find 95 % of the twenty nearest of 500
-rows and 97 % of 2,000; vectors with closer neighbours need fewer tables and probes.
+random dimensions, the defaults look at 56 % of the rows of a hashed band and find 97 % of the twenty
+nearest of 2,000 rows; vectors with closer neighbours need fewer tables and probes.
 """
 
 from __future__ import annotations
@@ -27,7 +31,8 @@ TABLES = 12
 PROBES = 10
 CHUNK = 4096
 ROUNDS = 3
-SPREAD = 1e-3  # norms that differ by more are evened out by one more component
+WHOLE = 512  # a norm band of so many entries is not hashed
+DIMS = 64  # PROBES holds for so many dimensions; more padded ones take more in proportion
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -61,28 +66,36 @@ def _vectors(column: pa.Array, size: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, size).astype(np.float64)
 
 
-def _entries(classes: DataFrame, size: int, dims: int, scale: float, even: bool, tables: int, probes: int, query: bool) -> DataFrame:
-    """(slot, code, least, vector): one row per table and probed bucket of each class."""
+def _entries(classes: DataFrame, size: int, dims: int, hashed: list[int], whole: list[int], tables: int, probes: int, query: bool) -> DataFrame:
+    """(slot, code, least, vector): one row per band, table and probed bucket of each class.
+
+    An entry goes to its own norm band, a query to all; each band in ``whole`` is one slot.
+    """
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _vectors(batch.column("vector"), size)
-            norm = np.linalg.norm(x, axis=1, keepdims=True)
-            unit = x / (norm if query or not even else scale)
-            if even:
-                rest = np.zeros_like(norm) if query else np.sqrt(np.maximum(0, 1 - (norm / scale) ** 2))
-                unit = np.concatenate([unit, rest], axis=1)
-            for table in range(tables):
+            x, band = _vectors(batch.column("vector"), size), batch.column("band").to_numpy()
+            unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+            def rows(take: np.ndarray, slot: np.ndarray) -> pa.RecordBatch:
+                index = pa.array(take)
+                return pa.RecordBatch.from_arrays(
+                    [pa.array(slot.astype(np.int64)), *[batch.column(c).take(index) for c in ("code", "least", "vector")]], ["slot", "code", "least", "vector"])  # noqa: B023
+
+            for one in whole:
+                take = np.arange(len(x)) if query else np.flatnonzero(band == one)
+                yield rows(take, np.full(len(take), -1 - one))
+            for table in range(tables if hashed else 0):
                 near = buckets(unit, table, dims, probes)
-                take = pa.array(np.repeat(np.arange(len(x)), probes))
-                slot = pa.array((near.ravel() + table * 2 * dims).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([slot, *[batch.column(c).take(take) for c in ("code", "least", "vector")]], ["slot", "code", "least", "vector"])
+                for one in hashed:
+                    take = np.arange(len(x)) if query else np.flatnonzero(band == one)
+                    yield rows(np.repeat(take, probes), near[take].ravel() + (one * tables + table) * 2 * dims)
 
-    return classes.select("code", "least", "vector").mapInArrow(scan, "slot int, code long, least long, vector array<float>")
+    return classes.select("code", "least", "vector", "band").mapInArrow(scan, "slot long, code long, least long, vector array<float>")
 
 
 def search(
     table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20,
-    tables: int = TABLES, probes: int = PROBES, chunk: int = CHUNK,
+    tables: int = TABLES, probes: int | None = None, chunk: int = CHUNK,
 ) -> DataFrame:
     """(query_id, rank, id, score): the ``k`` nearest found of each row whose id ``every`` divides.
 
@@ -108,16 +121,17 @@ def search(
             F.first("vector").alias("vector"), F.min("id").alias("least"), F.sort_array(F.collect_set("id")).alias("ids")),
         "classes")
     asked = kept(rows.where(F.col("id") % every == 0).select("id", "code", "code2").distinct(), "asked")
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    span = classes.agg(F.min(norm).alias("lo"), F.max(norm).alias("hi")).first()
-    scale = span.hi or 1.0
-    even = bool(span.hi and span.hi - span.lo > SPREAD * span.hi)
-    dims = 1 << (size + even - 1).bit_length() if size + even > 1 else 1
-    probes = min(probes, 2 * dims)
+    norm = F.greatest(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))), F.lit(1e-100))
+    longest = classes.agg(F.max(norm)).first()[0] or 1.0
+    classes = classes.withColumn("band", F.floor(F.log2(F.lit(longest) / norm)).cast("int"))
+    bands = classes.groupBy("band").count().collect()  # as many as the norms have powers of two
+    hashed, whole = sorted(b.band for b in bands if b["count"] > WHOLE), sorted(b.band for b in bands if b["count"] <= WHOLE)
+    dims = 1 << (size - 1).bit_length() if size > 1 else 1
+    probes = min(probes or max(PROBES, PROBES * dims // DIMS), 2 * dims)
     queries = classes.join(asked.select("code", "code2").distinct(), ["code", "code2"], "left_semi")
-    entries = _entries(classes, size, dims, scale, even, tables, 1, query=False)
-    asks = _entries(queries, size, dims, scale, even, tables, probes, query=True)
-    # At most tables x 2 dims slots, so both counts are small tables.
+    entries = _entries(classes, size, dims, hashed, whole, tables, 1, query=False)
+    asks = _entries(queries, size, dims, hashed, whole, tables, probes, query=True)
+    # At most tables x 2 dims slots a band, so both counts are small tables.
     parts = (
         entries.groupBy("slot").agg(F.ceil(F.count("*") / chunk).cast("int").alias("entry_parts"))
         .join(asks.groupBy("slot").agg(F.ceil(F.count("*") / chunk).cast("int").alias("ask_parts")), "slot"))

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 
 from strandmill.llm import neighbours
 
@@ -61,3 +62,19 @@ def test_recall(spark):
     got, want = run(spark, rows), exact(rows, 20, 20)
     hits = sum(len({i for _, i, _ in got[q]} & {i for _, i in near}) for q, near in want.items())
     assert hits >= 0.9 * sum(len(n) for n in want.values())
+
+
+@pytest.mark.parametrize("kind", ["lognormal", "outlier"])
+def test_recall_on_mixed_norms(spark, kind):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if kind == "lognormal":
+        x *= rng.lognormal(0, 1, (2000, 1))
+    else:
+        x[7] *= 20
+    rows = [(i, v) for i, v in enumerate(x.astype(np.float32).tolist())]
+    got, want = run(spark, rows), exact(rows, 100, 20)
+    hits = sum(len({i for _, i, _ in got[q]} & {i for _, i in near}) for q, near in want.items())
+    assert hits >= 0.9 * sum(len(n) for n in want.values())
+    print("recall", kind, hits / sum(len(n) for n in want.values()))
