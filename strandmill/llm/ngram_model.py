@@ -11,8 +11,8 @@ up to one at most, but for the filter's false hits (about one in a hundred).
 
 Texts are read once, in blocks of bounded size that hold each different word once.  Exact counts of
 words come to a block by an equality join over (word, block), never over single occurrences.  The
-filter is built region by region in tasks.  It grows with the number of pairs that occur at least
-``MIN_PAIR`` times; a broadcast holds ``SHARD_BYTES`` of it at most, and a larger filter is
+filter is built region by region in tasks.  It grows with the number of different pairs, those
+that occur once included; a broadcast holds ``SHARD_BYTES`` of it at most, and a larger filter is
 scored shard by shard, each pair in the one shard that owns it.
 """
 
@@ -30,7 +30,6 @@ from strandmill.llm.store import bucketed, kept
 from strandmill.llm.words import BLANKS_LOWER, Words, mix, slices
 
 BLOCK_BYTES = 12 << 20
-MIN_PAIR = 2
 BASE = 1.5
 MU = 8.0
 BITS_PER_KEY = 10
@@ -43,8 +42,8 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 def edges(most: int) -> np.ndarray:
     """Lower edges of the steps: step s stands for counts from ``edges[s]``; step 0 for none."""
-    out, at = [0], float(MIN_PAIR)
-    while at <= max(most, MIN_PAIR):
+    out, at = [0], 1.0
+    while at <= max(most, 1):
         out.append(max(int(np.ceil(at)), out[-1] + 1))
         at *= BASE
     return np.array(out, np.int64)
@@ -140,7 +139,7 @@ def _read(batch: pa.RecordBatch, r: int) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def _pair_counts(blocks: DataFrame) -> DataFrame:
-    """(pair, n) of pairs in learning texts that occur at least ``MIN_PAIR`` times."""
+    """(pair, n) of all pairs in learning texts."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
@@ -152,7 +151,7 @@ def _pair_counts(blocks: DataFrame) -> DataFrame:
 
     rows = blocks.select("learns", "sizes", "index", "words").mapInArrow(scan, "pair long, n long")
     # A block sends a pair once, so there is little left to combine before the shuffle.
-    return rows.repartition("pair").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_PAIR)
+    return rows.repartition("pair").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 def _regions(pairs: DataFrame, regions: int, steps: np.ndarray) -> DataFrame:

@@ -85,3 +85,13 @@ def test_nothing_to_learn(spark):
     got = sorted(map(tuple, lm.score(df, F.col("teach")).collect()))
     assert [g[:5] for g in got] == [(1, False, 3, 0, 0), (2, False, 1, 0, 0)] and all(g[5] == 0 for g in got)
     assert lm.score(df.limit(0), F.col("teach")).collect() == []
+
+
+def test_single_pairs_count(spark):
+    rows = [(1, "a b c d", True), (2, "b c", False), (3, "c b", False)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, teach boolean")
+    assert lm.edges(3).tolist()[:3] == [0, 1, 2]
+    got = {r.id: r.score for r in lm.score(df, F.col("teach")).collect()}
+    want = {r[0]: r[6] for r in model(rows)}
+    unseen = sum(math.log10(lm.MU * (1 + 0.1) / (5 + 0.1 * 6) / (1 + lm.MU)) for _ in range(3))
+    assert np.isclose(got[2], want[2]) and got[2] > unseen + 0.04
