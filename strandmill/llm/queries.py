@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandmill.llm import decontaminate, language, near_dup, neighbours, ngram_model, packing, page_text, substrings, url_filter, wavelet
+from strandmill.llm import decontaminate, language, near_dup, neighbours, ngram_model, packing, page_text, pieces, substrings, url_filter, wavelet
 
 
 def _table(spark, sf_dir, name):
@@ -70,9 +70,16 @@ def op10_urls(spark, sf_dir):
     return found.select("page_id", *[f"url_verdict.{c}" for c in ("host", "path", "rule", "verdict")])
 
 
+def op13_pieces(spark, sf_dir):
+    found = pieces.decode(pieces.encode(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return found.select(
+        "doc_id", (F.octet_length("piece_ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("piece_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_lm_scores, op2_packing, op3_neighbours, op4_page_text, op5_decontaminate, op6_substrings, op7_language, op8_simhash, op9_wavelet, op10_urls)
+    for f in (op1_lm_scores, op2_packing, op3_neighbours, op4_page_text, op5_decontaminate, op6_substrings, op7_language, op8_simhash, op9_wavelet, op10_urls, op13_pieces)
 }
 _OP5 = r"""
     WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
