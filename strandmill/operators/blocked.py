@@ -45,14 +45,15 @@ def _per_block(rows: DataFrame, grain: Sequence[str], *folds: Column) -> DataFra
     return rows.groupBy(*grain).agg(*folds, touched).where(F.col("__touched").isNotNull())
 
 
-_FOLD = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count}
+_FOLD = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count, "xor": F.bit_xor}
 _MERGE = {
     "sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
     "count": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
     "max": F.greatest,
     "min": F.least,
+    "xor": lambda a, b: F.coalesce(a, F.lit(0)).bitwiseXOR(F.coalesce(b, F.lit(0))),
 }
-_OUTER = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min}
+_OUTER = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min, "xor": F.bit_xor}
 
 
 def running(
@@ -66,7 +67,7 @@ def running(
     """Add prefix aggregates along ``order`` inside each key.
 
     ``block`` must not decrease along ``order`` (negate it for a descending order).
-    ``aggs`` maps an output name to (``sum``/``count``/``max``/``min``, column);
+    ``aggs`` maps an output name to (``sum``/``count``/``max``/``min``/``xor``, column);
     ``inclusive`` decides whether a row sees itself.
     """
     rows = _in_blocks(df, keys, block)
