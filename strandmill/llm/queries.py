@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandmill.llm import decontaminate, language, near_dup, neighbours, ngram_model, packing, page_text, pieces, substrings, url_filter, wavelet
+from strandmill.llm import decontaminate, hard_negatives, language, near_dup, neighbours, ngram_model, packing, page_text, pieces, substrings, turn_trie, url_filter, wavelet
 
 
 def _table(spark, sf_dir, name):
@@ -70,6 +70,15 @@ def op10_urls(spark, sf_dir):
     return found.select("page_id", *[f"url_verdict.{c}" for c in ("host", "path", "rule", "verdict")])
 
 
+def op11_hard_negatives(spark, sf_dir):
+    label = F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)")
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"), label_col=label)
+
+
+def op12_turn_trie(spark, sf_dir):
+    return turn_trie.prefix_nodes(_table(spark, sf_dir, "conversations"))
+
+
 def op13_pieces(spark, sf_dir):
     found = pieces.decode(pieces.encode(_table(spark, sf_dir, "documents").select("doc_id", "text")))
     return found.select(
@@ -79,7 +88,7 @@ def op13_pieces(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_lm_scores, op2_packing, op3_neighbours, op4_page_text, op5_decontaminate, op6_substrings, op7_language, op8_simhash, op9_wavelet, op10_urls, op13_pieces)
+    for f in (op1_lm_scores, op2_packing, op3_neighbours, op4_page_text, op5_decontaminate, op6_substrings, op7_language, op8_simhash, op9_wavelet, op10_urls, op11_hard_negatives, op12_turn_trie, op13_pieces)
 }
 _OP5 = r"""
     WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
@@ -109,4 +118,5 @@ _OP6 = r"""
         sha256(coalesce(array_to_string(CASE WHEN n IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(ats, i)) END, ' '), '')) AS kept_sha256
     FROM docs LEFT JOIN lists USING (r)"""
 
-ORACLES: dict[str, str] = {"op5_decontaminate": _OP5, "op6_substrings": _OP6, "op10_urls": url_filter.oracle_sql()}
+ORACLES: dict[str, str] = {"op5_decontaminate": _OP5, "op6_substrings": _OP6, "op10_urls": url_filter.oracle_sql(),
+    "op11_hard_negatives": hard_negatives.oracle_sql(), "op12_turn_trie": turn_trie.oracle_sql()}
