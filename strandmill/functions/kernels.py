@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _M64 = (1 << 64) - 1
@@ -169,16 +171,89 @@ def _equal_ahead(a: np.ndarray, b: np.ndarray, step: int = 4096) -> int:
     return n
 
 
-def extend_seeds(t: bytes, q: bytes, seeds: np.ndarray, min_len: int) -> list[tuple[int, int, int]]:
-    """Maximal equal runs (t start, q start, length) around seeds (diagonal, q position)."""
-    ta, qa = np.frombuffer(t, np.uint8), np.frombuffer(q, np.uint8)
-    out, last, covered = [], None, -1
-    for diagonal, at in sorted(map(tuple, seeds.tolist())):
-        if diagonal == last and at < covered:
+def _least_rotation(unit: np.ndarray) -> int:
+    """Start of the smallest rotation: ranks of pieces of 1, 2, 4, ... units."""
+    n, width = len(unit), 1
+    rank = np.unique(unit, return_inverse=True)[1]
+    while width < n and np.count_nonzero(rank == 0) > 1:
+        rank = np.unique(rank * n + np.roll(rank, -width), return_inverse=True)[1]
+        width *= 2
+    return int(rank.argmin())
+
+
+def tandem_runs(data: bytes, at: np.ndarray, hashes: np.ndarray, k: int) -> list[tuple[int, int, int, int, bytes]]:
+    """Maximal stretches that repeat with a period: (start, end, period, shift, root).
+
+    They are looked for where a minimizer occurs three times at equal distances, and are at least
+    two periods and ``k`` bytes long.  The root is the digest of the smallest rotation of the period,
+    which begins at all places that leave ``shift`` when divided by it, so two stretches with one
+    root are equal wherever their places agree after subtracting the shifts.
+    """
+    order = np.lexsort((at, hashes))
+    pos, h = at[order], hashes[order]
+    step = np.diff(pos)
+    thrice = np.flatnonzero((h[2:] == h[:-2]) & (h[1:-1] == h[:-2]) & (step[1:] == step[:-1])) if len(pos) > 2 else pos[:0]
+    text = np.frombuffer(data, np.uint8)
+    found, last, far = {}, 0, 0
+    for p, i in sorted(zip(step[thrice].tolist(), pos[thrice].tolist(), strict=True)):
+        if p == last and i + 2 * p + k <= far:
             continue
-        left = _equal_ahead(ta[: at + diagonal][::-1], qa[:at][::-1])
-        right = _equal_ahead(ta[at + diagonal:], qa[at:])
-        last, covered = diagonal, at + right
-        if left + right >= min_len:
-            out.append((at - left + diagonal, at - left, left + right))
+        left = _equal_ahead(text[:i][::-1], text[: i + p][::-1])
+        start, end = i - left, i + p + _equal_ahead(text[i:], text[i + p:])
+        last, far = p, end
+        if end - start >= 2 * p + k:
+            found[start, end, p] = None
+    out = []
+    for start, end, p in found:
+        unit = text[start : start + p]
+        turn = _least_rotation(unit)
+        root = hashlib.blake2b(np.roll(unit, -turn).tobytes(), digest_size=16).digest()
+        out.append((start, end, p, (start + turn) % p, root))
     return out
+
+
+def seed_rows(data: bytes, k: int, window: int) -> tuple[np.ndarray, list[bytes | None]]:
+    """Seeds and tandem runs of one sequence: columns (hash, pos, step, count, residue, kind), roots.
+
+    Kind 0 is a minimizer, once or, within a run, at ``count`` places ``step`` apart; its residue
+    is its place within the period.  Kind 1 is a run from ``pos`` to ``count`` with period ``step``, its
+    residue the shift and its hash taken from the root.
+    """
+    at, hashes = minimizers(data, k, window)
+    runs = tandem_runs(data, at, hashes, k)
+    owner = np.full(len(at), -1)
+    for r, (start, end, *_) in enumerate(runs):
+        part = owner[np.searchsorted(at, start) : np.searchsorted(at, end - k, "right")]
+        part[part < 0] = r
+    single = np.flatnonzero(owner < 0)
+    blocks = [np.stack([hashes[single], at[single], *np.broadcast_to([[1], [1], [0], [0]], (4, len(single)))], axis=1)]
+    roots: list[bytes | None] = [None] * len(single)
+    for r, (start, end, p, shift, root) in enumerate(runs):
+        mine = np.flatnonzero(owner == r)
+        residue = (at[mine] - shift) % p
+        order = np.lexsort((at[mine], residue, hashes[mine]))
+        pos, h, residue = at[mine][order], hashes[mine][order], residue[order]
+        # A gap in the places of one residue starts a new row.
+        new = np.ones(len(pos), bool)
+        new[1:] = (h[1:] != h[:-1]) | (residue[1:] != residue[:-1]) | (np.diff(pos) != p)
+        first = np.flatnonzero(new)
+        count = np.diff(np.append(first, len(pos)))
+        blocks.append(np.stack([h[first], pos[first], np.full(len(first), p), count, residue[first], np.zeros(len(first), np.int64)], axis=1))
+        blocks.append(np.array([[int.from_bytes(root[:8], "little", signed=True), start, p, end, shift, 1]], np.int64))
+        roots += [root] * (len(first) + 1)
+    return np.concatenate(blocks).astype(np.int64), roots
+
+
+def common_ends(a: list[np.ndarray], b: list[np.ndarray], width: int, ahead: bool) -> np.ndarray:
+    """Length of the common prefix (``ahead``) or suffix of each two byte strings of up to ``width``
+    bytes; a string is (flat bytes, lengths)."""
+    def laid(flat: np.ndarray, sizes: np.ndarray, pad: int) -> np.ndarray:
+        out = np.full((len(sizes), width), pad, np.int16)
+        place = np.arange(width)
+        out[place < sizes[:, None] if ahead else place >= width - sizes[:, None]] = flat
+        return out
+
+    same = laid(*a, 256) == laid(*b, 257)
+    if not ahead:
+        same = same[:, ::-1]
+    return np.where(same.all(axis=1), width, (~same).argmax(axis=1)) if width else np.zeros(len(a[1]), np.int64)

@@ -37,6 +37,15 @@ def mem_maximal(spark, sf):
     return matches.longest(_mems(spark, sf))
 
 
+def mem_repeats(spark, sf):
+    """Matches between tandem repeats: each passage three times in a row against it five times,
+    apart from its first bytes."""
+    items = corpus.table(spark, sf, "benchmark").select(F.col("item_id").alias("target"), F.expr("substr(text, 1, 60)").alias("unit"))
+    target = items.select("target", F.repeat("unit", F.lit(3)).alias("seq"))
+    query = items.select(F.col("target").alias("query"), F.concat(F.expr("substr(unit, 4)"), F.repeat("unit", F.lit(4))).alias("seq"))
+    return matches.find(target, query, MIN_LEN)
+
+
 def mem_verify(spark, sf):
     """True matches, the same shifted by one base, and reverse-strand claims."""
     m = _mems(spark, sf).select(
@@ -139,7 +148,7 @@ def reindex_summary(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        mem_all, mem_maximal, mem_verify, match_blocks, match_block_runs, delta_ops, delta_apply,
+        mem_all, mem_maximal, mem_repeats, mem_verify, match_blocks, match_block_runs, delta_ops, delta_apply,
         delta_summary, delta_ref_gap, cut_propagation, reindex_regions, reindex_segments,
         reindex_summary,
     )
@@ -162,10 +171,11 @@ def _windows(name: str, id_: str, source: str) -> str:
   FROM {name}_e WINDOW w AS (PARTITION BY id ORDER BY i))"""
 
 
-MEMS = f"""
+def _mems_of(targets: str, queries: str) -> str:
+    return f"""
 byte AS (SELECT printf('%02X', v) AS x, v::UBIGINT AS v FROM range(256) t(v)),
-{_windows('t', 'item_id', 'benchmark').strip()},
-{_windows('q', 'doc_id', 'documents').strip()},
+{_windows('t', 'item_id', targets).strip()},
+{_windows('q', 'doc_id', queries).strip()},
 hit AS (
   SELECT q.id AS query, t.id AS target, t.i AS ti, q.i AS qi
   FROM q_w q JOIN t_w t USING (e0, e1, e2, e3) WHERE e3 IS NOT NULL
@@ -178,6 +188,9 @@ mems AS (
          max(qi) + 32 AS q_end
   FROM isl GROUP BY query, target, ti - qi, g
 )"""
+
+
+MEMS = _mems_of("benchmark", "documents")
 LONGEST = MEMS + """,
 far AS (SELECT *, max(q_end) OVER (PARTITION BY query, target ORDER BY q_start) AS f FROM mems),
 kept AS (SELECT query, target, t_start, t_end, q_start, q_end FROM far WHERE q_end = f),
@@ -230,6 +243,9 @@ merged AS (SELECT chrom, min(s) AS s, max(e) AS e FROM nf GROUP BY chrom, g)"""
 ORACLES = {
     "mem_all": f"WITH {MEMS} SELECT * FROM mems",
     "mem_maximal": f"WITH {LONGEST} SELECT * FROM longest",
+    "mem_repeats": f"""WITH thrice AS (SELECT item_id, repeat(substr(text, 1, 60), 3) AS text FROM benchmark),
+        later AS (SELECT item_id AS doc_id, substr(text, 4, 57) || repeat(substr(text, 1, 60), 4) AS text FROM benchmark),
+        {_mems_of("thrice", "later")} SELECT * FROM mems""",
     "mem_verify": f"""WITH {MEMS},
         claims AS (
           SELECT query, target, t_start, q_start, t_end - t_start AS length, '+' AS strand FROM mems
