@@ -56,3 +56,18 @@ def exact_runs(cigars: pa.Array, min_len: int):
     long = total >= min_len
     first, total = first[long], total[long]
     return row[first], on_target[first], on_query[first], total
+
+
+# What a copy is made of, and what advances which sequence with "M" as a match.
+COPIED = b"=M"
+
+
+def copied_runs(cigars: pa.Array):
+    """(row, target offset, query offset, length) of every step that both sequences share."""
+    row, length, op = operations(cigars)
+    if not len(row):
+        return row, length, length, length
+    moves = [np.where(np.isin(op, np.frombuffer(kinds + b"M", np.uint8)), length, 0) for kinds in (ON_TARGET, ON_QUERY)]
+    on_target, on_query = (_before(row, m) for m in moves)
+    same = np.flatnonzero(np.isin(op, np.frombuffer(COPIED, np.uint8)) & (length > 0))
+    return row[same], on_target[same], on_query[same], length[same]

@@ -6,138 +6,127 @@ a range of a reference chromosome, a literal carries its own bytes.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from strandmill.functions import cigar
 from strandmill.functions.hashing import address
-from strandmill.operators import reconstruct
-from strandmill.operators.alignment import cigar_ops
+from strandmill.operators import blocked, reconstruct
+from strandmill.operators.intervals import BIN
+from strandmill.operators.spread import spread_join
+from strandmill.session import checkpoint_dir
 
 COPY, LITERAL = "copy", "literal"
 
 
-def select_blocks(blocks: DataFrame) -> DataFrame:
-    """Per query sequence, forward blocks in query order that do not overlap.
+def _followers(first: DataFrame, width: int) -> DataFrame:
+    """Adds ``next_start``: of the same sequence, the first start at or after a block's end."""
+    asked = first.select("query_name", F.greatest("query_end", F.col("query_start") + 1).alias("at"), F.lit(1).alias("kind"), "query_start")
+    starts = first.select("query_name", F.col("query_start").alias("at"), F.lit(0).alias("kind"), "query_start")
+    # From the far end back, the smallest start met so far is the nearest one ahead.
+    line = blocked.running(
+        asked.unionByName(starts), ["query_name"], [F.desc("at"), F.asc("kind")], -blocked.block_of("at", width),
+        {"next_start": ("min", F.when(F.col("kind") == 0, F.col("query_start")))}, inclusive=True)
+    return line.where("kind = 1").select("query_name", "query_start", "next_start")
 
-    A block is taken when it starts at or after the end of the last one taken.  Only the
-    first block of each start can be, which bounds the fold by the sequence length.
+
+def select_blocks(blocks: DataFrame, width: int = BIN) -> DataFrame:
+    """Per query sequence, forward blocks in query order that do not overlap, one row each.
+
+    A block is taken when it starts at or after the end of the last one taken; of equal starts the
+    smallest target counts.  Each block points at the first one that can follow it, and those taken
+    are what the first block reaches: pointers double their length each round, so n blocks of one
+    sequence take log2(n) rounds of joins and never meet in one cell.
     """
+    block = F.struct("query_end", "target_name", "target_start", "cigar")
     usable = blocks.where((F.col("strand") == "+") & (F.col("cigar") != ""))
-    block = F.struct("query_start", "query_end", "target_name", "target_start", "cigar")
     first = usable.groupBy("query_name", "query_start").agg(
-        F.min_by(block, F.struct("target_name", "target_start")).alias("b")
-    )
-    ordered = first.groupBy("query_name").agg(F.array_sort(F.collect_list("b")).alias("all"))
-    kind = ordered.schema["all"].dataType.simpleString()
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(kind).alias("out"))
-
-    def take(s: Column, b: Column) -> Column:
-        free = b["query_start"] >= s["used"]
-        return F.struct(
-            F.when(free, b["query_end"]).otherwise(s["used"]).alias("used"),
-            F.when(free, F.array_append(s["out"], b)).otherwise(s["out"]).alias("out"),
-        )
-
-    return ordered.select(
-        "query_name", F.aggregate("all", start, take, lambda s: s["out"]).alias("taken")
-    )
-
-
-def _pieces(taken: DataFrame, lengths: DataFrame) -> DataFrame:
-    """Uncoalesced operations: the CIGAR steps of taken blocks and the gaps around them."""
-    ops = taken.select("chrom", F.posexplode("taken").alias("block", "b")).select(
-        "chrom", "block", "b.*", F.posexplode(cigar_ops(F.col("b.cigar"))).alias("step", "o")
-    )
-    op, n = F.col("o.op"), F.col("o.len")
-    before = Window.partitionBy("chrom", "block").orderBy("step").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-
-    def moved(*kinds: str) -> Column:
-        return F.coalesce(F.sum(F.when(op.isin(*kinds), n).otherwise(0)).over(before), F.lit(0))
-
-    walked = ops.select(
-        "chrom", "block", "step", op.alias("op"), n.alias("n"), "target_name",
-        (F.col("query_start") + moved("=", "M", "X", "I", "S")).alias("q"),
-        (F.col("target_start") + moved("=", "M", "X", "D", "N")).alias("t"),
-    ).where(F.col("op").isin("=", "M", "X", "I", "S"))
-    same = F.col("op").isin("=", "M")
-    steps = walked.select(
-        "chrom", F.col("q").alias("q_start"), (F.col("q") + F.col("n")).alias("q_end"),
-        F.when(same, COPY).otherwise(LITERAL).alias("type"),
-        F.when(same, F.col("target_name")).alias("ref_chrom"),
-        F.when(same, F.col("t")).alias("ref_start"),
-        F.when(same, F.col("t") + F.col("n")).alias("ref_end"),
-    )
-    # Gaps lie between the end of one block and the start of the next, in the same row.
-    gaps = lengths.join(taken, "chrom", "left").select(
-        "chrom",
-        F.explode(F.arrays_zip(
-            F.concat(F.array(F.lit(0).cast("long")), F.coalesce(F.col("taken.query_end"), F.array().cast("array<bigint>"))).alias("s"),
-            F.concat(F.coalesce(F.col("taken.query_start"), F.array().cast("array<bigint>")), F.array("length")).alias("e"),
-        )).alias("g"),
-    ).select(
-        "chrom", F.col("g.s").alias("q_start"), F.col("g.e").alias("q_end"),
-        F.lit(LITERAL).alias("type"),
-        F.lit(None).cast(steps.schema["ref_chrom"].dataType).alias("ref_chrom"),
-        F.lit(None).cast("long").alias("ref_start"), F.lit(None).cast("long").alias("ref_end"),
-    )
-    return steps.unionByName(gaps).where(F.col("q_end") > F.col("q_start"))
-
-
-def _inside(pieces: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Pieces with copies that leave their reference (ref_chrom, ref_size) turned into literals."""
-    lost = F.col("ref_end") > F.col("ref_size")
-    copies = pieces.where(F.col("type") == COPY).join(sizes, "ref_chrom").select(
-        "chrom", "q_start", "q_end", F.when(lost, LITERAL).otherwise(COPY).alias("type"),
-        *[F.when(~lost, F.col(c)).alias(c) for c in ("ref_chrom", "ref_start", "ref_end")])
-    return pieces.where(F.col("type") == LITERAL).unionByName(copies)
-
-
-def coalesce_ops(pieces: DataFrame) -> DataFrame:
-    """Merge neighbouring literals, and copies that continue on the same reference."""
-    order = Window.partitionBy("chrom").orderBy("q_start")
-
-    def prev(c: str) -> Column:
-        return F.lag(c).over(order)
-
-    joins = (prev("type") == F.col("type")) & (
-        (F.col("type") == LITERAL)
-        | ((prev("ref_chrom") == F.col("ref_chrom")) & (prev("ref_end") == F.col("ref_start")))
-    )
-    marked = pieces.withColumn("new", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1))
-    numbered = marked.withColumn("op_idx", F.sum("new").over(order) - 1)
-    return numbered.groupBy("chrom", "op_idx").agg(
-        F.min("type").alias("type"), F.min("ref_chrom").alias("ref_chrom"),
-        F.min("ref_start").alias("ref_start"), F.max("ref_end").alias("ref_end"),
-        F.min("q_start").alias("q_start"), F.max("q_end").alias("q_end"),
-    )
+        F.min_by(block, F.struct("target_name", "target_start", "query_end", "cigar")).alias("b")
+    ).select("query_name", "query_start", "b.*")
+    checkpoint_dir(blocks.sparkSession)
+    first = first.checkpoint()
+    jumps = _followers(first.select("query_name", "query_start", "query_end"), width).checkpoint()
+    reached = first.groupBy("query_name").agg(F.min("query_start").alias("query_start"))
+    key = ["query_name", "query_start"]
+    while True:
+        onward = reached.join(jumps, key).where(F.col("next_start").isNotNull()).select("query_name", F.col("next_start").alias("query_start"))
+        reached = reached.unionByName(onward).checkpoint()
+        jumps = jumps.where(F.col("next_start").isNotNull())
+        twice = jumps.select("query_name", F.col("query_start").alias("next_start"), F.col("next_start").alias("far"))
+        jumps = jumps.join(twice, ["query_name", "next_start"]).select(*key, F.col("far").alias("next_start")).checkpoint()
+        if jumps.isEmpty():
+            return first.join(reached, key, "left_semi")
+
+
+def _copies(taken: DataFrame) -> DataFrame:
+    """The steps of taken blocks that both sequences share, in both coordinate systems."""
+    schema = T.StructType([
+        T.StructField("chrom", taken.schema["query_name"].dataType), T.StructField("q_start", T.LongType()), T.StructField("q_end", T.LongType()),
+        T.StructField("ref_chrom", taken.schema["target_name"].dataType), T.StructField("ref_start", T.LongType()), T.StructField("ref_end", T.LongType())])
+
+    def walk(batches):
+        for batch in batches:
+            row, t, q, n = cigar.copied_runs(batch.column("cigar"))
+            at = pa.array(row)
+            q = batch.column("query_start").to_numpy()[row] + q
+            t = batch.column("target_start").to_numpy()[row] + t
+            values = [q, q + n, t, t + n]
+            values = [pa.array(v, pa.int64()) for v in values]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("query_name").take(at), *values[:2], batch.column("target_name").take(at), *values[2:]], names=schema.names)
+
+    return taken.select("query_name", "query_start", "target_name", "target_start", "cigar").mapInArrow(walk, schema)
+
+
+def coalesce_ops(copies: DataFrame, lengths: DataFrame, width: int = BIN) -> DataFrame:
+    """Operations of sequences of given (chrom, length): copies that continue one another on the same reference
+    are one, and what no copy covers is a literal.  The copy before comes from a scan by blocks."""
+    none = {c: F.lit(None).cast(copies.schema[c].dataType) for c in ("ref_chrom", "ref_start", "ref_end")}
+    # The end of a sequence is a mark of its own, so the last gap is found like the others.
+    marks = copies.withColumn("mark", F.lit(0)).unionByName(
+        lengths.select("chrom", F.col("length").alias("q_start"), F.col("length").alias("q_end")).withColumns(none).withColumn("mark", F.lit(1)))
+    before = F.struct("q_start", "mark", "q_end", "ref_chrom", "ref_end")
+    # Two scans, first for the row before and then for the runs that it continues.
+    marks = blocked.running(marks, ["chrom"], ["q_start", "mark"], blocked.block_of("q_start", width), {"before": ("max", before)})
+    goes_on = (F.col("before.q_end") == F.col("q_start")) & (F.col("before.ref_chrom") == F.col("ref_chrom")) & (F.col("before.ref_end") == F.col("ref_start"))
+    marks = marks.withColumns({
+        "used": F.coalesce("before.q_end", F.lit(0).cast("long")), "opens": F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)})
+    marks = blocked.running(
+        marks.drop("before"), ["chrom"], ["q_start", "mark"], blocked.block_of("q_start", width), {"run": ("sum", F.col("opens"))}, inclusive=True)
+    whole = marks.where("mark = 0").groupBy("chrom", "run").agg(
+        F.lit(COPY).alias("type"), F.min("ref_chrom").alias("ref_chrom"), F.min("ref_start").alias("ref_start"),
+        F.max("ref_end").alias("ref_end"), F.min("q_start").alias("q_start"), F.max("q_end").alias("q_end")).drop("run")
+    gaps = marks.where("q_start > used").select(
+        "chrom", F.lit(LITERAL).alias("type"), F.col("used").alias("q_start"), F.col("q_start").alias("q_end")).withColumns(none)
+    return blocked.position(whole.unionByName(gaps), ["chrom"], ["q_start"], blocked.block_of("q_start", width), "op_idx")
 
 
 def build(blocks: DataFrame, query: DataFrame, reference: DataFrame | None = None) -> DataFrame:
-    """Operations for every query sequence (query, seq), literals with their bytes.
+    """Operations for every query sequence (query, seq), literals with their bytes; an empty sequence has none.
 
     With a reference (target, seq), blocks on targets it does not have are left out, and a match
-    that runs past the end of its target becomes a literal.
+    that runs past the end of its target becomes a literal.  Operations are rows throughout; a
+    text moves once, to its literals.
     """
     sizes = None
     if reference is not None:
         sizes = reference.select(F.col("target").alias("ref_chrom"), F.octet_length(F.col("seq").cast("binary")).cast("long").alias("ref_size"))
         blocks = blocks.join(sizes.select(F.col("ref_chrom").alias("target_name")), "target_name", "left_semi")
-    taken = select_blocks(blocks).withColumnRenamed("query_name", "chrom")
-    data = query.select(F.col("query").alias("chrom"), F.col("seq").cast("binary").alias("seq"))
-    lengths = data.select("chrom", F.octet_length("seq").cast("long").alias("length"))
-    pieces = _pieces(taken, lengths)
+    copies = _copies(select_blocks(blocks))
     if sizes is not None:
-        pieces = _inside(pieces, sizes)
-    ops = coalesce_ops(pieces)
-    # One row per sequence on both sides: the text moves once, next to its operations.
-    grouped = ops.groupBy("chrom").agg(F.collect_list(F.struct(*[c for c in ops.columns if c != "chrom"])).alias("ops"))
-    own = F.when(F.col("o.type") == LITERAL, F.substring(
-        "seq", (F.col("o.q_start") + 1).cast("int"), (F.col("o.q_end") - F.col("o.q_start")).cast("int")))
-    return grouped.join(data, "chrom").select("chrom", "seq", F.explode("ops").alias("o")).select(
-        "chrom", "o.op_idx", "o.type", "o.ref_chrom", "o.ref_start", "o.ref_end", own.alias("bytes")
-    )
+        held = copies.groupBy("ref_chrom").agg(F.count(F.lit(1)).alias("copies")).join(sizes, "ref_chrom")
+        copies = spread_join(copies, held, ["ref_chrom"], "copies", ["chrom", "q_start"]).where("ref_end <= ref_size").drop("copies", "ref_size")
+    data = query.select(F.col("query").alias("chrom"), F.col("seq").cast("binary").alias("seq"))
+    lengths = data.select("chrom", F.coalesce(F.octet_length("seq"), F.lit(0)).cast("long").alias("length"))
+    ops = coalesce_ops(copies, lengths).checkpoint()
+    out = ["chrom", "op_idx", "type", "ref_chrom", "ref_start", "ref_end"]
+    literals = ops.where(F.col("type") == LITERAL)
+    texts = literals.groupBy("chrom").agg(F.count(F.lit(1)).alias("copies")).join(data, "chrom")
+    own = F.substring("seq", (F.col("q_start") + 1).cast("int"), (F.col("q_end") - F.col("q_start")).cast("int"))
+    literals = spread_join(literals, texts, ["chrom"], "copies", ["q_start"]).select(*out, own.alias("bytes"))
+    return ops.where(F.col("type") == COPY).select(*out, F.lit(None).cast("binary").alias("bytes")).unionByName(literals)
 
 
 class ReferenceMismatch(ValueError):
@@ -159,43 +148,42 @@ def apply(ops: DataFrame, reference: DataFrame, recorded: str | None = None) ->
     """
     if recorded is not None and (got := reference_digest(reference)) != recorded:
         raise ReferenceMismatch(f"made against {recorded}, got {got}")
-    ref = reference.select(
-        F.col("target").alias("ref_chrom"), F.col("seq").cast("binary").alias("ref")
-    )
+    copies, none = ops.where(F.col("type") == COPY), F.lit(None).cast("binary")
+    ref = reference.select(F.col("target").alias("ref_chrom"), F.col("seq").cast("binary").alias("ref"))
+    held = copies.groupBy("ref_chrom").agg(F.count(F.lit(1)).alias("copies")).join(ref, "ref_chrom")
     n = F.col("ref_end") - F.col("ref_start")
     inside = (F.col("ref_start") >= 0) & (n >= 0) & (F.col("ref_end") <= F.octet_length("ref"))
     copied = F.when(inside, F.substring("ref", (F.col("ref_start") + 1).cast("int"), n.cast("int")))
-    pieces = ops.join(ref, "ref_chrom", "left").select(
-        "chrom", "op_idx",
-        F.when(F.col("type") == COPY, copied).otherwise(F.col("bytes")).alias("piece"),
-    )
-    parts = F.array_sort(F.collect_list(F.struct("op_idx", F.hex("piece").alias("x"))))
+    taken = spread_join(copies, held, ["ref_chrom"], "copies", ["chrom", "op_idx"]).select("chrom", "op_idx", copied.alias("piece"))
+    unknown = copies.join(ref.select("ref_chrom"), "ref_chrom", "left_anti").select("chrom", "op_idx", none.alias("piece"))
+    pieces = ops.where(F.col("type") != COPY).select("chrom", "op_idx", F.col("bytes").alias("piece")).unionByName(taken).unionByName(unknown)
     return pieces.groupBy("chrom").agg(
         F.count_if(F.col("piece").isNull()).alias("bad"),
-        F.unhex(F.array_join(F.transform(parts, lambda p: p["x"]), "")).alias("data"),
+        F.expr("listagg(piece) WITHIN GROUP (ORDER BY op_idx)").alias("data"),
     )
 
 
-def summarise(ops: DataFrame) -> DataFrame:
-    """Per sequence: bases in total, as literals and as copies, and the operation count."""
+def summarise(ops: DataFrame, chroms: DataFrame | None = None) -> DataFrame:
+    """Per sequence: bases in total, as literals and as copies, and the operation count.
+
+    Sequences (chrom) that are empty have no operations; with ``chroms`` they get a row of zeros."""
     literal = F.coalesce(F.octet_length("bytes"), F.lit(0)).cast("long")
     copied = F.coalesce(F.col("ref_end") - F.col("ref_start"), F.lit(0))
     per = ops.groupBy("chrom").agg(
         F.sum(literal).alias("literal"), F.sum(copied).alias("copied"),
         F.count(F.lit(1)).alias("ops"),
     )
-    return per.withColumn("total", F.col("literal") + F.col("copied")).withColumn(
-        "literal_pct", F.round(100.0 * F.col("literal") / F.col("total"), 6)
-    )
+    if chroms is not None:
+        per = chroms.select("chrom").distinct().join(per, "chrom", "left").na.fill(0, ["literal", "copied", "ops"])
+    per = per.withColumn("total", F.col("literal") + F.col("copied"))
+    return per.withColumn("literal_pct", F.when(F.col("total") == 0, 0.0).otherwise(F.round(100.0 * F.col("literal") / F.greatest("total", F.lit(1)), 6)))
 
 
-def reference_gaps(ops: DataFrame) -> DataFrame:
+def reference_gaps(ops: DataFrame, width: int = BIN) -> DataFrame:
     """Start of each copy relative to the end of the copy before it in its sequence."""
-    order = Window.partitionBy("chrom").orderBy("op_idx")
-    return ops.where(F.col("type") == COPY).select(
-        "chrom", "op_idx",
-        (F.col("ref_start") - F.lag("ref_end", 1, 0).over(order)).alias("ref_gap"),
-    )
+    copies = ops.where(F.col("type") == COPY).select("chrom", "op_idx", "ref_start", "ref_end")
+    seen = blocked.running(copies, ["chrom"], ["op_idx"], blocked.block_of("op_idx", width), {"before": ("max", F.struct("op_idx", "ref_end"))})
+    return seen.select("chrom", "op_idx", (F.col("ref_start") - F.coalesce("before.ref_end", F.lit(0))).alias("ref_gap"))
 
 
 def verified(rebuilt: DataFrame, query: DataFrame) -> DataFrame:
@@ -204,4 +192,4 @@ def verified(rebuilt: DataFrame, query: DataFrame) -> DataFrame:
     found = recorded.join(rebuilt, "chrom", "left")
     data = F.when(F.col("bad").isNull(), F.lit(b"")).otherwise(F.col("data"))
     same = (F.coalesce("bad", F.lit(0)) == 0) & (address(data) == F.col("recorded"))
-    return found.select("chrom", "recorded", F.coalesce(same, F.lit(False)).alias("verified"))
+    return found.select("chrom", "recorded", address(data).alias("rebuilt"), F.coalesce(same, F.lit(False)).alias("verified"))

@@ -86,7 +86,7 @@ def delta_apply(spark, sf):
 
 
 def delta_summary(spark, sf):
-    return delta.summarise(_delta(spark, sf))
+    return delta.summarise(_delta(spark, sf), _query(spark, sf).withColumnRenamed("query", "chrom"))
 
 
 def delta_ref_gap(spark, sf):
@@ -214,6 +214,28 @@ blocks AS (
                ORDER BY q_start) AS cigar
   FROM nb GROUP BY query, target, d, block
 )"""
+DELTA = BLOCKS + r""",
+firsts AS (SELECT query_name, query_start, arg_min({'e': query_end, 't': target_name, 's': target_start, 'c': cigar},
+    {'t': target_name, 's': target_start, 'e': query_end, 'c': cigar}) AS b FROM blocks GROUP BY 1, 2),
+follow AS (SELECT a.*, (SELECT min(n.query_start) FROM firsts n WHERE n.query_name = a.query_name AND n.query_start >= a.b.e) AS nxt FROM firsts a),
+taken AS (SELECT f.* FROM follow f WHERE query_start = (SELECT min(query_start) FROM firsts g WHERE g.query_name = f.query_name)
+  UNION ALL SELECT f.* FROM taken t JOIN follow f ON f.query_name = t.query_name AND f.query_start = t.nxt),
+steps AS (SELECT query_name, query_start, b.t AS t, b.s AS s, unnest(regexp_extract_all(b.c, '(\d+)[=X]', 1))::BIGINT AS n,
+    unnest(regexp_extract_all(b.c, '\d+([=X])', 1)) AS op, generate_subscripts(regexp_extract_all(b.c, '\d+[=X]'), 1) AS i FROM taken),
+walked AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY query_name, query_start ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS o FROM steps),
+copies AS (SELECT query_name AS chrom, query_start + o AS qs, query_start + o + n AS qe, t AS ref_chrom, s + o AS rs, s + o + n AS re FROM walked WHERE op = '='),
+led AS (SELECT *, CASE WHEN lag(qe) OVER w = qs AND lag(ref_chrom) OVER w = ref_chrom AND lag(re) OVER w = rs THEN 0 ELSE 1 END AS opens
+  FROM copies WINDOW w AS (PARTITION BY chrom ORDER BY qs)),
+linked AS (SELECT *, sum(opens) OVER (PARTITION BY chrom ORDER BY qs ROWS UNBOUNDED PRECEDING) AS run FROM led),
+joined AS (SELECT chrom, min(ref_chrom) AS ref_chrom, min(rs) AS rs, max(re) AS re, min(qs) AS qs, max(qe) AS qe FROM linked GROUP BY chrom, run),
+docs AS (SELECT coalesce(doc_id, -1) AS chrom, coalesce(text, '') AS text, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+voids AS (SELECT chrom, coalesce(lag(qe) OVER (PARTITION BY chrom ORDER BY qs), 0) AS qs, qs AS qe FROM
+  (SELECT chrom, qs, qe FROM joined UNION ALL SELECT chrom, n, n FROM docs)),
+pieces AS (SELECT chrom, 'copy' AS type, ref_chrom, rs, re, qs, qe FROM joined UNION ALL
+  SELECT chrom, 'literal', NULL, NULL, NULL, qs, qe FROM voids WHERE qe > qs),
+ops AS (SELECT p.chrom, row_number() OVER (PARTITION BY p.chrom ORDER BY qs) - 1 AS op_idx, type, ref_chrom, rs AS ref_start, re AS ref_end,
+    CASE WHEN type = 'literal' THEN substr(hex(encode(d.text)), (2 * qs + 1)::BIGINT, (2 * (qe - qs))::BIGINT) END AS bytes
+  FROM pieces p JOIN docs d ON d.chrom = p.chrom)"""
 CUTS = MEMS + """,
 sides AS (
   SELECT 'benchmark' AS g, target AS c, t_start AS s, t_end AS e, 'documents' AS g2, query AS c2,
@@ -271,8 +293,19 @@ ORACLES = {
     "match_block_runs": f"""WITH {MEMS} SELECT query AS query_name, target AS target_name, '+' AS strand,
         t_start AS target_start, t_end AS target_end, q_start AS query_start, q_end AS query_end
         FROM mems""",
-    "delta_apply": """SELECT doc_id AS chrom, 'sha256:' || sha256(text) AS recorded, true AS verified
-        FROM documents""",
+    "delta_ops": f"WITH RECURSIVE {DELTA} SELECT * FROM ops",
+    "delta_apply": f"""WITH RECURSIVE {DELTA},
+        rebuilt AS (SELECT chrom, string_agg(CASE WHEN type = 'literal' THEN bytes ELSE substr(hex(encode(text)), 2 * ref_start + 1, 2 * (ref_end - ref_start)) END,
+            '' ORDER BY op_idx) AS x FROM ops LEFT JOIN benchmark ON item_id = ref_chrom GROUP BY chrom)
+        SELECT chrom, 'sha256:' || sha256(text) AS recorded, 'sha256:' || sha256(unhex(coalesce(x, ''))) AS rebuilt, coalesce(x, '') = hex(encode(text)) AS verified
+        FROM docs LEFT JOIN rebuilt USING (chrom)""",
+    "delta_summary": f"""WITH RECURSIVE {DELTA}
+        SELECT chrom, coalesce(lit, 0) AS literal, coalesce(cop, 0) AS copied, coalesce(n_ops, 0) AS ops, coalesce(lit, 0) + coalesce(cop, 0) AS total,
+            CASE WHEN coalesce(lit, 0) + coalesce(cop, 0) = 0 THEN 0.0 ELSE round(100.0 * lit / (lit + cop), 6) END AS literal_pct
+        FROM (SELECT DISTINCT chrom FROM docs) LEFT JOIN (SELECT chrom, sum(coalesce(length(bytes), 0) // 2)::BIGINT AS lit, sum(coalesce(ref_end - ref_start, 0))::BIGINT AS cop,
+            count(*) AS n_ops FROM ops GROUP BY chrom) USING (chrom)""",
+    "delta_ref_gap": f"""WITH RECURSIVE {DELTA}
+        SELECT chrom, op_idx, ref_start - coalesce(lag(ref_end) OVER (PARTITION BY chrom ORDER BY op_idx), 0) AS ref_gap FROM ops WHERE type = 'copy'""",
     "cut_propagation": f"WITH RECURSIVE {CUTS} SELECT * FROM cut",
     "reindex_regions": f"""WITH RECURSIVE {REGIONS}
         SELECT p.chrom, p."start", p."end", EXISTS (SELECT 1 FROM merged m WHERE m.chrom = p.chrom
