@@ -90,6 +90,50 @@ def mask_bits(min_size: int, max_size: int) -> int:
     return ((min_size + max_size) // 2).bit_length() - 1
 
 
+def candidate_ends(data: bytes, bits: int) -> np.ndarray:
+    """Where a chunk of at least ``bits`` bytes may end; right from the first ``bits`` bytes on."""
+    mask = np.uint64((1 << bits) - 1)
+    unit = GEAR[np.frombuffer(data, np.uint8)] & mask
+    rolling = unit.copy()
+    for back in range(1, min(bits, len(data))):
+        rolling[back:] += unit[:-back] << np.uint64(back)
+    return np.flatnonzero((rolling & mask) == 0) + 1
+
+
+def next_ends(starts: np.ndarray, ends: np.ndarray, min_size: int, max_size: int) -> np.ndarray:
+    """Ends of the chunks that begin at ``starts``, as far as candidates and the longest chunk tell."""
+    longest = max(min_size, max_size)
+    if not len(ends):
+        return starts + longest
+    at = np.searchsorted(ends, starts + min_size)
+    return np.where(at < len(ends), np.minimum(ends[np.minimum(at, len(ends) - 1)], starts + longest), starts + longest)
+
+
+def exit_table(ends: np.ndarray, size: int, min_size: int, max_size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How chunks cross a piece of ``size`` bytes: (entries, exits, slopes).
+
+    A chunk beginning at entry e leads to a first chunk at or after the piece's end, ``exit`` bytes
+    past it.  The exits are given in stretches of entries, constant (slope 0) or moving along (1).
+    Walks that meet stay together, so they are followed band by band and kept once.
+    """
+    longest = max(min_size, max_size)
+    place = np.arange(longest)
+    walk = np.arange(longest)
+    for bound in [*range(longest, size, longest), size]:
+        while (place < bound).any():
+            behind = place < bound
+            place[behind] = next_ends(place[behind], ends, min_size, max_size)
+        place, back = np.unique(place, return_inverse=True)
+        walk = back[walk]
+    exits = place[walk] - size
+    slope = np.diff(exits, append=exits[-1])
+    slope[slope > 1] = 0
+    new = np.ones(longest, bool)
+    new[1:] = (np.diff(exits) != slope[:-1]) | (slope[1:] != slope[:-1])
+    at = np.flatnonzero(new)
+    return at, exits[at], slope[at]
+
+
 def cut_ends(data: bytes, min_size: int, max_size: int) -> list[int]:
     """Exclusive ends of the content-defined chunks of one sequence.
 
@@ -100,11 +144,7 @@ def cut_ends(data: bytes, min_size: int, max_size: int) -> list[int]:
     n, bits = len(data), mask_bits(min_size, max_size)
     if min_size < bits:
         return _cut_ends_short(data, min_size, max_size, bits)
-    unit = GEAR[np.frombuffer(data, np.uint8)] & np.uint64((1 << bits) - 1)
-    rolling = unit.copy()
-    for back in range(1, min(bits, n)):
-        rolling[back:] += unit[:-back] << np.uint64(back)
-    ends = np.flatnonzero((rolling & np.uint64((1 << bits) - 1)) == 0) + 1
+    ends = candidate_ends(data, bits)
     out, start, longest = [], 0, max(min_size, max_size)
     while start < n:
         i = np.searchsorted(ends, start + min_size)

@@ -20,6 +20,13 @@ def cdc_chunks(spark, sf):
     return _chunks(spark, sf, [CHUNK]).select("chrom", "seg_idx", "start", "length", "hash")
 
 
+def cdc_long_chunks(spark, sf):
+    """Chunks of each assembly as one long sequence, its documents one after the other."""
+    docs = corpus.documents(spark, sf).where("text <> ''")
+    parts = chunking.placed(docs.select("assembly", "chrom", F.col("text").cast("binary").alias("data")), ["assembly"], "chrom")
+    return chunking.long_chunks(parts, ["assembly"], CHUNK, 65_536).select("assembly", "start", "length", "hash")
+
+
 def cdc_chunk_stats(spark, sf):
     refs = segments.references(_chunks(spark, sf, [CHUNK]))
     return segments.summary(segments.refcounts(refs), corpus.genomes(spark, sf))
@@ -90,13 +97,19 @@ def route_decision(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        cdc_chunks, cdc_chunk_stats, cdc_benchmark_sweep, sketch_bottomk, kmer_canonical,
+        cdc_chunks, cdc_long_chunks, cdc_chunk_stats, cdc_benchmark_sweep, sketch_bottomk, kmer_canonical,
         sketch_jaccard, sketch_similarity, similar_topn, route_decision,
     )
 }
 
 
-def _cdc(sizes: list[tuple[int, int]]) -> str:
+_TEXTS = """SELECT doc_id AS doc, source AS assembly, encode(text) AS raw, hex(encode(text)) AS h,
+             octet_length(encode(text)) AS n FROM documents"""
+_ASSEMBLIES = """SELECT doc, doc AS assembly, encode(t) AS raw, hex(encode(t)) AS h, octet_length(encode(t)) AS n FROM
+             (SELECT coalesce(source, '') AS doc, string_agg(text, '' ORDER BY doc_id) AS t FROM documents GROUP BY 1)"""
+
+
+def _cdc(sizes: list[tuple[int, int]], texts: str = _TEXTS) -> str:
     """Chunks by recursion: from each start, the first candidate end that is long enough."""
     parts = []
     for low, high in sizes:
@@ -112,8 +125,7 @@ def _cdc(sizes: list[tuple[int, int]]) -> str:
       SELECT b + 1, (v * 6364136223846793005 + 1442695040888963407) & 18446744073709551615::UHUGEINT
       FROM gear WHERE b < 255
     ),
-    hx AS (SELECT doc_id AS doc, source AS assembly, encode(text) AS raw, hex(encode(text)) AS h,
-             octet_length(encode(text)) AS n FROM documents),
+    hx AS ({texts}),
     bytes AS (SELECT doc, unnest(regexp_extract_all(h, '..')) AS x,
                 generate_subscripts(regexp_extract_all(h, '..'), 1) - 1 AS i FROM hx WHERE n > 0),
     gb AS (SELECT doc, i, CAST(v & 1048575::UHUGEINT AS BIGINT) AS g
@@ -189,6 +201,8 @@ sims AS (
 ORACLES = {
     "cdc_chunks": f"""WITH RECURSIVE {_cdc([CHUNK])}
         SELECT chrom, seg_idx, start, length, hash FROM pieces""",
+    "cdc_long_chunks": f"""WITH RECURSIVE {_cdc([CHUNK], _ASSEMBLIES)}
+        SELECT assembly, start, length, hash FROM pieces""",
     "cdc_chunk_stats": f"""WITH RECURSIVE {_cdc([CHUNK])},
         c AS (SELECT hash, min(length) AS length, count(DISTINCT assembly) AS rc
               FROM pieces GROUP BY hash),
