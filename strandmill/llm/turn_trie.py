@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -109,34 +110,33 @@ def _by_name(rows: DataFrame, nodes: DataFrame, on: list[str]) -> DataFrame:
     return rows.withColumn(on[-1], key).join(nodes, on, "left")
 
 
-def locate(pending: DataFrame, places: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
+def locate(pending: DataFrame, places: DataFrame, nodes: DataFrame) -> DataFrame:
     """(conv, size, seat, seat_name): the deepest node that is a prefix of each conversation.
 
-    Fat binary search between the last known node and the conversation's end; ``most`` is the largest
-    number of turns between them.
+    Fat binary search between the last known node and the conversation's end.
     """
     grips = nodes.where("extent > 0").select(
-        F.col("handle").alias("probe"), F.col("grip").alias("probe_name"), F.col("extent").alias("f_extent"), F.col("name").alias("f_name"),
-        F.col("low").alias("f_low"), F.col("up").alias("f_up"))
-    state = pending.withColumns({
-        "lo": F.col("seat"), "hi": F.col("size"), "extent": F.lit(None).cast("long"), "node": F.lit(None).cast("struct<a:long,b:long>"),
-        "low": F.lit(None).cast("long"), "up": F.lit(None).cast("struct<a:long,b:long>")})
-    for _ in range(most.bit_length()):
-        probe = F.when(F.col("lo") < F.col("hi"), fattest(F.col("lo"), F.col("hi"))).otherwise(-1)
-        state = _by_name(_at(places, state.withColumn("probe", probe), "conv", "probe", "probe_name"), grips, ["probe", "probe_name"])
-        found, probed = F.col("f_extent").isNotNull(), F.col("probe") > 0
-        state = state.select(
-            "conv", "size", "seat", "seat_name",
-            F.when(found, F.col("f_extent")).otherwise(F.col("lo")).alias("lo"),
-            F.when(probed & ~found, F.col("probe") - 1).otherwise(F.col("hi")).alias("hi"),
-            *[F.when(found, F.col(f)).otherwise(F.col(c)).alias(c) for c, f in (("extent", "f_extent"), ("node", "f_name"), ("low", "f_low"), ("up", "f_up"))])
+        F.col("handle").alias("probe"), F.col("grip").alias("probe_name"),
+        F.struct("extent", "name", "low", "up").alias("hit"))
+    search = pending.select("*", F.col("seat").alias("lo"), F.col("size").alias("hi"), F.lit(None).cast(grips.schema["hit"].dataType).alias("found"))
+    done = []
+    while True:
+        search = search.withColumn("probe", fattest(F.col("lo"), F.col("hi")))
+        search = _by_name(_at(places, search, "conv", "probe", "probe_name"), grips, ["probe", "probe_name"])
+        search = kept(search.select(
+            "conv", "size", "seat", "seat_name", F.coalesce("hit.extent", "lo").alias("lo"),
+            F.when(F.col("hit").isNull(), F.col("probe") - 1).otherwise(F.col("hi")).alias("hi"), F.coalesce("hit", "found").alias("found")), "search")
+        done.append(search.where("lo >= hi"))
+        search = search.where("lo < hi")
+        if search.isEmpty():
+            break
+    state = reduce(DataFrame.unionByName, done)
     # The last node found is a prefix itself, or the conversation leaves the trie within its edge.
-    state = _at(places, state.withColumn("extent", F.coalesce("extent", F.lit(-1))), "conv", "extent", "own")
-    whole, some = F.col("own") == F.col("node"), F.col("node").isNotNull()
-    return state.select(
-        "conv", "size",
-        F.when(some & F.coalesce(whole, F.lit(False)), F.col("extent")).when(some, F.col("low")).otherwise(F.col("seat")).alias("seat"),
-        F.when(some & F.coalesce(whole, F.lit(False)), F.col("node")).when(some, F.col("up")).otherwise(F.col("seat_name")).alias("seat_name"))
+    state = _at(places, state.withColumn("last", F.coalesce("found.extent", F.lit(-1))), "conv", "last", "own")
+    some, whole = F.col("found").isNotNull(), F.coalesce(F.col("own") == F.col("found.name"), F.lit(False))
+    return state.select("conv", "size", *[
+        F.when(some & whole, F.col(f"found.{here}")).when(some, F.col(f"found.{above}")).otherwise(F.col(seat)).alias(seat)
+        for seat, here, above in (("seat", "extent", "low"), ("seat_name", "name", "up"))])
 
 
 def exits(located: DataFrame, places: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -200,14 +200,15 @@ def build(pending: DataFrame, places: DataFrame) -> DataFrame:
         _root().alias("name"), F.lit(0).cast("long").alias("extent"), F.lit(-1).cast("long").alias("low"), F.lit(None).cast(none).alias("up"),
         F.lit(None).cast("long").alias("handle"), F.lit(None).cast(none).alias("grip"), F.lit(None).cast(none).alias("first"), F.lit(None).cast("long").alias("rep"))
     pending = pending.select("conv", "size", F.lit(0).cast("long").alias("seat"), _root().alias("seat_name"))
-    while True:
-        most = pending.agg(F.max(F.col("size") - F.col("seat"))).first()[0]
-        if most is None:
-            return nodes
-        places_left = places.join(pending.select("conv"), "conv", "left_semi")
-        located = locate(pending, places_left, nodes, most)
+    located = pending
+    while not pending.isEmpty():
         left = kept(exits(located, places, nodes), "exits")
         nodes, pending = insert(left, places, nodes)
+        if pending.isEmpty():
+            break
+        here = kept(places.join(pending.select("conv"), "conv", "left_semi"), "here")
+        located = locate(pending, here, nodes)
+    return nodes
 
 
 def summed(nodes: DataFrame, sums: list[str], least: list[str]) -> DataFrame:
