@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandmill.operators import blocked
+from strandmill.operators.spread import spread_join
 
 
 def overlay(own: DataFrame, cached: DataFrame, key: str) -> DataFrame:
@@ -65,6 +66,26 @@ def attribute_path(path: Column) -> Column:
     )
 
 
+def attribute_requests(requests: DataFrame, refs: DataFrame) -> DataFrame:
+    """Adds the assembly of each request ``path``: the one it names, or for a segment the first that
+    holds it by the reverse index of ``refs`` (hash, assembly); null if there is none."""
+    hash_ = F.nullif(F.regexp_extract("path", r"^/segments/(?:[^:/]*:)?(.+)$", 1), F.lit(""))
+    rows = requests.withColumns({"__named": attribute_path(F.col("path")), "__hash": hash_})
+    direct = rows.where(F.col("__hash").isNull()).select(*requests.columns, F.col("__named").alias("assembly"))
+    asked = rows.where(F.col("__hash").isNotNull())
+    plain = refs.select(F.regexp_replace("hash", "^[^:]*:", "").alias("__hash"), "assembly")
+    owner = plain.groupBy("__hash").agg(F.min("assembly").alias("assembly"))
+    counted = asked.groupBy("__hash").agg(F.count(F.lit(1)).alias("copies")).join(owner, "__hash", "left")
+    found = spread_join(asked, counted, ["__hash"], "copies", ["path"])
+    return direct.unionByName(found.select(*requests.columns, "assembly"))
+
+
+def node_views(nodes: DataFrame, announced: DataFrame) -> DataFrame:
+    """Nodes with ``held``, the number of different hashes (node, hash) each has announced."""
+    held = announced.select("node", "hash").distinct().groupBy("node").agg(F.count(F.lit(1)).alias("held"))
+    return nodes.join(held, "node", "left").withColumn("held", F.coalesce("held", F.lit(0).cast("long")))
+
+
 def matches_search(query: str, *cols: str) -> Column:
     """Case-insensitive substring search over several columns; empty finds all."""
     needle = F.lower(F.trim(F.lit(query)))

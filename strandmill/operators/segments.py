@@ -115,6 +115,22 @@ def remove_genome(refs: DataFrame, assembly: str) -> DataFrame:
     return refs.where(F.col("assembly") != assembly)
 
 
+def drop_reference(refs: DataFrame, doomed: DataFrame) -> DataFrame:
+    """References left after single (hash, assembly) pairs are dropped; a hash without any goes with them."""
+    return refs.join(doomed.select("hash", "assembly").distinct(), ["hash", "assembly"], "left_anti")
+
+
+def only_chromosome(chroms: DataFrame, name) -> DataFrame:
+    """The rows of the one chromosome of that name, of any table with a chrom."""
+    return chroms.where(F.col("chrom") == name)
+
+
+def chromosome_hashes(manifest: DataFrame, chroms: DataFrame | None = None) -> DataFrame:
+    """Distinct (assembly, hash) of the named chromosomes (assembly, chrom), of all without names."""
+    rows = manifest if chroms is None else manifest.join(chroms.select("assembly", "chrom").distinct(), ["assembly", "chrom"], "left_semi")
+    return rows.groupBy("assembly", "hash").agg(F.min("length").alias("length"))
+
+
 def insert_new(batch: DataFrame, stored: DataFrame) -> DataFrame:
     """Idempotent content-addressed insert: the first copy of each absent hash."""
     fresh = batch.groupBy("hash").agg(F.min("length").alias("length"))

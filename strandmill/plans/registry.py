@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandmill.plans import alignments, content, dedup, matching, sequences, streams, swarm
+from strandmill.plans import alignments, content, dedup, matching, sequences, streams, swarm, transfers
 
-_MODULES = (dedup, sequences, alignments, swarm, content, matching, streams)
+_MODULES = (dedup, sequences, alignments, swarm, content, matching, streams, transfers)
 
 
 def queries():

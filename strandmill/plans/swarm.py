@@ -33,6 +33,14 @@ def tracker_peers(spark, sf):
     return _nodes(spark, sf).where("online").select("content", "node")
 
 
+def node_held_counts(spark, sf):
+    """Every node with the number of segments it announced: those of the document its announcement names."""
+    nodes = _nodes(spark, sf)
+    content = corpus.manifest(spark, sf).select(F.col("chrom").alias("content"), "hash").distinct()
+    announced = nodes.select("node", "content").join(content, "content")
+    return network.node_views(nodes, announced).select("node", "age_s", "online", "held")
+
+
 def node_rollup(spark, sf):
     return _nodes(spark, sf).agg(
         F.count(F.lit(1)).alias("nodes"), F.count_if("online").alias("online")
@@ -142,7 +150,7 @@ def tile_jobs(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        tracker_nodes, tracker_peers, node_rollup, announce_latest, announce_fresh,
+        tracker_nodes, tracker_peers, node_held_counts, node_rollup, announce_latest, announce_fresh,
         announce_spot_check, rate_window, served_feed_lastn, events_tail, activity_summary,
         job_list, job_claim_fifo, job_reclaim, job_reports, job_rollup, tile_jobs,
     )
@@ -178,6 +186,9 @@ jobs AS (
 
 ORACLES = {
     "tracker_nodes": f"WITH {NODES} SELECT * FROM nodes",
+    "node_held_counts": f"""WITH {NODES}, held AS (SELECT doc_id AS content, count(DISTINCT line) AS n FROM
+        (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL) GROUP BY 1)
+        SELECT node, age_s, online, coalesce(n, 0) AS held FROM nodes LEFT JOIN held USING (content)""",
     "tracker_peers": f"WITH {NODES} SELECT content, node FROM nodes WHERE online",
     "node_rollup": f"""WITH {NODES}
         SELECT count(*) AS nodes, count(*) FILTER (online) AS online FROM nodes""",
