@@ -38,29 +38,63 @@ from strandmill.llm.tokens import vocabulary
 from strandmill.llm.words import mix, slices
 
 MODEL = "piece_bpe_32k.model"
-CACHE = 300_000  # parts whose ids a worker keeps
+CACHE = 100_000  # parts whose ids a worker keeps
 PAIRS = 1 << 20  # slots for the neighbour checks that it keeps
 LONG_PART = 64  # longer parts are not kept
 WINDOW = 1 << 20  # characters that the automaton reads at once
-SLICE = 4 << 20
+SLICE = 1 << 20
 MARKS = ".,;:!?|"
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 SPACE = "▁"
 _PROBES = ["", " ", "  two  blanks ", "a,b. C!", "1 2\n3\t", "é①\U0001D518 日本", "the end?", SPACE * 40 + "x"]
 
 
-class Pieces:
-    """The pieces of a model file, with encoding and decoding of single texts."""
+class Decoder:
+    """What each id of a model file stands for."""
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
 
-        model = SentencePieceProcessor(model_file=path)
-        every = range(model.get_piece_size())
+        self.model = SentencePieceProcessor(model_file=path)
+        every = range(self.model.get_piece_size())
+        self.text = [self.model.id_to_piece(i) for i in every]
+        self.control = {i for i in every if self.model.is_control(i)}
+        self.byte_ids = [self.model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+        self.plain = [b"" if i in self.control else t.replace(SPACE, " ").encode() for i, t in enumerate(self.text)]
+        for b, i in enumerate(self.byte_ids):
+            self.plain[i] = bytes([b])
+        self.plain[self.model.unk_id()] = " ⁇ ".encode()
+
+    def decode(self, ids: np.ndarray) -> str:
+        """The text of ids: control ids vanish and end a run of bytes, the space put in front goes,
+        and each byte that is no UTF-8 becomes U+FFFD."""
+        listed = ids.tolist()
+        first = next((n for n, i in enumerate(listed) if i not in self.control), len(listed))
+        listed = listed[first:]
+        while listed and listed[-1] in self.control:
+            listed.pop()
+        runs = [b""]
+        if self.control.isdisjoint(listed):
+            runs = [b"".join(map(self.plain.__getitem__, listed))]
+        else:
+            for i in listed:
+                if i in self.control:
+                    runs.append(b"")
+                else:
+                    runs[-1] += self.plain[i]
+        if listed and self.text[listed[0]].startswith(SPACE):
+            runs[0] = runs[0][1:]
+        return "".join([run.decode("utf-8", _each_byte()) for run in runs])
+
+
+class Pieces(Decoder):
+    """The pieces of a model file, with encoding of lists of texts."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        model, every = self.model, range(len(self.text))
         self.begin, self.end = model.bos_id(), model.eos_id()
-        self.byte_ids = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         special = {i for i in every if model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i)}
-        self.text = [model.id_to_piece(i) for i in every]
         self.score = {self.text[i]: model.get_score(i) for i in every if i not in special}
         # Pieces that no merging yields never come out.
         self.id_of = {self.text[i]: i for i in every if i not in special and self.merged(self.text[i]) == [self.text[i]]}
@@ -74,11 +108,6 @@ class Pieces:
         self.pair_key, self.pair_fits = np.full(PAIRS, -1, np.int64).view(np.uint64), np.zeros(PAIRS, bool)
         self.parts: dict[str, bytes] = {}
         self.cut = re.compile(self._cuts(), re.DOTALL).findall
-        self.control = {i for i in every if model.is_control(i)}
-        self.plain = [b"" if i in self.control else t.replace(SPACE, " ").encode() for i, t in enumerate(self.text)]
-        for b, i in enumerate(self.byte_ids):
-            self.plain[i] = bytes([b])
-        self.plain[model.unk_id()] = " ⁇ ".encode()
         for probe in _PROBES:
             want = [self.begin, *model.encode(probe), self.end]
             if np.frombuffer(self.encode_all([probe])[0], "<u4").tolist() != want or self.decode(np.array(want)) != model.decode(want):
@@ -252,27 +281,6 @@ class Pieces:
         begin, end = array("I", [self.begin]).tobytes(), array("I", [self.end]).tobytes()
         return [b"".join([begin, *map(of, parts), end]) for parts in cut]
 
-    def decode(self, ids: np.ndarray) -> str:
-        """The text of ids: control ids vanish and end a run of bytes, the space put in front goes,
-        and each byte that is no UTF-8 becomes U+FFFD."""
-        listed = ids.tolist()
-        first = next((n for n, i in enumerate(listed) if i not in self.control), len(listed))
-        listed = listed[first:]
-        while listed and listed[-1] in self.control:
-            listed.pop()
-        runs = [b""]
-        if self.control.isdisjoint(listed):
-            runs = [b"".join(map(self.plain.__getitem__, listed))]
-        else:
-            for i in listed:
-                if i in self.control:
-                    runs.append(b"")
-                else:
-                    runs[-1] += self.plain[i]
-        if listed and self.text[listed[0]].startswith(SPACE):
-            runs[0] = runs[0][1:]
-        return "".join([run.decode("utf-8", _each_byte()) for run in runs])
-
 
 def _each_byte() -> str:
     """The name of an error handler that replaces one byte at a time."""
@@ -280,22 +288,22 @@ def _each_byte() -> str:
     return "strandmill_each_byte"
 
 
-def pieces(path: str) -> Pieces:
+def _worker(kind: type, path: str):
+    """The worker's own ``kind`` of that file."""
     state = worker_state()
-    if ("pieces", path) not in state:
-        state["pieces", path] = Pieces(path)
-    return state["pieces", path]
+    if (kind.__name__, path) not in state:
+        state[kind.__name__, path] = kind(path)
+    return state[kind.__name__, path]
 
 
 def encoder(model: str = MODEL) -> Column:
     """A function of a text column: its ids as little-endian 32-bit integers in one binary value."""
     @F.arrow_udf("binary")
     def ids_of(values: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        coded = pieces(vocabulary(model))
+        coded = _worker(Pieces, vocabulary(model))
         for texts in values:
-            batch = pa.RecordBatch.from_arrays([texts], ["text"])
-            out = [i for part in slices(batch, "text", SLICE) for i in coded.encode_all(part.column("text").to_pylist())]
-            yield pa.array(out, pa.binary())
+            for part in slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text", SLICE):
+                yield pa.array(coded.encode_all(part.column("text").to_pylist()), pa.binary())
 
     return ids_of
 
@@ -304,9 +312,10 @@ def decoder(model: str = MODEL) -> Column:
     """A function of such a binary column: the decoded text; null for null."""
     @F.arrow_udf("string")
     def text_of(values: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        coded = pieces(vocabulary(model))
+        coded = _worker(Decoder, vocabulary(model))
         for ids in values:
-            yield pa.array([None if i is None else coded.decode(np.frombuffer(i, "<u4")) for i in ids.to_pylist()], pa.string())
+            for part in slices(pa.RecordBatch.from_arrays([ids], ["ids"]), "ids", SLICE):
+                yield pa.array([None if i is None else coded.decode(np.frombuffer(i, "<u4")) for i in part.column("ids").to_pylist()], pa.string())
 
     return text_of
 
