@@ -138,7 +138,8 @@ class _Side:
         table = table.combine_chunks()
         self.table, self.rows = table, len(table)
         self.id, self.label = table.column("id").to_numpy(), table.column("label").to_numpy()
-        self.ints = self._flat("ints", np.int64).reshape(self.rows, -1)
+        ints = self._flat("ints", np.int64)
+        self.ints = ints.reshape(self.rows, len(ints) // max(self.rows, 1))
         self.codes = self._flat("codes", np.int64).view(np.uint64).reshape(self.rows, LEVELS, dims // 64)
         self.align, self.left = (self._flat(c, np.float64).reshape(self.rows, LEVELS) for c in ("align", "rest"))
 
@@ -174,7 +175,8 @@ def prepared(table: DataFrame, id_col: str, label_col: str | Column, vector_col:
 
     def scan(batches):
         for batch in batches:
-            x = batch.column("ints").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            x = batch.column("ints").flatten().to_numpy(zero_copy_only=False)
+            x = x.reshape(batch.num_rows, len(x) // max(batch.num_rows, 1))
             codes, align, left = coded(turned(x.astype(np.float64), 0, dims))
             new = [pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * (a.size // max(len(x), 1)), a.ravel())
                    for a in (codes.view(np.int64), align, left)]
