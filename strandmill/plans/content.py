@@ -109,7 +109,7 @@ _ASSEMBLIES = """SELECT doc, doc AS assembly, encode(t) AS raw, hex(encode(t)) A
              (SELECT coalesce(source, '') AS doc, string_agg(text, '' ORDER BY doc_id) AS t FROM documents GROUP BY 1)"""
 
 
-def _cdc(sizes: list[tuple[int, int]], texts: str = _TEXTS) -> str:
+def chunk_sql(sizes: list[tuple[int, int]], texts: str = _TEXTS) -> str:
     """Chunks by recursion: from each start, the first candidate end that is long enough."""
     parts = []
     for low, high in sizes:
@@ -199,11 +199,11 @@ sims AS (
 )"""
 
 ORACLES = {
-    "cdc_chunks": f"""WITH RECURSIVE {_cdc([CHUNK])}
+    "cdc_chunks": f"""WITH RECURSIVE {chunk_sql([CHUNK])}
         SELECT chrom, seg_idx, start, length, hash FROM pieces""",
-    "cdc_long_chunks": f"""WITH RECURSIVE {_cdc([CHUNK], _ASSEMBLIES)}
+    "cdc_long_chunks": f"""WITH RECURSIVE {chunk_sql([CHUNK], _ASSEMBLIES)}
         SELECT assembly, start, length, hash FROM pieces""",
-    "cdc_chunk_stats": f"""WITH RECURSIVE {_cdc([CHUNK])},
+    "cdc_chunk_stats": f"""WITH RECURSIVE {chunk_sql([CHUNK])},
         c AS (SELECT hash, min(length) AS length, count(DISTINCT assembly) AS rc
               FROM pieces GROUP BY hash),
         ng AS (SELECT count(DISTINCT source) AS n FROM documents)
@@ -213,7 +213,7 @@ ORACLES = {
           CAST(sum(CASE WHEN rc <> n AND rc = 1 THEN length ELSE 0 END) AS BIGINT) AS unique_bytes,
           CAST(sum(length) AS BIGINT) AS stored_bytes,
           CAST(sum(length * rc) AS BIGINT) AS naive_bytes FROM c, ng""",
-    "cdc_benchmark_sweep": f"""WITH RECURSIVE {_cdc(SWEEP)},
+    "cdc_benchmark_sweep": f"""WITH RECURSIVE {chunk_sql(SWEEP)},
         p AS (SELECT * FROM (SELECT assembly AS b, lag(assembly) OVER (ORDER BY assembly) AS a
               FROM (SELECT DISTINCT source AS assembly FROM documents)) WHERE a IS NOT NULL),
         sz AS (SELECT max_chunk, assembly, count(*) AS n FROM pieces GROUP BY max_chunk, assembly),

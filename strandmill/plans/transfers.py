@@ -8,10 +8,15 @@ ones, and the segments held are those of good ones.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from strandmill.operators import artifacts, network, segments
 from strandmill.plans import corpus
+from strandmill.plans.content import chunk_sql
+from strandmill.session import checkpoint_dir
+from strandmill.sources import snapshots
 
 _REF = "(7 * id + id div 3) % n"
 
@@ -74,9 +79,30 @@ def request_attribution(spark, sf):
     return found.groupBy("assembly", kind.alias("kind")).agg(F.count(F.lit(1)).alias("requests"))
 
 
+CHUNK = (64, 1_024)
+
+
+def import_snapshots(spark, sf):
+    """All documents imported into an empty store, imported again, and without the toxic ones.
+
+    One row per import: the snapshot it ended at, what it added, and what the newest view then holds."""
+    root = f"{checkpoint_dir(spark).rstrip('/')}/imports-{uuid.uuid4().hex}"
+    docs = corpus.documents(spark, sf).select("assembly", "organism", F.col("chrom").alias("chrom_idx"), "chrom", F.col("text").alias("seq"))
+    toxic = corpus.table(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("chrom"))
+    out = []
+    for step, given in enumerate((docs, docs, docs.join(toxic, "chrom", "left_anti"))):
+        found = snapshots.import_genomes(spark, root, given, CHUNK)
+        store = found.store().agg(F.count(F.lit(1)).alias("store_segments"), F.coalesce(F.sum("length"), F.lit(0)).alias("store_bytes"))
+        view = found.manifest().agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("assembly").alias("genomes"), F.count_distinct("hash").alias("hashes"))
+        log = found.log().agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("logged_bytes"))
+        one = store.join(view).join(log)  # three single rows
+        out.append(one.select(F.lit(step).alias("step"), F.lit(found.number).alias("snapshot"), *one.columns))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 QUERIES = {
     f.__name__: f
-    for f in (artifact_dispatch, rebuild_plan, download_closure, chrom_subset_hashes, chrom_filter, index_drop_reference, request_attribution)
+    for f in (artifact_dispatch, rebuild_plan, download_closure, chrom_subset_hashes, chrom_filter, index_drop_reference, request_attribution, import_snapshots)
 }
 
 _LINES = """lines AS (SELECT coalesce(source, '') AS assembly, doc_id AS chrom, unnest(string_split(text, chr(10))) AS line,
@@ -112,4 +138,13 @@ ORACLES = {
         UNION ALL SELECT NULL, 'segments', count(*) FROM m
         UNION ALL SELECT assembly, 'genomes', count(*) FROM m GROUP BY 1
         UNION ALL SELECT assembly, 'deltas', count(*) FROM m GROUP BY 1""",
+    "import_snapshots": f"""WITH RECURSIVE {chunk_sql([CHUNK])},
+        store AS (SELECT hash, min(length) AS length FROM pieces GROUP BY hash),
+        left_over AS (SELECT * FROM pieces WHERE chrom NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+        hit AS (SELECT DISTINCT source AS assembly FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 AND text <> ''),
+        views AS (SELECT 0 AS step, * FROM pieces UNION ALL SELECT 1, * FROM pieces UNION ALL SELECT 2, * FROM left_over)
+        SELECT step, CASE WHEN step = 2 THEN 2 ELSE 1 END AS snapshot, (SELECT count(*) FROM store) AS store_segments,
+          (SELECT sum(length)::BIGINT FROM store) AS store_bytes, count(*) AS rows, count(DISTINCT assembly) AS genomes, count(DISTINCT hash) AS hashes,
+          ((SELECT sum(length) FROM pieces) + CASE WHEN step = 2 THEN (SELECT sum(length) FROM left_over JOIN hit USING (assembly)) ELSE 0 END)::BIGINT AS logged_bytes
+        FROM views GROUP BY step""",
 }
