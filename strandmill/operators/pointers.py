@@ -33,15 +33,15 @@ def resolve(pointers: DataFrame) -> DataFrame:
     none = F.lit(None).cast(start.schema["node"].dataType)
     ended = start.where(F.col("next").isNull()).select("node", F.col("node").alias("end"), F.lit(0).cast("long").alias("steps"))
     going = start.where(F.col("next").isNotNull()).select("node", "next", F.lit(1).cast("long").alias("steps")).checkpoint()
-    reach = 1
-    while (left := going.count()) and reach <= left:
-        # A walk longer than the number of nodes still going would meet a node twice.
+    reach, left, before = 1, going.count(), None
+    # While a walk that ends is left, each round ends one; then tails shrink until all pointers lie on cycles.
+    while left and not (left == before and reach >= left):
         state = going.select("node", "next", none.alias("end"), "steps").unionByName(ended.select("node", none.alias("next"), "end", "steps"))
         there = _jump(going, state, "next", "end", "steps")
         there = there.select("node", F.col("there_next").alias("next"), F.col("there_end").alias("end"), (F.col("steps") + F.col("there_steps")).alias("steps")).checkpoint()
         ended = ended.unionByName(there.where(F.col("end").isNotNull()).select("node", "end", "steps"))
         going = there.where(F.col("end").isNull()).drop("end")
-        reach *= 2
+        reach, left, before = reach * 2, going.count(), left
     # After so many steps every pointer left lands on its cycle, and all of the cycle are landed on.
     landed = going.select(F.col("next").alias("node")).distinct().withColumn("on_cycle", F.lit(True))
     stuck = going.join(landed, "node", "left").select(
