@@ -2,32 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.operators import chunking
+from strandmill.operators import blocked, chunking
+from strandmill.operators.intervals import BIN
+from strandmill.operators.spread import spread_join
 
 
-def rechunk(chroms: DataFrame, regions: DataFrame, sizes: tuple[int, int]) -> DataFrame:
+def rechunk(
+    chroms: DataFrame, regions: DataFrame, sizes: tuple[int, int], keys: Sequence[str] = ("chrom",),
+    piece: int = chunking.BLOCK, width: int = BIN,
+) -> DataFrame:
     """Chunk every region of every chromosome on its own.
 
-    ``chroms`` has (assembly, chrom, seq) and ``regions`` (chrom, start, end, shared).  The
-    regions of a chromosome travel to its text as one array, so the text moves once.
+    ``chroms`` has (assembly, *keys, seq) and ``regions`` (*keys, start, end, shared), of any number of
+    genomes.  Texts travel in pieces and regions as rows to the pieces they touch; a region that
+    touches several is put together again.  Segments are numbered along each chromosome.
     """
-    lists = regions.groupBy("chrom").agg(F.collect_list(F.struct("start", "end", "shared")).alias("r"))
-    cut = (
-        chroms.select("assembly", "chrom", F.col("seq").cast("binary").alias("seq"))
-        .join(lists, "chrom")
-        .select("assembly", "chrom", "seq", F.explode("r").alias("r"))
-        .select(
-            "assembly", "chrom", F.col("r.start").alias("region_start"), "r.shared",
-            F.substring("seq", (F.col("r.start") + 1).cast("int"), (F.col("r.end") - F.col("r.start")).cast("int"))
-            .alias("piece"),
-        )
-    )
-    parts = chunking.chunks(cut, ["assembly", "chrom", "region_start", "shared"], "piece", [sizes])
-    order = Window.partitionBy("chrom").orderBy("region_start", "start")
-    return parts.select(
-        "assembly", "chrom", (F.row_number().over(order) - 1).cast("long").alias("seg_idx"),
-        (F.col("region_start") + F.col("start")).alias("start"), "length", "hash", "shared",
-    )
+    keys = list(keys)
+    texts = chunking.pieces(chroms, ["assembly", *keys], "seq", piece).withColumn("piece", F.expr(f"at div {piece}"))
+    touched = regions.where("end > start").withColumn(
+        "piece", F.explode(F.sequence(F.expr(f"start div {piece}"), F.expr(f"(end - 1) div {piece}"))))
+    counts = touched.groupBy(*keys, "piece").agg(F.count(F.lit(1)).alias("copies"))
+    low, high = F.greatest("start", "at"), F.least("end", F.col("at") + piece)
+    met = spread_join(touched, texts.join(counts, [*keys, "piece"]), [*keys, "piece"], "copies", ["start"]).select(
+        "assembly", *keys, F.col("start").alias("region_start"), "shared", "piece",
+        F.substring("data", (low - F.col("at") + 1).cast("int"), (high - low).cast("int")).alias("slice"))
+    whole = met.groupBy("assembly", *keys, "region_start", "shared").agg(F.expr("listagg(slice) WITHIN GROUP (ORDER BY piece)").alias("data"))
+    parts = chunking.chunks(whole, ["assembly", *keys, "region_start", "shared"], "data", [sizes])
+    parts = parts.withColumn("start", F.col("region_start") + F.col("start")).select("assembly", *keys, "start", "length", "hash", "shared")
+    return blocked.position(parts, ["assembly", *keys], ["start"], blocked.block_of("start", width), "seg_idx")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from strandmill.operators import alignment, delta, intervals, matches, propagate, reindex
 from strandmill.operators import segments as seg_ops
 from strandmill.plans import corpus
+from strandmill.plans.content import chunk_sql
 from strandmill.session import checkpoint_dir
 
 MIN_LEN, MAX_GAP = 32, 8
@@ -122,13 +123,23 @@ def cut_propagation(spark, sf):
     return _closed_cuts(_written_mems(spark, sf))
 
 
+def _genomes(spark, sf):
+    """Both genomes of the match graph: documents under their sources, passages as one."""
+    docs = corpus.documents(spark, sf).select(F.lit("documents").alias("genome"), "assembly", "chrom", F.col("text").alias("seq"))
+    return docs.unionByName(_target(spark, sf).select(
+        F.lit("benchmark").alias("genome"), F.lit("benchmark").alias("assembly"), F.col("target").alias("chrom"), "seq"))
+
+
 def _reindex_regions(spark, sf):
     mems = _written_mems(spark, sf)
-    cuts = _closed_cuts(mems).where("genome = 'documents'").select("chrom", "pos")
-    docs = _query(spark, sf)
-    lengths = docs.select(F.col("query").alias("chrom"), F.octet_length("seq").cast("long").alias("length"))
-    cover = mems.select(F.col("query").alias("chrom"), "q_start", "q_end")
-    return intervals.regions(cuts, lengths, intervals.merge(cover, "chrom", "q_start", "q_end"), "chrom")
+    of = F.struct("genome", "chrom").alias("of")
+    cuts = _closed_cuts(mems).select(of, "pos")
+    lengths = _genomes(spark, sf).select(of, F.coalesce(F.octet_length("seq"), F.lit(0)).cast("long").alias("length"))
+    pairs = _pairs(mems)
+    cover = [pairs.select(F.struct(F.col(f"{s}_genome").alias("genome"), F.col(f"{s}_chrom").alias("chrom")).alias("of"),
+                          F.col(f"{s}_start").alias("start"), F.col(f"{s}_end").alias("end")) for s in "ij"]
+    found = intervals.regions(cuts, lengths, intervals.merge(cover[0].unionByName(cover[1]), "of"), "of")
+    return found.select("of.genome", "of.chrom", "start", "end", "shared")
 
 
 def reindex_regions(spark, sf):
@@ -136,13 +147,12 @@ def reindex_regions(spark, sf):
 
 
 def reindex_segments(spark, sf):
-    docs = corpus.documents(spark, sf).withColumnRenamed("text", "seq")
-    return reindex.rechunk(docs, _reindex_regions(spark, sf), CHUNK)
+    return reindex.rechunk(_genomes(spark, sf), _reindex_regions(spark, sf), CHUNK, ["genome", "chrom"])
 
 
 def reindex_summary(spark, sf):
     refs = seg_ops.references(reindex_segments(spark, sf))
-    return seg_ops.summary(seg_ops.refcounts(refs), corpus.genomes(spark, sf))
+    return seg_ops.summary(seg_ops.refcounts(refs), _genomes(spark, sf))
 
 
 QUERIES = {
@@ -249,18 +259,28 @@ cut(genome, chrom, pos) AS (
   WHERE pos > s AND pos < e
 )"""
 REGIONS = CUTS + """,
-len AS (SELECT doc_id AS chrom, octet_length(encode(text)) AS n FROM documents),
+genomes AS (SELECT 'documents' AS genome, coalesce(source, '') AS assembly, doc_id AS chrom, coalesce(text, '') AS text FROM documents
+  UNION ALL SELECT 'benchmark', 'benchmark', item_id, coalesce(text, '') FROM benchmark),
+len AS (SELECT genome, chrom, octet_length(encode(text)) AS n FROM genomes),
 pts AS (
-  SELECT chrom, pos FROM cut JOIN len USING (chrom) WHERE genome = 'documents' AND pos > 0 AND pos < n
-  UNION SELECT chrom, 0 FROM len UNION SELECT chrom, n FROM len
+  SELECT genome, chrom, pos FROM cut JOIN len USING (genome, chrom) WHERE pos > 0 AND pos < n
+  UNION SELECT genome, chrom, 0 FROM len UNION SELECT genome, chrom, n FROM len
 ),
-pieces AS (SELECT * FROM (SELECT chrom, pos AS "start",
-    lead(pos) OVER (PARTITION BY chrom ORDER BY pos) AS "end" FROM pts) WHERE "end" IS NOT NULL),
-cov AS (SELECT DISTINCT query AS chrom, q_start AS s, q_end AS e FROM mems),
-f AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY chrom ORDER BY s, e
+spans AS (SELECT * FROM (SELECT genome, chrom, pos AS "start",
+    lead(pos) OVER (PARTITION BY genome, chrom ORDER BY pos) AS "end" FROM pts) WHERE "end" IS NOT NULL),
+cov AS (SELECT DISTINCT g AS genome, c AS chrom, s, e FROM sides),
+f AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY genome, chrom ORDER BY s, e
        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS f FROM cov),
-nf AS (SELECT *, sum(f) OVER (PARTITION BY chrom ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM f),
-merged AS (SELECT chrom, min(s) AS s, max(e) AS e FROM nf GROUP BY chrom, g)"""
+nf AS (SELECT *, sum(f) OVER (PARTITION BY genome, chrom ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM f),
+merged AS (SELECT genome, chrom, min(s) AS s, max(e) AS e FROM nf GROUP BY genome, chrom, g),
+regions AS (SELECT p.genome, p.chrom, p."start", p."end", EXISTS (SELECT 1 FROM merged m WHERE m.genome = p.genome AND m.chrom = p.chrom
+    AND m.s <= p."start" AND p."end" <= m.e) AS shared FROM spans p WHERE p."end" > p."start")"""
+_REGION_TEXTS = """SELECT row_number() OVER (ORDER BY genome, chrom, "start") AS doc, assembly, genome, chrom, "start" AS at_, shared, h, octet_length(encode(h)) // 2 AS n
+    FROM (SELECT r.*, assembly, substr(hex(encode(text)), (2 * r."start" + 1)::BIGINT, (2 * (r."end" - r."start"))::BIGINT) AS h
+      FROM regions r JOIN genomes USING (genome, chrom))"""
+SEGMENTS = f"""{REGIONS}, {chunk_sql([CHUNK], _REGION_TEXTS)},
+segs AS (SELECT h.assembly, h.genome, h.chrom, row_number() OVER (PARTITION BY h.genome, h.chrom ORDER BY h.at_ + p.start) - 1 AS seg_idx,
+    h.at_ + p.start AS start, p.length, p.hash, h.shared FROM pieces p JOIN hx h ON h.doc = p.chrom)"""
 
 ORACLES = {
     "mem_all": f"WITH {MEMS} SELECT * FROM mems",
@@ -307,7 +327,14 @@ ORACLES = {
     "delta_ref_gap": f"""WITH RECURSIVE {DELTA}
         SELECT chrom, op_idx, ref_start - coalesce(lag(ref_end) OVER (PARTITION BY chrom ORDER BY op_idx), 0) AS ref_gap FROM ops WHERE type = 'copy'""",
     "cut_propagation": f"WITH RECURSIVE {CUTS} SELECT * FROM cut",
-    "reindex_regions": f"""WITH RECURSIVE {REGIONS}
-        SELECT p.chrom, p."start", p."end", EXISTS (SELECT 1 FROM merged m WHERE m.chrom = p.chrom
-          AND m.s <= p."start" AND p."end" <= m.e) AS shared FROM pieces p WHERE p."end" > p."start" """,
+    "reindex_regions": f"WITH RECURSIVE {REGIONS} SELECT * FROM regions",
+    "reindex_segments": f"WITH RECURSIVE {SEGMENTS} SELECT * FROM segs",
+    "reindex_summary": f"""WITH RECURSIVE {SEGMENTS},
+        counts AS (SELECT hash, min(length) AS length, count(DISTINCT assembly) AS rc FROM segs GROUP BY hash),
+        known AS (SELECT count(DISTINCT assembly) AS n FROM genomes)
+        SELECT CAST(max(n) AS BIGINT) AS genomes, count(*) AS segments,
+          CAST(sum(CASE WHEN rc = n THEN length ELSE 0 END) AS BIGINT) AS core_bytes,
+          CAST(sum(CASE WHEN rc <> n AND rc <> 1 THEN length ELSE 0 END) AS BIGINT) AS partial_bytes,
+          CAST(sum(CASE WHEN rc <> n AND rc = 1 THEN length ELSE 0 END) AS BIGINT) AS unique_bytes,
+          CAST(sum(length) AS BIGINT) AS stored_bytes, CAST(sum(length * rc) AS BIGINT) AS naive_bytes FROM counts, known""",
 }
