@@ -36,6 +36,7 @@ BITS_PER_KEY = 10
 PROBES = 5
 REGION_BITS = 1 << 19
 SHARD_BYTES = 96 << 20
+RUN_TOKENS = 1 << 19  # tokens of a block that are scored at once
 _END = np.uint64(0x5851F42D4C957F2D)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -138,6 +139,15 @@ def _read(batch: pa.RecordBatch, r: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return index, first, hashes
 
 
+def _runs(first: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with about ``most`` words each, one text at least."""
+    low = 0
+    while low < len(first) - 1:
+        high = max(low + 1, int(np.searchsorted(first, first[low] + most, "right")) - 1)
+        yield low, high
+        low = high
+
+
 def _pair_counts(blocks: DataFrame) -> DataFrame:
     """(pair, n) of all pairs in learning texts."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,25 +243,31 @@ def _scored(joined: DataFrame, shared, n_all: int, v_all: int, ends: int, kind:
                 index, first, hashes = _read(batch, r)
                 known = batch.column("known")[r]
                 count = known.values.field("c").to_numpy(zero_copy_only=False) if known.is_valid else np.zeros(0, np.int64)
-                pair, bounds = _pairs(hashes[index], first)
-                inner = np.ones(len(pair), bool)
-                inner[bounds[1:] - 1] = False
-                c = np.full(len(pair), ends, np.int64)
-                c[inner] = count[index]
-                context = np.empty_like(c)
-                context[1:] = c[:-1]
-                context[bounds[:-1]] = ends
-                single = (c + 0.1) / floor
-                mine = np.flatnonzero(model.owns(pair))
-                held = np.minimum(model.counts(pair[mine]), np.minimum(c[mine], context[mine]))
-                part = np.zeros(len(pair))
-                part[mine] = np.log10((held + MU * single[mine]) / (context[mine] + MU))
-                starts = bounds[:-1]
-                columns = [
-                    pa.array([batch.column("block")[r].as_py()] * len(starts), pa.int64()), pa.array(np.arange(len(starts))),
-                    batch.column("ids")[r].values, batch.column("learns")[r].values, pa.array(np.diff(bounds)),
-                    pa.array(np.add.reduceat((c > 0).astype(np.int64), starts)), pa.array(np.add.reduceat(np.log10(single), starts)),
-                    pa.array(np.add.reduceat(part, starts))]
-                yield pa.RecordBatch.from_arrays(columns, ["block", "nth", "id", "learn", "n_tokens", "n_known", "base_score", "score"])
+                block, ids, learns = batch.column("block")[r].as_py(), batch.column("ids")[r].values, batch.column("learns")[r].values
+                for low, high in _runs(first, RUN_TOKENS):
+                    columns = scored(model, index[first[low] : first[high]], first[low : high + 1] - first[low], hashes, count)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([block] * (high - low), pa.int64()), pa.array(np.arange(low, high)), ids.slice(low, high - low), learns.slice(low, high - low),
+                         *map(pa.array, columns)],
+                        ["block", "nth", "id", "learn", "n_tokens", "n_known", "base_score", "score"])
+
+    def scored(model: Filter, index: np.ndarray, first: np.ndarray, hashes: np.ndarray, count: np.ndarray) -> list[np.ndarray]:
+        pair, bounds = _pairs(hashes[index], first)
+        inner = np.ones(len(pair), bool)
+        inner[bounds[1:] - 1] = False
+        c = np.full(len(pair), ends, np.int64)
+        c[inner] = count[index]
+        context = np.empty_like(c)
+        context[1:] = c[:-1]
+        context[bounds[:-1]] = ends
+        single = (c + 0.1) / floor
+        mine = np.flatnonzero(model.owns(pair))
+        # The filter is far larger than any cache, so each different pair is probed once.
+        asked, back = np.unique(pair[mine], return_inverse=True)
+        held = np.minimum(model.counts(asked)[back], np.minimum(c[mine], context[mine]))
+        part = np.zeros(len(pair))
+        part[mine] = np.log10((held + MU * single[mine]) / (context[mine] + MU))
+        starts = bounds[:-1]
+        return [np.diff(bounds), np.add.reduceat((c > 0).astype(np.int64), starts), np.add.reduceat(np.log10(single), starts), np.add.reduceat(part, starts)]
 
     return joined.mapInArrow(scan, f"block long, nth long, id {kind}, learn boolean, n_tokens long, n_known long, base_score double, score double")

@@ -38,7 +38,7 @@ from strandmill.llm.tokens import vocabulary
 from strandmill.llm.words import mix, slices
 
 MODEL = "piece_bpe_32k.model"
-CACHE = 100_000  # parts whose ids a worker keeps
+CACHE = 200_000  # parts whose ids a worker keeps
 PAIRS = 1 << 20  # slots for the neighbour checks that it keeps
 LONG_PART = 64  # longer parts are not kept
 WINDOW = 1 << 20  # characters that the automaton reads at once
