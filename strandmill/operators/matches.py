@@ -83,19 +83,19 @@ def _hits(target: DataFrame, query: DataFrame, min_len: int, k: int, window: int
 
 
 def _around(hits: DataFrame, seqs: DataFrame, name: str, pos: str, k: int, reach: int) -> DataFrame:
-    """(name, pos, copies, before, ahead): up to ``reach`` bytes before each asked place, and the
+    """(name, pos, before, ahead): up to ``reach`` bytes before each asked place, and the
     seed with as many after it.  A sequence travels once, in pieces, and only those asked for."""
-    asked = hits.groupBy(name, pos).agg(F.count(F.lit(1)).alias("copies"))
-    asked = asked.groupBy(name, F.expr(f"{pos} div {PIECE}").alias("piece")).agg(F.collect_list(F.struct(pos, "copies")).alias("asked"))
+    # Different places of one piece: as many as it has bytes at most.
+    asked = hits.groupBy(name, F.expr(f"{pos} div {PIECE}").alias("piece")).agg(F.collect_set(pos).alias("asked"))
     data = F.col("seq").cast("binary")
     start = F.greatest(F.lit(0), F.col("piece") * PIECE - reach)
     pieces = seqs.select(name, data.alias("seq")).where(F.octet_length("seq") > 0).select(name, F.posexplode(F.transform(
         F.sequence(F.lit(0), F.expr(f"cast((octet_length(seq) - 1) div {PIECE} as int)")),
         lambda i: F.substring("seq", F.greatest(F.lit(1), i * PIECE - reach + 1), F.lit(PIECE + k + 2 * reach)))).alias("piece", "bytes"))
-    found = asked.join(pieces, [name, "piece"]).select(name, start.alias("start"), "bytes", F.explode("asked").alias("p")).select(
-        name, F.col(f"p.{pos}").alias(pos), F.col("p.copies").alias("copies"), "bytes", (F.col(f"p.{pos}") - F.col("start")).cast("int").alias("at"))
+    found = asked.join(pieces, [name, "piece"]).select(name, start.alias("start"), "bytes", F.explode("asked").alias(pos)).select(
+        name, pos, "bytes", (F.col(pos) - F.col("start")).cast("int").alias("at"))
     low = F.greatest(F.lit(0), F.col("at") - reach)
-    return found.select(name, pos, "copies", F.substring("bytes", low + 1, F.col("at") - low).alias("before"),
+    return found.select(name, pos, F.substring("bytes", low + 1, F.col("at") - low).alias("before"),
                         F.substring("bytes", F.col("at") + 1, F.lit(k + reach)).alias("ahead"))
 
 
@@ -133,16 +133,15 @@ def find(target: DataFrame, query: DataFrame, min_len: int) -> DataFrame:
     seeds = hits.where("size IS NULL").drop("size")
     ts = _around(seeds, target, "target", "t_pos", k, reach).withColumnsRenamed({"before": "t_before", "ahead": "t_ahead"})
     qs = _around(seeds, query, "query", "q_pos", k, reach).withColumnsRenamed({"before": "q_before", "ahead": "q_ahead"})
-    seen = spread_join(seeds, ts, ["target", "t_pos"], "copies", ["query", "q_pos"]).drop("copies")
-    seen = spread_join(seen, qs, ["query", "q_pos"], "copies", ["target", "t_pos"])
-    seen = seen.withColumn("same", _equal_around(k, reach)("t_before", "q_before", "t_ahead", "q_ahead")).where(F.col("same.right") >= k)
+    # A place that many seeds name is a hot key; adaptive skew handling splits the seeds.
+    seen = seeds.join(ts, ["target", "t_pos"]).join(qs, ["query", "q_pos"]).withColumn("same", _equal_around(k, reach)("t_before", "q_before", "t_ahead", "q_ahead")).where(F.col("same.right") >= k)
     diagonal = F.struct("query", "target", (F.col("t_pos") - F.col("q_pos")).alias("d")).alias("of")
     parts = seen.select(diagonal, (F.col("q_pos") - F.col("same.left")).alias("start"), (F.col("q_pos") + F.col("same.right")).alias("end")).unionByName(
         hits.where("size IS NOT NULL").select(diagonal, F.col("q_pos").alias("start"), (F.col("q_pos") + F.col("size")).alias("end")))
     whole = intervals.merge(parts, "of").where(F.col("end") - F.col("start") >= min_len)
     return whole.select(
         "of.query", "of.target", (F.col("start") + F.col("of.d")).alias("t_start"), (F.col("end") + F.col("of.d")).alias("t_end"),
-        F.col("start").alias("q_start"), F.col("end").alias("q_end"))
+        F.col("start").alias("q_start"), F.col("end").alias("q_end")).checkpoint()
 
 
 def longest(mems: DataFrame, width: int = intervals.BIN) -> DataFrame:

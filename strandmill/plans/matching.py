@@ -12,7 +12,6 @@ from strandmill.operators import alignment, delta, intervals, matches, propagate
 from strandmill.operators import segments as seg_ops
 from strandmill.plans import corpus
 from strandmill.plans.content import chunk_sql
-from strandmill.session import checkpoint_dir
 
 MIN_LEN, MAX_GAP = 32, 8
 CHUNK = (64, 1_024)
@@ -94,12 +93,6 @@ def delta_ref_gap(spark, sf):
     return delta.reference_gaps(_delta(spark, sf))
 
 
-def _written_mems(spark, sf):
-    """Matches read several times below, so they are written once to the shared folder."""
-    checkpoint_dir(spark)
-    return _mems(spark, sf).checkpoint()
-
-
 def _pairs(mems):
     return mems.select(
         F.lit("benchmark").alias("i_genome"), F.col("target").alias("i_chrom"),
@@ -120,7 +113,7 @@ def _closed_cuts(mems):
 
 
 def cut_propagation(spark, sf):
-    return _closed_cuts(_written_mems(spark, sf))
+    return _closed_cuts(_mems(spark, sf))
 
 
 def _genomes(spark, sf):
@@ -131,7 +124,7 @@ def _genomes(spark, sf):
 
 
 def _reindex_regions(spark, sf):
-    mems = _written_mems(spark, sf)
+    mems = _mems(spark, sf)
     of = F.struct("genome", "chrom").alias("of")
     cuts = _closed_cuts(mems).select(of, "pos")
     lengths = _genomes(spark, sf).select(of, F.coalesce(F.octet_length("seq"), F.lit(0)).cast("long").alias("length"))
