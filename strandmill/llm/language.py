@@ -29,6 +29,7 @@ SAMPLE_ROWS = 400
 SAMPLE_WINDOWS = 4
 UNKNOWN = "und"
 STEPS = 600
+SLICE = 2 << 20  # bytes of text whose windows are laid out at a time
 _BATCH = 512
 
 
@@ -175,8 +176,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     return net
 
 
-def predict(docs: DataFrame, net: ByteNet | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with a struct ``language`` of (lang_pred, score).
+def predict(docs: DataFrame, net: ByteNet | None, text_col: str = "text", name: str = "language") -> DataFrame:
+    """``docs`` with a struct ``name`` of (lang_pred, score); a column of that name is replaced.
 
     lang_pred is ``und`` with score 0 if the text is null or has no letter, or if nothing could be learned.
     """
@@ -188,7 +189,7 @@ def predict(docs: DataFrame, net: ByteNet | None, text_col: str = "text") -> Dat
         for series in texts:
             names, scores = [], []
             batch = pa.RecordBatch.from_arrays([pa.array(series, pa.string())], ["text"])
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 values = part.column("text").to_pylist()
                 probs = _text_probabilities(model, values) if model else None
                 for r, text in enumerate(values):
@@ -201,7 +202,7 @@ def predict(docs: DataFrame, net: ByteNet | None, text_col: str = "text") -> Dat
                         scores.append(min(1.0, float(probs[r][best])))
             yield pd.DataFrame({"lang_pred": names, "score": scores})
 
-    return docs.withColumn("language", judge(F.col(text_col)))
+    return docs.withColumn(name, judge(F.col(text_col)))
 
 
 def _text_probabilities(net: ByteNet, texts: list[str | None]) -> np.ndarray:

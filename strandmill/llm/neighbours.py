@@ -31,6 +31,7 @@ TABLES = 12
 PROBES = 10
 CHUNK = 4096
 ROUNDS = 3
+ROUNDING = 1e-12  # products of two orders of summation differ by less, times both norms
 WHOLE = 512  # a norm band of so many entries is not hashed
 DIMS = 64  # PROBES holds for so many dimensions; more padded ones take more in proportion
 
@@ -90,12 +91,13 @@ def _entries(classes: DataFrame, size: int, dims: int, hashed: list[int], whole:
                     take = np.arange(len(x)) if query else np.flatnonzero(band == one)
                     yield rows(np.repeat(take, probes), near[take].ravel() + (one * tables + table) * 2 * dims)
 
-    return classes.select("code", "least", "vector", "band").mapInArrow(scan, "slot long, code long, least long, vector array<float>")
+    kind = classes.schema["vector"].dataType.simpleString()
+    return classes.select("code", "least", "vector", "band").mapInArrow(scan, f"slot long, code long, least long, vector {kind}")
 
 
 def search(
     table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20,
-    tables: int = TABLES, probes: int | None = None, chunk: int = CHUNK,
+    tables: int = TABLES, probes: int | None = None, chunk: int = CHUNK, whole_band: int = WHOLE,
 ) -> DataFrame:
     """(query_id, rank, id, score): the ``k`` nearest found of each row whose id ``every`` divides.
 
@@ -104,12 +106,13 @@ def search(
     and vector count once.  Ties go to the smaller id.
     """
     v = F.col(vector_col)
+    kind = "array<float>" if table.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
     usable = (
         F.col(id_col).isNotNull() & v.isNotNull() & F.exists(v, lambda x: x != 0)
         & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     )
     rows = table.where(usable).select(
-        F.col(id_col).cast("long").alias("id"), v.cast("array<float>").alias("vector"),
+        F.col(id_col).cast("long").alias("id"), v.cast(kind).alias("vector"),
         F.xxhash64(v).alias("code"), F.xxhash64(F.lit(7), v).alias("code2"))
     common = rows.groupBy(F.size("vector").alias("s")).count().orderBy(F.desc("count"), "s").first()
     size = common.s if common else 1
@@ -125,7 +128,7 @@ def search(
     longest = classes.agg(F.max(norm)).first()[0] or 1.0
     classes = classes.withColumn("band", F.floor(F.log2(F.lit(longest) / norm)).cast("int"))
     bands = classes.groupBy("band").count().collect()  # as many as the norms have powers of two
-    hashed, whole = sorted(b.band for b in bands if b["count"] > WHOLE), sorted(b.band for b in bands if b["count"] <= WHOLE)
+    hashed, whole = sorted(b.band for b in bands if b["count"] > whole_band), sorted(b.band for b in bands if b["count"] <= whole_band)
     dims = 1 << (size - 1).bit_length() if size > 1 else 1
     probes = min(probes or max(PROBES, PROBES * dims // DIMS), 2 * dims)
     queries = classes.join(asked.select("code", "code2").distinct(), ["code", "code2"], "left_semi")
@@ -151,16 +154,19 @@ def search(
         side = group.column("query").to_numpy()
         q, e = np.flatnonzero(side), np.flatnonzero(~side)
         x = _vectors(group.column("vector").combine_chunks(), size)
+        norms = np.linalg.norm(x, axis=1)
         least, code = group.column("least").to_numpy(), group.column("code").to_numpy()
         from_q, to_e = [], []
         if len(e):
             for lo in range(0, len(q), 512):
                 part = q[lo : lo + 512]
                 scores = x[part] @ x[e].T
-                most = min(k + 5, len(e))
-                near = np.argpartition(-scores, most - 1, axis=1)[:, :most]
-                from_q.append(np.repeat(part, most))
-                to_e.append(e[near].ravel())
+                # All that may tie with the last of the k + 1 best stay until they are ordered by id.
+                last = len(e) - min(k + 1, len(e))
+                bar = np.partition(scores, last, axis=1)[:, last] - ROUNDING * norms[part] * norms[e].max()
+                one, two = np.nonzero(scores >= bar[:, None])
+                from_q.append(part[one])
+                to_e.append(e[two])
         if not from_q:
             return pa.table({"code": pa.array([], pa.int64()), "least": pa.array([], pa.int64()), "found": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         a, b = np.concatenate(from_q), np.concatenate(to_e)

@@ -2,7 +2,7 @@
 
 The tokenizers of this kind drop white space, so a text's ids are those of its blank-separated
 words one after the other, and each different word is encoded once.  A worker keeps up to
-``CACHE`` words between batches.
+``CACHE`` parts of words between the batches of a task, and none after it.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from strandmill.llm.store import worker_state
 from strandmill.llm.words import BLANKS, Words, slices
 
-CACHE = 300_000
+CACHE = 150_000
 SLICE = 4 << 20
 END = 2
 # Latin letters make one part and the marks after them another; such words need no more care.
@@ -125,6 +125,9 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
 
 def encoded(batches: Iterator[pa.RecordBatch], text_col: str, path: str):
     """(slice of rows, ids, bounds) for slices of the batches."""
-    for batch in batches:
-        for part in slices(batch, text_col, SLICE):
-            yield part, *encode(part.column(text_col), path)
+    try:
+        for batch in batches:
+            for part in slices(batch, text_col, SLICE):
+                yield part, *encode(part.column(text_col), path)
+    finally:
+        encoder(path).parts.clear()

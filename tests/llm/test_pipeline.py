@@ -65,6 +65,17 @@ def test_stages(spark, docs_schema, tmp_path):
     assert len(pipeline.run(spark, str(tmp_path)).collect()) == len(pieces)
 
 
+def test_languages_without_labels(spark, docs_schema):
+    """Where nothing can be learned, all texts with a letter stay; a column of the struct's name stays too."""
+    rows = [(1, "a", None, "s", 1), (2, "1 2", None, "s", 3), (3, None, None, None, None), (4, "\u00e9\u6f22", None, "s", 2)]
+    docs = spark.createDataFrame(rows, docs_schema).selectExpr("*", "source as language")
+    out = pipeline.keep_languages(spark, docs, "")
+    assert out.columns == docs.columns and {r.doc_id for r in out.collect()} == {1, 4}
+    labelled = spark.createDataFrame([(i, t, k, "s", 1) for i, (t, k) in enumerate([("the cat", "aa"), ("der hund", "bb"), ("7", "aa"), ("x", None)])], docs_schema)
+    out = pipeline.keep_languages(spark, labelled.selectExpr("*", "source as language"), "")
+    assert {(r.doc_id, r.language) for r in out.collect()} == {(0, "s"), (1, "s"), (3, "s")}
+
+
 def test_empty(spark, docs_schema, tmp_path):
     spark.createDataFrame([], docs_schema).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
