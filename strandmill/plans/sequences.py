@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from strandmill.functions import bases, formatting, hashing
-from strandmill.operators import network, reconstruct, segments
+from strandmill.operators import chunking, network, reconstruct, segments
 from strandmill.plans import corpus
 from strandmill.plans.dedup import HELD, REFS, SEG
+from strandmill.session import checkpoint_dir
+from strandmill.sources import fasta_parts
+
+FASTA_RANGE = 100_003
 
 
 def _rebuilt(spark, sf):
@@ -89,6 +95,18 @@ def fasta_wrap60(spark, sf):
     ).select("chrom", F.col("line_no").cast("long").alias("line_no"), F.hex("line").alias("line"))
 
 
+def fasta_parts_round_trip(spark, sf):
+    """Texts in hexadecimal, written as FASTA in pieces and read back by ranges that cut lines and records."""
+    docs = corpus.documents(spark, sf).select("assembly", F.col("chrom").alias("chrom_idx"), "chrom", F.hex(F.encode("text", "UTF-8")).alias("seq"))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/fasta-{uuid.uuid4().hex}"
+    key = ["assembly", "chrom_idx", "chrom"]
+    empty = docs.where("coalesce(seq, '') = ''").select(*key, F.lit(0).cast("long").alias("at"), F.lit(b"").alias("data"))
+    fasta_parts.write_parts(chunking.pieces(docs, key, "seq", 5_000).unionByName(empty), path)
+    read = fasta_parts.read_parts(spark, path, joined=True, size=FASTA_RANGE, piece=7_000)
+    return read.groupBy("assembly", F.col("chrom").cast("long").alias("chrom")).agg(
+        F.sum(F.octet_length("data")).alias("bases"), F.expr("sha2(listagg(data) WITHIN GROUP (ORDER BY at), 256)").alias("digest"))
+
+
 def revcomp(spark, sf):
     return corpus.documents(spark, sf).select(
         "chrom", bases.reverse_complement(bases.byte_string(F.col("text"))).alias("revcomp")
@@ -151,7 +169,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         reconstruct_text, chromosome_hash_check, verify_positional, segments_root,
-        hashes_digest, reference_hash, segment_starts, segment_arrival_check, fasta_wrap60,
+        hashes_digest, reference_hash, segment_starts, segment_arrival_check, fasta_wrap60, fasta_parts_round_trip,
         revcomp, fmt_bytes, url_path_attribution, segment_attribution, search_filter,
         canonical_message,
     )
@@ -230,6 +248,8 @@ ORACLES = {
     "fasta_wrap60": """SELECT doc_id AS chrom, i AS line_no, substr(h, 1 + 120 * i, 120) AS line
         FROM (SELECT doc_id, hex(encode(text)) AS h FROM documents) d,
              unnest(range(0, (len(d.h) + 119) // 120)) AS t(i)""",
+    "fasta_parts_round_trip": """SELECT coalesce(source, '') AS assembly, coalesce(doc_id, -1) AS chrom, 2 * octet_length(encode(coalesce(text, ''))) AS bases,
+        sha256(hex(encode(coalesce(text, '')))) AS digest FROM documents""",
     "revcomp": r"""SELECT doc_id AS chrom, reverse(translate(upper(
           regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
             '[\x{10000}-\x{10FFFF}]', 'NNNN', 'g'), '[\x{800}-\x{FFFF}]', 'NNN', 'g'),

@@ -47,7 +47,8 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_block_start").alias("split"),
     )
     records = raw.mapInArrow(_places, "value string, file string, place bigint")
-    head = F.regexp_extract("value", r"^>?([^\n]*)", 1)
+    # Splitting takes the mark off every record but the first of a file.
+    head = F.regexp_extract(F.when(F.col("place") == 0, F.expr("substr(value, 2)")).otherwise(F.col("value")), r"^([^\n]*)", 1)
     body = F.regexp_replace("value", r"^[^\n]*\n?", "")
     return records.select(
         assembly_of(F.col("file")).alias("assembly"),
