@@ -5,11 +5,15 @@ DataFrame functions only.  Pages with a rule are the labelled ones.
 1. Runs of digits and long hexadecimal segments become ``#``, which leaves few different
    (host, path) rows; all statistics work on those rows with their page and label counts.
 2. Level by level, a node whose children mostly occur once gets one wildcard child ``*`` in their
-   place.  Segments below ``DEPTH`` become one ``**``.
+   place.  What follows the first ``DEPTH`` segments is one last segment, as it is.
 3. Branches of a host that differ in their first segment only and whose smoothed share of blocked
-   labels falls into the same quarter are merged: their labels count together.
+   labels falls into the same quarter are merged: their labels count together.  A branch without
+   labels merges with all its labelled siblings.
 4. A template is rejected if its share of blocked labels, smoothed by the share over all labels
-   with weight ``PRIOR``, reaches one half; a template without labels is allowed.
+   with weight ``PRIOR``, reaches one half; for a branch without labels its siblings must agree
+   more, at ``AGREED``.  A template without any label among its siblings is allowed.
+
+Pages with equal urls get equal verdicts, and nothing depends on an order, so there are no ties.
 """
 
 from __future__ import annotations
@@ -30,9 +34,10 @@ RULES = [
 DEPTH = 3
 MANY = 10  # children from which a node may get a wildcard
 PRIOR = 2.0
+AGREED = 0.75
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-_HEX = r"(^|/)[0-9a-fA-F-]{16,}(?=/|$|\.)"
+_HEX = r"(^|/)[0-9a-fA-F-]{16,}(?=/|\z|\.)"
 
 
 def host_of(url: Column) -> Column:
@@ -73,7 +78,8 @@ def _templates(shapes: DataFrame) -> DataFrame:
         rows = rows.withColumn("first", F.col("__step")) if level == 1 else rows.withColumn("rest", F.concat("rest", "__step"))
         rows = rows.withColumn("rest", F.lit("")) if level == 1 else rows
         rows = rows.drop("__seg", "__wild", "__step")
-    deeper = F.when(F.size("__s") > DEPTH + 1, F.lit("/**")).otherwise(F.lit(""))
+    deeper = F.concat(F.lit("/"), F.array_join(F.slice("__s", DEPTH + 2, F.greatest(F.size("__s"), F.lit(1))), "/"))
+    deeper = F.when(F.size("__s") > DEPTH + 1, deeper).otherwise(F.lit(""))
     return rows.withColumn("rest", F.concat("rest", deeper)).drop("__s", "__prefix")
 
 
@@ -100,7 +106,9 @@ def judge(pages: DataFrame, url_col: str = "url", rules: list[tuple[str, str]] |
     branches = branches.withColumn("kind", kind)
     groups = branches.where("labels > 0").groupBy("host", "rest", "kind").agg(
         F.sum("blocks").alias("blocks"), F.sum("labels").alias("labels"), F.max("share").alias("share"))
-    rejected = groups.where(smooth >= 0.5).select("host", "rest", "kind", F.lit("block").alias("verdict"))
+    siblings = groups.groupBy("host", "rest").agg(F.sum("blocks").alias("blocks"), F.sum("labels").alias("labels"), F.max("share").alias("share"))
+    rejected = groups.where(smooth >= 0.5).select("host", "rest", "kind").unionByName(
+        siblings.where(smooth >= AGREED).select("host", "rest", F.lit(-1).alias("kind"))).withColumn("verdict", F.lit("block"))
     judged = branches.join(rejected, ["host", "rest", "kind"], "left").select(
         "host", "first", "rest", F.coalesce("verdict", F.lit("allow")).alias("verdict"))
     by_shape = rows.select("host", "shape", "first", "rest").join(judged, ["host", "first", "rest"]).select(
@@ -127,24 +135,26 @@ def oracle_sql() -> str:
         levels += f""",
         w{k} AS (SELECT host, prefix FROM (SELECT host, prefix, s[{k + 1}] AS seg, sum(pages) AS n FROM {before}
             WHERE len(s) > {k} GROUP BY ALL) GROUP BY ALL HAVING count(*) >= {MANY} AND 2 * count(*) FILTER (n = 1) >= count(*)),
-        t{k} AS (SELECT t.* EXCLUDE (prefix, first, rest), prefix || step AS prefix,
+        t{k} AS (SELECT t.* EXCLUDE (prefix, first, rest, step), prefix || step AS prefix,
             {"step AS first, rest" if k == 1 else "first, rest || step AS rest"}
             FROM (SELECT t.*, CASE WHEN len(t.s) <= {k} THEN '' WHEN w.host IS NOT NULL THEN '/*' ELSE '/' || t.s[{k + 1}] END AS step
                 FROM {before} t LEFT JOIN w{k} w ON w.host = t.host AND w.prefix = t.prefix) t)"""
     smooth = "(sum(blocks) + {p} * share) / (sum(labels) + {p})".format(p=PRIOR)
+    hexes = r"(^|/)[0-9a-fA-F-]{16,}(/|\z|\.)"  # no look-ahead here: the second pass takes neighbours
     return rf"""
         WITH parts AS (SELECT page_id,
                 translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
                 regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
-        ruled AS (SELECT *, CASE{cases} END AS found, regexp_replace(path, '[0-9]+', '#', 'g') AS shape FROM
-            (SELECT page_id, host, path FROM parts)),
+        ruled AS (SELECT *, CASE{cases} END AS found, regexp_replace(h, '[0-9]+', '#', 'g') AS shape FROM
+            (SELECT page_id, host, path, regexp_replace(regexp_replace(path, '{hexes}', '\1#\2', 'g'), '{hexes}', '\1#\2', 'g') AS h FROM parts)),
         t0 AS (SELECT host, shape, string_split(shape, '/') AS s, '' AS prefix, '' AS first, '' AS rest, count(*) AS pages,
             count(*) FILTER (found.verdict = 'block') AS blocks, count(found.verdict) AS labels FROM ruled GROUP BY host, shape){levels},
-        rows AS (SELECT host, shape, first, rest || CASE WHEN len(s) > {DEPTH + 1} THEN '/**' ELSE '' END AS rest, blocks, labels FROM t{DEPTH}),
+        rows AS (SELECT host, shape, first, rest || CASE WHEN len(s) > {DEPTH + 1} THEN '/' || array_to_string(s[{DEPTH + 2}:], '/') ELSE '' END AS rest, blocks, labels FROM t{DEPTH}),
         share AS (SELECT coalesce(sum(blocks) / greatest(sum(labels), 1), 0) AS share FROM rows),
         branches AS (SELECT host, first, rest, sum(blocks) AS blocks, sum(labels) AS labels, any_value(share) AS share,
             CASE WHEN sum(labels) = 0 THEN -1 ELSE floor(4 * {smooth.replace("share", "any_value(share)")}) END AS kind FROM rows, share GROUP BY ALL),
-        rejected AS (SELECT host, rest, kind FROM branches WHERE labels > 0 GROUP BY ALL HAVING {smooth.replace("share", "any_value(share)")} >= 0.5),
+        rejected AS (SELECT host, rest, kind FROM branches WHERE labels > 0 GROUP BY ALL HAVING {smooth.replace("share", "any_value(share)")} >= 0.5
+            UNION ALL SELECT host, rest, -1 FROM branches WHERE labels > 0 GROUP BY ALL HAVING {smooth.replace("share", "any_value(share)")} >= {AGREED}),
         judged AS (SELECT b.host, b.first, b.rest, CASE WHEN r.host IS NULL THEN 'allow' ELSE 'block' END AS verdict
             FROM branches b LEFT JOIN rejected r ON r.host = b.host AND r.rest = b.rest AND r.kind = b.kind)
         SELECT p.page_id, p.host, p.path, p.found.rule AS rule, coalesce(p.found.verdict, j.verdict) AS verdict

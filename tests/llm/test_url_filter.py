@@ -50,6 +50,31 @@ def test_wildcards_and_merged_branches(spark):
     assert found[23].verdict == "allow"
 
 
+def test_branches_without_labels(spark):
+    """A branch without labels follows siblings that agree; mixed, unlike or no siblings leave it alone."""
+    rules = [("block", h + "/bad/") for h in ("a.x", "b.x")] + [("allow", "b.x/good/")]
+    urls = [f"s://{h}/bad/{i}/deep/er/x" for h in ("a.x", "b.x") for i in range(20)] + [f"s://b.x/good/{i}/deep/er/x" for i in range(15)]
+    asked = ["s://a.x/new/7/deep/er/x", "s://a.x/new/7/deep/er/y", "s://b.x/new/7/deep/er/x", "s://c.x/new/7/deep/er/x", "s://a.x/new/7"]
+    found = judge(spark, urls + asked, rules)
+    assert [found[len(urls) + i].verdict for i in range(len(asked))] == ["block", "allow", "allow", "allow", "allow"]
+    assert found[len(urls)].template == "/new/#/deep/er/x"
+
+
+def test_sql_on_odd_paths(spark, tmp_path):
+    """Long hexadecimal segments, side by side too, deep paths and branches without labels."""
+    from oracle import compare, connect
+
+    paths = ["/de/0123456789abcdef01/deadbeefdeadbeefdead.html", "/xx/fedcba98765432100f/deadbeefdeadbeefdeaf.html", "/de/a/b/c/d/e", "/xx/a/b/c/d/e",
+             "/xx/a/b/c/d/f", "/fr/1/b", "", "/", "//", "/de/", "/yy/", "/de/0123456789abcdef01/deadbeefdeadbeefdead/0123456789abcdef02\n"]
+    rows = [(i, f"s://{h}{p}") for i, (h, p) in enumerate((h, p) for h in ("A.com", "b.com", "z.net") for p in paths for _ in range(3))] + [(999, None)]
+    spark.createDataFrame(rows, "page_id long, url string").coalesce(1).write.parquet(f"{tmp_path}/t")
+    next((tmp_path / "t").glob("*.parquet")).rename(tmp_path / "pages.parquet")
+    got = url_filter.judge(spark.read.parquet(f"{tmp_path}/pages.parquet"))
+    assert {r.page_id for r in got.where("url_verdict.rule IS NULL AND url_verdict.verdict = 'block'").collect()}
+    flat = got.select("page_id", *[f"url_verdict.{c}" for c in ("host", "path", "rule", "verdict")])
+    assert compare(flat, connect(str(tmp_path)), url_filter.oracle_sql()) is None
+
+
 def test_empty(spark):
     assert judge(spark, []) == {}
 
