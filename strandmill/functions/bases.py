@@ -33,7 +33,6 @@ def bases_of(text: Column) -> Column:
     equal bases, so overlap between documents carries over.
     """
     def read(line: Column) -> Column:
-        digits = F.lower(F.hex(F.encode(line, "UTF-8")))
-        return F.translate(digits, "0123456789abcdef", "ACGTACGTACGTACGT")
+        return F.translate(F.hex(F.encode(line, "UTF-8")), "0123456789ABCDEF", "ACGTACGTACGTACGT")
 
     return F.array_join(F.transform(F.split(text, "\n", -1), read), "N")

@@ -11,11 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandmill.functions.kernels import canonical_kmers
+from strandmill.functions.batches import by_bytes
+from strandmill.functions.kernels import row_kmers, smallest
 
 KMER, SIZE = 21, 1_000
-PIECE = 2_000_000
-HELD_HASHES = 4_000_000
+HELD_HASHES = 500_000  # of all groups a task keeps before it hands them on
+GROUP_COST = 32  # hashes that a group weighs by itself
 
 
 def unsigned(h: Column) -> Column:
@@ -23,23 +24,6 @@ def unsigned(h: Column) -> Column:
     return h.cast("decimal(20,0)") + F.lit(str(2**63)).cast("decimal(20,0)")
 
 
-def _smallest(parts: list[np.ndarray], size: int) -> np.ndarray:
-    return np.unique(np.concatenate(parts))[:size]
-
-
-def _bottom(sequences: list[bytes], kmer: int, size: int) -> np.ndarray:
-    """Bottom-k over sequences; N between them keeps k-mers inside one sequence."""
-    best, waiting, room = np.empty(0, np.uint64), [], 0
-    for seq in sequences + [None]:
-        if seq is not None:
-            waiting.append(seq)
-            room += len(seq)
-        if waiting and (seq is None or room >= PIECE):
-            best = _smallest([best, canonical_kmers(b"N".join(waiting), kmer)], size)
-            waiting, room = [], 0
-    return best
-
-
 def bottom_hashes(seqs: DataFrame, group: str, seq: str, kmer: int = KMER, size: int = SIZE) -> DataFrame:
     """The ``size`` smallest distinct k-mer hashes per group, one row each with its rank.
 
@@ -50,26 +34,35 @@ def bottom_hashes(seqs: DataFrame, group: str, seq: str, kmer: int = KMER, size:
 
     def partial(batches):
         held: dict = {}
+        weight = 0
 
         def flush():
-            keys = [g for g, h in held.items() for _ in range(len(h))]
+            sizes = [len(h) for h in held.values()]
+            of = pa.array(np.repeat(np.arange(len(sizes)), sizes))
             hashes = np.concatenate(list(held.values())) if held else np.empty(0, np.uint64)
             signed = (hashes ^ np.uint64(1 << 63)).view(np.int64)
+            keys = pa.array(list(held), key_type).take(of)
             held.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array(keys, key_type), pa.array(signed)], names=[group, "h"]
-            )
+            return pa.RecordBatch.from_arrays([keys, pa.array(signed)], names=[group, "h"])
 
         for batch in batches:
-            mine: dict = {}
-            for g, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if s:
-                    mine.setdefault(g, []).append(s)
-            for g, sequences in mine.items():
-                found = _bottom(sequences, kmer, size)
-                held[g] = _smallest([held[g], found], size) if g in held else found
-            if len(held) * size > HELD_HASHES:
-                yield flush()
+            for part in by_bytes(batch, 1):
+                groups = part.column(0).to_pylist()
+                for r, hashes in row_kmers([s or b"" for s in part.column(1).to_pylist()], kmer):
+                    g = groups[r]
+                    best = held.get(g)
+                    if best is None:
+                        held[g] = smallest(hashes, size)
+                        weight += GROUP_COST + len(held[g])
+                        continue
+                    if len(best) == size:
+                        hashes = hashes[hashes < best[-1]]
+                    if len(hashes):
+                        held[g] = smallest(np.concatenate([best, smallest(hashes, size)]), size)
+                        weight += len(held[g]) - len(best)
+                if weight > HELD_HASHES:
+                    yield flush()
+                    weight = 0
         yield flush()
 
     given = seqs.select(group, F.encode(F.col(seq), "UTF-8").alias("s"))
