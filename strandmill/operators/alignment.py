@@ -25,10 +25,16 @@ _FLOAT = r"[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?"
 
 
 def _tag(prefix: str, body: str) -> Column:
-    """Value of the last readable tag after the twelve fixed fields; empty if none."""
-    return F.regexp_extract(
+    """Value of the last readable tag after the twelve fixed fields; empty if none.
+
+    Fields are looked at one by one; only a line with a line break inside goes through one pattern.
+    """
+    rest = lambda t: t.substr(F.lit(len(prefix) + 1), F.lit(2**31 - 1))
+    tags = F.filter(F.slice("f", F.lit(13), F.greatest(F.size("f"), F.lit(0))), lambda t: t.startswith(prefix) & rest(t).rlike(f"^{body}$"))
+    whole = F.regexp_extract(
         "line", rf"^(?:[^\t]*\t){{12}}(?:.*\t)?{prefix}({body})(?:\t.*)?$", 1
     )
+    return F.when(F.col("broken"), whole).otherwise(F.coalesce(rest(F.try_element_at(tags, F.lit(-1))), F.lit("")))
 
 
 def parse_paf(lines: DataFrame, value: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -36,25 +42,29 @@ def parse_paf(lines: DataFrame, value: str = "value", keep: tuple[str, ...] = ()
 
     Identity is matches / block_len unless a readable ``dv:f:`` tag gives the divergence.
     """
-    rows = lines.select(*keep, F.col(value).alias("line"), F.split(F.col(value), "\t", -1).alias("f"))
-    rows = rows.where(F.size("f") >= 12)
-    matches, block_len = _lenient_int(F.col("f")[9]), _lenient_int(F.col("f")[10])
-    plain = F.when(block_len > 0, matches / block_len).otherwise(0.0)
-    divergence = _tag("dv:f:", _FLOAT).try_cast("double")
-    return rows.select(
-        *keep,
-        F.col("f")[0].alias("query_name"),
-        _lenient_int(F.col("f")[2]).alias("query_start"),
-        _lenient_int(F.col("f")[3]).alias("query_end"),
-        F.col("f")[4].alias("strand"),
-        F.col("f")[5].alias("target_name"),
-        _lenient_int(F.col("f")[7]).alias("target_start"),
-        _lenient_int(F.col("f")[8]).alias("target_end"),
-        matches.alias("matches"),
-        block_len.alias("block_len"),
-        F.coalesce(1.0 - divergence, plain).alias("identity"),
+    rows = lines.select(*keep, F.col(value).alias("line"), F.split(F.col(value), "\t", -1).alias("f"),
+                        F.col(value).rlike("[\n\r\u0085\u2028\u2029]").alias("broken"))
+    # Exploding one struct per line keeps later filters from reading the line again for each field they name.
+    cells = F.struct(
+        F.size("f").alias("fields"),
+        F.get("f", F.lit(0)).alias("query_name"),
+        _lenient_int(F.get("f", F.lit(2))).alias("query_start"),
+        _lenient_int(F.get("f", F.lit(3))).alias("query_end"),
+        F.get("f", F.lit(4)).alias("strand"),
+        F.get("f", F.lit(5)).alias("target_name"),
+        _lenient_int(F.get("f", F.lit(7))).alias("target_start"),
+        _lenient_int(F.get("f", F.lit(8))).alias("target_end"),
+        _lenient_int(F.get("f", F.lit(9))).alias("matches"),
+        _lenient_int(F.get("f", F.lit(10))).alias("block_len"),
+        _tag("dv:f:", _FLOAT).try_cast("double").alias("divergence"),
         _tag("cg:Z:", r"[^\t]*").alias("cigar"),
     )
+    read = rows.select(*keep, F.inline(F.array(cells))).where(F.col("fields") >= 12)
+    plain = F.when(F.col("block_len") > 0, F.col("matches") / F.col("block_len")).otherwise(0.0)
+    return read.select(
+        *keep, "query_name", "query_start", "query_end", "strand", "target_name", "target_start", "target_end", "matches", "block_len",
+        F.coalesce(1.0 - F.col("divergence"), plain).alias("identity"), "cigar",
+    )
 
 
 def cigar_ops(text: Column) -> Column:
