@@ -31,6 +31,7 @@ from strandmill.operators.spread import spread_join
 
 RANGE = 16 << 20  # bytes of a file that one task reads at a time
 PIECE = 4 << 20  # bases of a row at most
+TASK = 16 << 20  # bytes of all ranges that one task reads, if they are smaller than that
 _LOOK = 4_096
 _NAME = re.compile(rb"^>([^ \t\r]*)")
 _BLANKS = re.compile(rb"[ \r]+(?=\n)")
@@ -43,7 +44,7 @@ def _system(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 @dataclass
-class _Range(InputPartition):
+class _Range:
     stream: str
     file: str
     base: int  # bytes of the stream before this file
@@ -52,6 +53,11 @@ class _Range(InputPartition):
     before: str | None  # the file that this one goes on from
 
 
+@dataclass
+class _Ranges(InputPartition):
+    ranges: list[_Range]
+
+
 def _until_line_end(source) -> bytes:
     """What is left of the line at the source's place, its line break excluded."""
     found = b""
@@ -72,6 +78,7 @@ def _ends_in_blanks_only(source) -> bool:
 class _Reader(DataSourceReader):
     def __init__(self, options):
         self.path, self.size, self.piece = options["path"], int(options.get("range", RANGE)), int(options.get("piece", PIECE))
+        self.tasks = max(1, int(options.get("tasks", 1)))
         self.joined, self.brief = options.get("joined", "false") == "true", options.get("brief", "false") == "true"
 
     def partitions(self):
@@ -87,7 +94,17 @@ class _Reader(DataSourceReader):
             for low in range(0, f.size, self.size):
                 out.append(_Range(stream, f.path, base, low, min(low + self.size, f.size), before))
             base, before = base + f.size, f.path
-        return out or [_Range("", "", 0, 0, 0, None)]
+        # Small ranges share a task: starting one costs more than reading a range.
+        whole = sum(r.high - r.low for r in out)
+        fill = max(self.size, min(TASK, whole // self.tasks))
+        tasks, room = [_Ranges([])], 0
+        for r in out:
+            if room and room + r.high - r.low > fill:
+                tasks.append(_Ranges([]))
+                room = 0
+            tasks[-1].ranges.append(r)
+            room += r.high - r.low
+        return tasks
 
     def _load(self, part: _Range) -> tuple[bool, bytes, bool]:
         """(starts a line, bytes with the rest of a header at their end, ends inside a header)."""
@@ -111,9 +128,11 @@ class _Reader(DataSourceReader):
                 body = body.rstrip(b" \r")
         return at_line, body, header
 
-    def read(self, partition: _Range):
-        if not partition.file:
-            return
+    def read(self, partition: _Ranges):
+        for one in partition.ranges:
+            yield from self._rows(one)
+
+    def _rows(self, partition: _Range):
         at_line, body, header = self._load(partition)
         seen = np.frombuffer(body, np.uint8)
         marks = np.flatnonzero(seen == ord(">"))
@@ -172,15 +191,14 @@ def read_parts(spark: SparkSession, path: str, joined: bool = False, size: int =
     spark.dataSource.register(FastaParts)
 
     def scan(brief: bool) -> DataFrame:
-        options = {"joined": str(joined).lower(), "brief": str(brief).lower(), "range": size, "piece": piece}
+        options = {"joined": str(joined).lower(), "brief": str(brief).lower(), "range": size, "piece": piece,
+                   "tasks": spark.sparkContext.defaultParallelism}
         return spark.read.format(FastaParts.name()).options(**options).load(path)
 
     # One row per range and record, so a window over them is small even for the largest file.
     brief = scan(True)
-    ranges = brief.groupBy("stream", "place").agg(F.bool_or("ends").alias("ends"))
-    along = Window.partitionBy("stream").orderBy("place")
-    inside = ranges.select("stream", "place", F.last("ends", True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("in_header"))
-    spans = brief.join(inside, ["stream", "place"]).where(~F.col("rest") | ~F.coalesce("in_header", F.lit(False)))
+    along = Window.partitionBy("stream").orderBy("place").rangeBetween(Window.unboundedPreceding, -1)
+    spans = brief.withColumn("in_header", F.last("ends", True).over(along)).where(~F.col("rest") | ~F.coalesce("in_header", F.lit(False)))
     upto = Window.partitionBy("stream").orderBy("place", "n").rowsBetween(Window.unboundedPreceding, 0)
     spans = spans.withColumns({"own": F.last("record", True).over(upto), "name": F.last("chrom", True).over(upto)}).where("own IS NOT NULL")
     earlier = Window.partitionBy("stream", "own").orderBy("place", "n").rowsBetween(Window.unboundedPreceding, -1)
