@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandmill.functions.batches import by_bytes
 from strandmill.functions.hashing import address
 from strandmill.functions.kernels import candidate_ends, cut_ends, exit_table, mask_bits, next_ends
 from strandmill.operators import blocked
@@ -22,30 +23,31 @@ def chunks(
     """Segments of every sequence for each (min, max) chunk size asked for.
 
     One pass reads each sequence once for all sizes.  Rows stay in their partition and a
-    sequence is a cell, so no task holds more than a batch of them.
+    sequence is a cell, so no task holds more than a batch of them and the segments of a slice.
     """
     sizes = sizes or [(MIN_SIZE, MAX_SIZE)]
 
     def split(batches):
         for batch in batches:
-            row, top, idx, start, data = [], [], [], [], []
-            for r, value in enumerate(batch.column(len(keep)).to_pylist()):
-                for low, high in sizes if value else ():
-                    begin = 0
-                    for i, end in enumerate(cut_ends(value, low, high)):
-                        row.append(r)
-                        top.append(high)
-                        idx.append(i)
-                        start.append(begin)
-                        data.append(value[begin:end])
-                        begin = end
-            at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(i).take(at) for i in range(len(keep))]
-                + [pa.array(v, pa.int64()) for v in (top, idx, start)]
-                + [pa.array(data, pa.binary())],
-                names=[*keep, "max_chunk", "seg_idx", "start", "data"],
-            )
+            for part in by_bytes(batch, len(keep)):
+                row, top, idx, start, data = [], [], [], [], []
+                for r, value in enumerate(part.column(len(keep)).to_pylist()):
+                    for low, high in sizes if value else ():
+                        begin = 0
+                        for i, end in enumerate(cut_ends(value, low, high)):
+                            row.append(r)
+                            top.append(high)
+                            idx.append(i)
+                            start.append(begin)
+                            data.append(value[begin:end])
+                            begin = end
+                at = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(i).take(at) for i in range(len(keep))]
+                    + [pa.array(v, pa.int64()) for v in (top, idx, start)]
+                    + [pa.array(data, pa.binary())],
+                    names=[*keep, "max_chunk", "seg_idx", "start", "data"],
+                )
 
     given = seqs.select(*keep, F.col(seq).cast("binary").alias("s"))
     longs = [T.StructField(c, T.LongType()) for c in ("max_chunk", "seg_idx", "start")]
