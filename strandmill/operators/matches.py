@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandmill.functions import bases
+from strandmill.functions.batches import by_bytes
 from strandmill.functions.kernels import common_ends, seed_rows
 from strandmill.operators import blocked, intervals
 from strandmill.operators.spread import spread_join
@@ -17,7 +18,7 @@ from strandmill.session import checkpoint_dir
 
 PIECE = 4_096  # bytes of a sequence that travel together
 DIAGONALS = 65_536  # diagonals of two runs in one row
-SEED_ROWS = 200_000  # that a task hands on together
+SEED_ROWS = 50_000  # that a task hands on together
 SEED_COLUMNS = ("h", "pos", "step", "n", "residue", "kind")
 
 
@@ -28,29 +29,29 @@ def _seeds(seqs: DataFrame, name: str, k: int, window: int) -> DataFrame:
 
     def pick(batches):
         for batch in batches:
-            found, roots, of, waiting = [], [], [], 0
-
-            def flush():
-                rows = np.concatenate(found)  # noqa: B023
-                return pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(np.concatenate(of)))]  # noqa: B023
-                    + [pa.array(rows[:, c]) for c in range(len(SEED_COLUMNS))] + [pa.array(roots, pa.binary())],  # noqa: B023
-                    names=[name, *SEED_COLUMNS, "root"],
-                )
-
-            for r, data in enumerate(batch.column(1).to_pylist()):
-                rows, more = seed_rows(data, k, window) if data else (None, [])
-                if not more:
-                    continue
-                found.append(rows)
-                roots += more
-                of.append(np.full(len(more), r))
-                waiting += len(more)
-                if waiting > SEED_ROWS:
+            for part in by_bytes(batch, 1):
+                found, roots, of = [], [], []
+
+                def flush():
+                    rows = np.concatenate(found)  # noqa: B023
+                    return pa.RecordBatch.from_arrays(
+                        [part.column(0).take(pa.array(np.concatenate(of)))]  # noqa: B023
+                        + [pa.array(rows[:, c]) for c in range(len(SEED_COLUMNS))] + [pa.array(roots, pa.binary())],  # noqa: B023
+                        names=[name, *SEED_COLUMNS, "root"],
+                    )
+
+                for r, data in enumerate(part.column(1).to_pylist()):
+                    rows, more = seed_rows(data, k, window) if data else (None, [])
+                    if not more:
+                        continue
+                    found.append(rows)
+                    roots += more
+                    of.append(np.full(len(more), r))
+                    if len(roots) > SEED_ROWS:
+                        yield flush()
+                        found, roots, of = [], [], []
+                if roots:
                     yield flush()
-                    found, roots, of, waiting = [], [], [], 0
-            if waiting:
-                yield flush()
 
     return seqs.select(name, F.col("seq").cast("binary").alias("seq")).mapInArrow(pick, schema)
 
