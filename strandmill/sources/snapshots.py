@@ -128,12 +128,15 @@ def import_genomes(
                           F.col("seq").cast("binary").alias("seq"))
     keep = ["assembly", "organism", "chrom_idx", "chrom", "chrom_hash"]
     cut = chunking.chunks(given.withColumn("chrom_hash", address(F.col("seq"))), keep, "seq", [sizes])
-    cut.select(*keep, "seg_idx", "hash", "length", "data").write.parquet(f"{path}/_staged")
-    cut = spark.read.parquet(f"{path}/_staged")
-    fresh = cut.groupBy("hash").agg(F.min("length").alias("length"), F.first("data").alias("data"))
-    fresh = fresh.join(before.store().select("hash"), "hash", "left_anti")
+    # Bytes travel only if the store lacks them, so they are cut out again once that is known.
+    cut.select(*keep, "seg_idx", "hash", "length").write.parquet(f"{path}/_staged")
+    rows = spark.read.parquet(f"{path}/_staged")
+    lacking = rows.select("hash").distinct().join(before.store().select("hash"), "hash", "left_anti")
+    lacking.write.parquet(f"{path}/_lacking")
+    lacking = spark.read.parquet(f"{path}/_lacking")
+    fresh = chunking.chunks(given.select("assembly", "seq"), ["assembly"], "seq", [sizes]).join(lacking, "hash", "left_semi")
+    fresh = spark.createDataFrame([], PARTS["store"]) if lacking.isEmpty() else fresh.groupBy("hash").agg(F.min("length").alias("length"), F.first("data").alias("data"))
     fresh.write.parquet(f"{path}/store")
-    rows = cut.drop("data")
     changed = rows.join(_same(rows, before.manifest()), "assembly", "left_anti")
     changed.select([c.split()[0] for c in PARTS["manifest"].split(", ")]).write.parquet(f"{path}/manifest")
     changed = spark.read.parquet(f"{path}/manifest")
@@ -142,8 +145,9 @@ def import_genomes(
     sketch.sketches(sketch.bottom_hashes(kept, "assembly", "seq", kmer, sketch_size), "assembly").select("assembly", "hashes").write.parquet(f"{path}/sketches")
     changed.groupBy("assembly").agg(F.sum("length").alias("bytes"), F.count(F.lit(1)).alias("segments")).select(
         F.lit("import").alias("op"), "assembly", "bytes", "segments").write.parquet(f"{path}/log")
-    _, staged = _file_system(spark, f"{path}/_staged")
-    files.delete(staged, True)
+    for name in ("_staged", "_lacking"):
+        _, staged = _file_system(spark, f"{path}/{name}")
+        files.delete(staged, True)
     if changed.isEmpty() and spark.read.parquet(f"{path}/store").isEmpty():
         files.delete(place, True)
         return before
