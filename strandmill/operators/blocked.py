@@ -15,6 +15,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = "__block"
+TASK_ROWS = 500_000
+
+
+def tasks_of(rows: DataFrame) -> int:
+    """Into how many tasks ``rows`` are to be dealt, so that one task sorts no more rows of a larger table.
+
+    The rows are counted, so this is for plain tables or ones that lie in files already.
+    """
+    usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(usual, -(-rows.count() // TASK_ROWS))
+
+
+def dealt(df: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
+    """Rows laid out by ``keys`` over ``tasks`` tasks, without a number as Spark has it."""
+    return df.repartition(tasks, *keys) if tasks else df.repartition(*keys)
 
 
 def block_of(position: str, width: int) -> Column:
@@ -22,7 +37,7 @@ def block_of(position: str, width: int) -> Column:
     return F.expr(f"`{position}` div {width}")
 
 
-def _in_blocks(df: DataFrame, keys: Sequence[str], block: Column) -> DataFrame:
+def _in_blocks(df: DataFrame, keys: Sequence[str], block: Column, tasks: int | None = None) -> DataFrame:
     """Rows laid out by (key, block), the one exchange both levels work from.
 
     Nulls are dropped here once; otherwise the optimizer adds that filter to only one of
@@ -31,7 +46,7 @@ def _in_blocks(df: DataFrame, keys: Sequence[str], block: Column) -> DataFrame:
     rows = df.withColumn(BLOCK, block)
     for name in (*keys, BLOCK):
         rows = rows.where(F.col(name).isNotNull())
-    return rows.repartition(*keys, BLOCK)
+    return dealt(rows, tasks, *keys, BLOCK)
 
 
 def _per_block(rows: DataFrame, grain: Sequence[str], *folds: Column) -> DataFrame:
@@ -63,6 +78,7 @@ def running(
     block: Column,
     aggs: dict[str, tuple[str, Column]],
     inclusive: bool = False,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Add prefix aggregates along ``order`` inside each key.
 
@@ -70,7 +86,7 @@ def running(
     ``aggs`` maps an output name to (``sum``/``count``/``max``/``min``/``xor``, column);
     ``inclusive`` decides whether a row sees itself.
     """
-    rows = _in_blocks(df, keys, block)
+    rows = _in_blocks(df, keys, block, tasks)
     grain = [*keys, BLOCK]
     here = (
         Window.partitionBy(*grain)
@@ -120,9 +136,10 @@ def following(
     value: str,
     block: Column,
     name: str = "next_value",
+    tasks: int | None = None,
 ) -> DataFrame:
     """The next larger ``value`` inside the key (null at the end); values are unique."""
-    rows = _in_blocks(df, keys, block)
+    rows = _in_blocks(df, keys, block, tasks)
     grain = [*keys, BLOCK]
     here = Window.partitionBy(*grain).orderBy(value)
     firsts = rows.groupBy(*grain).agg(F.min(value).alias("__first"))

@@ -14,23 +14,27 @@ from strandmill.operators import blocked
 BIN = 65_536
 
 
-def merge(ivs: DataFrame, key: str, start: str = "start", end: str = "end", width: int = BIN) -> DataFrame:
-    """Union of intervals per key; touching intervals merge.
+def merge(
+    ivs: DataFrame, key: str, start: str = "start", end: str = "end", width: int = BIN, tasks: int | None = None,
+) -> DataFrame:
+    """Union of intervals per key; touching intervals merge.  ``tasks`` as of ``blocked.tasks_of`` bounds what one task holds.
 
     Intervals are merged inside the bin they start in.  What then crosses bins is known
     from three numbers per bin: how far earlier bins reach, and the start of the last
     island that no earlier bin reaches.
     """
-    # Equal starts collapse first, on the map side.
-    longest = ivs.groupBy(F.col(key), F.col(start).alias("s")).agg(F.max(end).alias("e"))
+    # Equal starts collapse first, on the map side unless the rows are dealt.
+    given = ivs.select(F.col(key), F.col(start).alias("s"), F.col(end).alias("e"))
+    given = blocked.dealt(given, tasks, key, "s") if tasks else given
+    longest = given.groupBy(key, "s").agg(F.max("e").alias("e"))
     here = Window.partitionBy(key, "bin").orderBy("s")
     earlier = here.rowsBetween(Window.unboundedPreceding, -1)
     so_far = here.rowsBetween(Window.unboundedPreceding, 0)
     binned = (
         longest.withColumn("bin", blocked.block_of("s", width))
         .where(F.col(key).isNotNull() & F.col("bin").isNotNull())
-        .withColumn("reach", F.max("e").over(earlier))
     )
+    binned = (blocked.dealt(binned, tasks, key, "bin") if tasks else binned).withColumn("reach", F.max("e").over(earlier))
     opened = F.when(F.col("reach").isNull() | (F.col("s") > F.col("reach")), F.col("s"))
     islands = (
         binned.withColumn("opened", opened)
@@ -50,11 +54,9 @@ def merge(ivs: DataFrame, key: str, start: str = "start", end: str = "end", widt
     )
     alone = F.col("reach").isNull() | (F.col("first") > F.col("reach"))
     island = F.when(alone, F.col("first")).otherwise(F.col("entering"))
-    return (
-        islands.join(bins, [key, "bin"])
-        .groupBy(F.col(key), island.alias("start"))
-        .agg(F.max("e").alias("end"))
-    )
+    found = islands.join(bins, [key, "bin"]).select(key, island.alias("start"), "e")
+    found = blocked.dealt(found, tasks, key, "start") if tasks else found
+    return found.groupBy(key, "start").agg(F.max("e").alias("end"))
 
 
 def covered(merged: DataFrame, key: str) -> DataFrame:
@@ -62,7 +64,7 @@ def covered(merged: DataFrame, key: str) -> DataFrame:
 
 
 def regions(
-    cuts: DataFrame, lengths: DataFrame, merged: DataFrame, key: str, width: int = BIN
+    cuts: DataFrame, lengths: DataFrame, merged: DataFrame, key: str, width: int = BIN, tasks: int | None = None,
 ) -> DataFrame:
     """Pieces between consecutive cuts of [0, length), marked when a merged interval
     contains them.
@@ -70,9 +72,10 @@ def regions(
     ``cuts`` has (key, pos), ``lengths`` (key, length) and ``merged`` disjoint intervals.
     """
     ends = lengths.select(key, F.explode(F.array(F.lit(0).cast("long"), F.col("length"))).alias("pos"))
-    points = cuts.where("pos > 0").select(key, "pos").unionByName(ends).distinct()
+    points = cuts.where("pos > 0").select(key, "pos").unionByName(ends)
+    points = (blocked.dealt(points, tasks, key, "pos") if tasks else points).distinct()
     pieces = blocked.following(
-        points, [key], "pos", blocked.block_of("pos", width), "end"
+        points, [key], "pos", blocked.block_of("pos", width), "end", tasks
     ).where(F.col("end").isNotNull())
     # One walk along the line answers both questions about a piece.  The last merged
     # interval starting at or before it has the largest end so far, disjoint intervals
@@ -90,7 +93,7 @@ def regions(
     )
     seen = blocked.running(
         line, [key], ["at", "kind"], blocked.block_of("at", width),
-        {"limit": ("max", F.col("reach")), "past": ("max", F.col("stop"))}, inclusive=True,
+        {"limit": ("max", F.col("reach")), "past": ("max", F.col("stop"))}, inclusive=True, tasks=tasks,
     )
     return seen.where("kind = 1 AND past IS NULL").select(
         key, F.col("at").alias("start"), "end",

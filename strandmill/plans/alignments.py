@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandmill.operators import alignment, intervals
+from strandmill.operators import alignment, blocked, intervals
 from strandmill.plans import corpus
 
 MIN_LEN, MIN_IDENTITY, MIN_RUN = 60, 0.93, 20
@@ -94,8 +94,12 @@ def _line_intervals(spark, sf):
     )
 
 
+def _line_tasks(spark, sf):
+    return blocked.tasks_of(corpus.table(spark, sf, "lineitem"))
+
+
 def interval_merge(spark, sf):
-    return intervals.merge(_line_intervals(spark, sf), "key")
+    return intervals.merge(_line_intervals(spark, sf), "key", tasks=_line_tasks(spark, sf))
 
 
 def covered_bases(spark, sf):
@@ -107,7 +111,8 @@ def regions_from_cuts(spark, sf):
     ivs = _line_intervals(spark, sf)
     cuts = ivs.select("key", F.explode(F.array("start", "end")).alias("pos"))
     lengths = ivs.groupBy("key").agg((F.max("end") + 10).alias("length"))
-    return intervals.regions(cuts, lengths, intervals.merge(ivs, "key"), "key")
+    tasks = _line_tasks(spark, sf)
+    return intervals.regions(cuts, lengths, intervals.merge(ivs, "key", tasks=tasks), "key", tasks=tasks)
 
 
 def shared_regions(spark, sf):
