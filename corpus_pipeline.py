@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.llm import decontaminate, language, packing, similar, substrings
+from strandmill.llm import decontaminate, language, near_dup, packing, similar, substrings
 from strandmill.llm.store import kept
 
 ORACLE_SQL = None  # networks, fingerprints and tokenizers have no SQL form
@@ -25,8 +25,9 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of texts that share 0.8 of their five-word runs."""
-    return similar.keep_one(docs)
+    """Keeps the document with the smallest id of each group of linked fingerprints, as op8 finds them, and
+    then of each group of texts that share 0.8 of their five-word runs."""
+    return similar.keep_one(kept(near_dup.keep_one(docs), "fingerprints"))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

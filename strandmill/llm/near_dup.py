@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -190,3 +191,24 @@ def near_duplicates(
     named = placed.groupBy("root").agg(F.min("least").alias("component"))
     label = kept(placed.join(named, "root").select("fp", "root", "component"), "labels")
     return prints.join(label, "fp").select(id_col, "fp", "root", "component")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: that with the smallest id.
+
+    Without an id, or among equal ids, it is one with the smallest fingerprint.
+    """
+    found = near_duplicates(docs, id_col, text_col, shingle, bits)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "fp")).alias("k"))
+    chosen = first.select(F.col("k.id").alias("__kept"), F.col("k.fp").alias("__fp"))
+
+    @F.pandas_udf("long")
+    def print_of(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for series in values:
+            batch = pa.RecordBatch.from_arrays([pa.array(series, pa.string())], ["text"])
+            parts = [_fingerprints(part.column("text"), shingle) for part in slices(batch, "text")]
+            yield pd.Series(np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64))
+
+    named = docs.withColumns({"__id": F.col(id_col), "__print": print_of(F.col(text_col))})
+    met = named.join(chosen, F.col("__id").eqNullSafe(F.col("__kept")) & (F.col("__print") == F.col("__fp")))
+    return met.dropDuplicates(["__id", "__print"]).select(*docs.columns)

@@ -7,7 +7,8 @@ with probability 0.0002 and one at 0.9 practically never; each candidate is veri
 Texts of equal words are one node.  A bucket is first linked through one leader, which settles
 groups of copies in a row per member.  What stays apart is then compared pair by pair in buckets of
 up to ``BUCKET`` nodes, and in larger ones with further leaders, another in each bucket and
-round, until a round finds no link.
+round, until a round finds no link.  What then still is apart in one bucket is paired wherever the
+first hashes of two sets meet, which they do for all sets as similar as asked, so no link is lost.
 """
 
 from __future__ import annotations
@@ -139,6 +140,20 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return rows.where("one != two").select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).distinct()
 
 
+def _meeting(rest: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """Pairs (one, two) of the (node, root) in ``rest`` with different roots that may be similar.
+
+    Similar sets share ``similar`` of each, so of the smallest hashes of both, as many as may be missing
+    and one more, at least one is the same.
+    """
+    enough = F.ceil(F.size("set") * F.lit(similar) - 1e-9).cast("int")
+    first = rest.join(sets, "node").select(
+        "node", "root", F.size("set").alias("n"), F.explode(F.slice("set", F.lit(1), F.size("set") - enough + 1)).alias("run"))
+    other = first.select("run", F.col("node").alias("two"), F.col("root").alias("root2"), F.col("n").alias("n2"))
+    met = first.withColumnRenamed("node", "one").join(other, "run").where("one < two AND root != root2")
+    return met.where(F.least("n", "n2") >= F.lit(similar) * F.greatest("n", "n2") - 1e-9).select("one", "two")
+
+
 def links(docs: DataFrame, nodes: DataFrame, text_col: str, similar: float = SIMILAR, bucket: int = BUCKET) -> DataFrame:
     """(fp, root) of the nodes that have a link; ``nodes`` are different (node, bands)."""
     spread = nodes.select(F.explode("bands").alias("key"), "node")
@@ -164,14 +179,18 @@ def links(docs: DataFrame, nodes: DataFrame, text_col: str, similar: float = SIM
             other = small.select("key", F.col("node").alias("two"), F.col("root").alias("root2"))
             rows = rows.unionByName(small.withColumnRenamed("node", "one").join(other, "key").where("one < two and root != root2").select("one", "two"))
         fresh = kept(_pairs(rows).join(checked, ["a", "b"], "left_anti"), "pairs")
-        if fresh.isEmpty():
-            return roots
         more = kept(_verified(fresh, sets, similar), "verified")
-        if not more.isEmpty():
+        ended = more.isEmpty()
+        if ended and (turn >= LEAST_ROUNDS or fresh.isEmpty()):
+            rest = kept(open_rows.where(F.col("n") > bucket).select("node", "root").distinct(), "rest")
+            if rest.isEmpty():
+                return roots
+            last = _pairs(_meeting(rest, sets, similar)).join(checked.unionByName(fresh), ["a", "b"], "left_anti")
+            more = kept(_verified(last, sets, similar), "verified")
+            return roots if more.isEmpty() else kept(components(found.unionByName(more)), "roots")
+        if not ended:
             found = found.unionByName(more)
             roots = kept(components(found), "roots")
-        elif turn >= LEAST_ROUNDS:
-            return roots
         checked = checked.unionByName(fresh)
         members = members.where(F.col("n") > bucket)
 

@@ -70,3 +70,39 @@ def test_pipeline_stage_drops_similar_texts(spark, docs_schema):
 
 def test_empty(spark):
     assert similar.keep_one(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_no_link_is_lost_in_a_crowded_bucket(spark, monkeypatch):
+    """One bucket of many texts apart and a few similar pairs that no leader of three rounds need be part of."""
+    rng = random.Random(12)
+    base = [f"b{i}" for i in range(100)]
+    rows = []
+    for group in range(60):
+        words = base[:40] + [f"g{group}x{i}" for i in range(60)]
+        rows += [(2 * group, " ".join(words)), (2 * group + 1, " ".join([*words[:95], "z", *words[96:]]))]
+    rng.shuffle(rows)
+    monkeypatch.setattr(similar, "_bands", lambda runs, bounds: similar.np.ones((int((similar.np.diff(bounds) > 0).sum()), similar.BANDS), similar.np.uint64))
+    monkeypatch.setattr(similar, "LEAST_ROUNDS", 1)
+    got = similar.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == model(rows) == list(range(0, 120, 2))
+
+
+def test_pipeline_stage_links_fingerprints(spark, docs_schema):
+    """Texts whose fingerprints link in op8 are one group, whatever share of their runs is equal."""
+    import corpus_pipeline
+    from test_near_dup import groups
+    from test_near_dup import model as prints
+
+    rng = random.Random(13)
+    base = [" ".join(f"w{rng.randrange(3000)}" for _ in range(40)) for _ in range(5)]
+    # Texts many times in a row, and short ones over two letters, whose fingerprints are close.
+    rows = [(i, t) for i, t in enumerate(base)] + [(10 + i, " ".join([t] * 30)) for i, t in enumerate(base)] + [(20 + i, " ".join([t] * 31)) for i, t in enumerate(base)]
+    rows += [(100 + i, " ".join(rng.choice("ab") for _ in range(9))) for i in range(60)]
+    of = {}
+    for i, _, c in groups(prints(rows)):
+        of.setdefault(c, []).append(i)
+    linked = {i for c, v in of.items() for i in v if i != c}
+    got = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame([(i, t, "a", "s", 1) for i, t in rows], docs_schema), "").collect()}
+    assert linked and not got & linked
+    left = {r.doc_id for r in corpus_pipeline.similar.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left & linked  # the runs alone would keep them
