@@ -19,7 +19,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -33,6 +32,7 @@ SHINGLE = 3
 SEED = 42
 BITS = 2
 BUCKET = 24
+SLICE = 1 << 20  # bytes of text whose shingles are laid out at a time
 
 
 def _fingerprints(texts: pa.Array, shingle: int) -> np.ndarray:
@@ -62,19 +62,25 @@ def _fingerprints(texts: pa.Array, shingle: int) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp long): one row per row of ``docs``.
+def fingerprints(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, with_hash: bool = False
+) -> DataFrame:
+    """(id, fp long): one row per row of ``docs``; ``with_hash`` adds ``__hash``, the XXH64 of the whole text.
 
     A text with fewer words than a shingle has one shingle; null or wordless texts get 0.
     """
+    more = ["__hash"] if with_hash else []
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, SLICE):
                 fp = _fingerprints(part.column(text_col), shingle)
-                yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(fp.view(np.int64))], [id_col, "fp"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(id_col), pa.array(fp.view(np.int64)), *map(part.column, more)], [id_col, "fp", *more])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(scan, f"`{id_col}` {kind}, fp long")
+    rows = docs.select(id_col, text_col, *[F.xxhash64(text_col).alias(x) for x in more])
+    return rows.mapInArrow(scan, f"`{id_col}` {kind}, fp long" + "".join(f", `{x}` long" for x in more))
 
 
 def _variants(nodes: DataFrame) -> DataFrame:
@@ -176,39 +182,35 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS, bucket: int = BUCKET
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS, bucket: int = BUCKET,
+    with_hash: bool = False,
 ) -> DataFrame:
-    """(id, fp, root, component): one row per row of ``docs``.
+    """(id, fp, root, component): one row per row of ``docs``; ``with_hash`` as in ``fingerprints``.
 
     ``root`` is the smallest fingerprint that can be reached over fingerprints within ``bits`` bits,
     component the smallest id there.  Null ids never become a component's id (null only if the whole
     component has none).  Repeated rows keep their own result rows.  An empty table gives no rows.
     """
-    prints = kept(fingerprints(docs, id_col, text_col, shingle), "prints")
+    prints = kept(fingerprints(docs, id_col, text_col, shingle, with_hash), "prints")
     nodes = kept(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
     roots = components(links(nodes.select("fp"), bits, bucket))
     placed = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = placed.groupBy("root").agg(F.min("least").alias("component"))
     label = kept(placed.join(named, "root").select("fp", "root", "component"), "labels")
-    return prints.join(label, "fp").select(id_col, "fp", "root", "component")
+    return prints.join(label, "fp").select(id_col, "fp", "root", "component", *(["__hash"] if with_hash else []))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: that with the smallest id.
 
-    Without an id, or among equal ids, it is one with the smallest fingerprint.
+    Without an id, or among equal ids, it is one with the smallest fingerprint.  The row is found again by its
+    id and the hash of its text, so no text is fingerprinted twice.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle, bits)
-    first = found.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "fp")).alias("k"))
-    chosen = first.select(F.col("k.id").alias("__kept"), F.col("k.fp").alias("__fp"))
-
-    @F.pandas_udf("long")
-    def print_of(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for series in values:
-            batch = pa.RecordBatch.from_arrays([pa.array(series, pa.string())], ["text"])
-            parts = [_fingerprints(part.column("text"), shingle) for part in slices(batch, "text")]
-            yield pd.Series(np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64))
-
-    named = docs.withColumns({"__id": F.col(id_col), "__print": print_of(F.col(text_col))})
-    met = named.join(chosen, F.col("__id").eqNullSafe(F.col("__kept")) & (F.col("__print") == F.col("__fp")))
-    return met.dropDuplicates(["__id", "__print"]).select(*docs.columns)
+    found = near_duplicates(docs, id_col, text_col, shingle, bits, with_hash=True)
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "fp", F.col("__hash").alias("hash"))
+    first = found.groupBy("root").agg(F.min(key).alias("k"))
+    name = lambda x: F.coalesce(F.col(x).cast("string"), F.lit(""))
+    chosen = first.select(F.col("k.none").alias("__none"), name("k.id").alias("__id"), F.col("k.hash").alias("__hash"))
+    # Join and removal of repeats use the same keys, so the texts are shuffled once.
+    named = docs.withColumns({"__none": F.col(id_col).isNull(), "__id": name(id_col), "__hash": F.xxhash64(text_col)})
+    return named.join(chosen, ["__none", "__id", "__hash"]).dropDuplicates(["__none", "__id", "__hash"]).select(*docs.columns)

@@ -16,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +30,7 @@ SIMILAR = 0.8
 BANDS, ROWS = 16, 4
 BUCKET = 24
 LEAST_ROUNDS = 3
+SLICE = 1 << 20  # bytes of text whose runs are laid out at a time
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _DRAWN = np.random.default_rng(77).integers(0, 1 << 63, (2, BANDS * ROWS)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -75,20 +75,22 @@ def _bands(runs: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, node, runs, bands), one row per row of ``docs``."""
+    """(id, node, runs, bands, __hash), one row per row of ``docs``; ``__hash`` is the XXH64 of the whole text."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, SLICE):
                 codes, runs, bounds = _runs(part.column(text_col))
                 sizes = np.diff(bounds)
                 keys = _bands(runs, bounds) if len(runs) else np.zeros((0, BANDS), np.uint64)
                 ends = np.concatenate([[0], np.cumsum((sizes > 0) * BANDS)]).astype(np.int32)
                 bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(id_col), pa.array(codes.view(np.int64)), pa.array(sizes), bands], [id_col, "node", "runs", "bands"])
+                    [part.column(id_col), pa.array(codes.view(np.int64)), pa.array(sizes), bands, part.column("__hash")],
+                    [id_col, "node", "runs", "bands", "__hash"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(scan, f"`{id_col}` {kind}, node long, runs long, bands array<long>")
+    rows = docs.select(id_col, text_col, F.xxhash64(text_col).alias("__hash"))
+    return rows.mapInArrow(scan, f"`{id_col}` {kind}, node long, runs long, bands array<long>, `__hash` long")
 
 
 def _sets(docs: DataFrame, members: DataFrame, text_col: str) -> DataFrame:
@@ -102,7 +104,7 @@ def _sets(docs: DataFrame, members: DataFrame, text_col: str) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, SLICE):
                 codes, runs, bounds = _runs(part.column(text_col))
                 node, found = [], []
                 for r in np.flatnonzero(passes(shared.value, mix(codes))).tolist():
@@ -196,28 +198,25 @@ def links(docs: DataFrame, nodes: DataFrame, text_col: str, similar: float = SIM
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, bucket: int = BUCKET) -> DataFrame:
-    """(id, node, root): one row per row of ``docs``, rows of one root are a group."""
+    """(id, node, root, __hash): one row per row of ``docs``, rows of one root are a group; ``__hash`` is the XXH64
+    of the whole text."""
     prints = kept(_prints(docs, id_col, text_col), "prints")
     nodes = kept(prints.groupBy("node").agg(F.first("bands").alias("bands")), "nodes")
     roots = links(docs, nodes, text_col, similar, bucket).withColumnRenamed("fp", "node")
-    return prints.select(id_col, "node").join(roots, "node", "left").select(id_col, "node", F.coalesce("root", "node").alias("root"))
+    named = prints.select(id_col, "node", "__hash").join(roots, "node", "left")
+    return named.select(id_col, "node", F.coalesce("root", "node").alias("root"), "__hash")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, bucket: int = BUCKET) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: that with the smallest id.
 
-    Without an id, or among equal ids, it is one with the smallest node.
+    Without an id, or among equal ids, it is one with the smallest node.  The row is found again by its id and
+    the hash of its text, so no text is hashed word by word again.
     """
     found = near_duplicates(docs, id_col, text_col, similar, bucket)
-    first = found.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "node")).alias("k"))
-    chosen = first.select(F.col("k.none").alias("__none"), F.coalesce("k.id", F.lit(0)).alias("__id"), F.col("k.node").alias("__node"))
-
-    @F.pandas_udf("long")
-    def node_of(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for series in values:
-            batch = pa.RecordBatch.from_arrays([pa.array(series, pa.string())], ["text"])
-            parts = [_runs(part.column("text"))[0] for part in slices(batch, "text")]
-            yield pd.Series(np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64))
-
-    named = docs.withColumns({"__none": F.col(id_col).isNull(), "__id": F.coalesce(F.col(id_col), F.lit(0)), "__node": node_of(F.col(text_col))})
-    return named.join(chosen, ["__none", "__id", "__node"]).dropDuplicates(["__none", "__id", "__node"]).select(*docs.columns)
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "node", F.col("__hash").alias("hash"))
+    first = found.groupBy("root").agg(F.min(key).alias("k"))
+    name = lambda x: F.coalesce(F.col(x).cast("string"), F.lit(""))
+    chosen = first.select(F.col("k.none").alias("__none"), name("k.id").alias("__id"), F.col("k.hash").alias("__hash"))
+    named = docs.withColumns({"__none": F.col(id_col).isNull(), "__id": name(id_col), "__hash": F.xxhash64(text_col)})
+    return named.join(chosen, ["__none", "__id", "__hash"]).dropDuplicates(["__none", "__id", "__hash"]).select(*docs.columns)

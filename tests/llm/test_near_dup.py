@@ -3,9 +3,10 @@
 import random
 import re
 
+import pytest
 import xxhash
 
-from strandmill.llm import near_dup
+from strandmill.llm import near_dup, similar
 
 
 def model(rows):
@@ -88,3 +89,20 @@ def test_links_of_full_and_small_buckets(spark):
     expected = sorted(map(sorted, parts.values()))
     assert linked(spark, sorted(values), 24) == expected
     assert linked(spark, sorted(values), 2) == expected
+
+
+@pytest.mark.parametrize("keep", [near_dup.keep_one, similar.keep_one])
+def test_kept_rows_are_found_without_reading_texts_again(spark, keep):
+    """Rows come back by id and text hash: no Python over the texts after the groups are known."""
+    far = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcdef"]
+    rows = [(5, far[0]), (4, far[0]), (4, far[0]), (4, far[1]), (None, far[2]), (None, far[3]), (None, far[3]), (6, None), (7, ""), (None, far[4]), (0, far[4]), (None, far[5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as fp", "1 as node").repartition(3)
+    got = keep(docs)
+    assert got.columns == docs.columns
+    want = {(4, far[0]), (4, far[1]), (None, far[2]), (None, far[3]), (0, far[4]), (None, far[5])}
+    found = [(r.doc_id, r.text) for r in got.collect()]
+    assert {r for r in found if r[1]} == want
+    empty = [r for r in found if not r[1]]  # null and empty are one fingerprint, and one text without words
+    assert empty == [(6, None)] and len(found) == len(want) + 1
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "MapInArrow" not in plan
