@@ -29,6 +29,47 @@ def test_ids(alphabet):
     assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == whole(texts)
 
 
+def test_ids_of_marks():
+    test_ids("abst \"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~!")
+
+
+@pytest.mark.parametrize("slots", [4, 1 << 20])
+def test_kept_parts(monkeypatch, slots):
+    """Ids of parts outlast a task in a table of fixed size; parts that share a place or are long stay right."""
+    monkeypatch.setattr(tokens, "SLOTS", slots)
+    coder = tokens.Encoder(PATH)
+    monkeypatch.setattr(tokens, "encoder", lambda path: coder)
+    asked = []
+    code = coder._coded
+    monkeypatch.setattr(coder, "_coded", lambda parts: asked.append(parts) or code(parts))
+    rng = random.Random(7)
+    letters, marks = "abcdefgéßÿABÀ", [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
+    words = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 24))) + "".join(rng.choice(marks) for _ in range(rng.randrange(4))) for _ in range(3000)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(20))) for _ in range(400)] + ["", None, "''", "a'", "dog's'", "12 34"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    sizes = []
+    for _ in range(2):
+        asked.clear()
+        ((_, ids, bounds),) = tokens.encoded([batch], "text", PATH)
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == whole(texts)
+        sizes.append(sum(map(len, asked)))
+    assert coder.known.lanes.shape == (2, slots)
+    if slots > 4:
+        assert sizes[1] < sizes[0] / 2  # parts of over 16 bytes or 8 ids, and those that shared a place
+    assert tokens.encode(pa.array(["", None]), PATH)[0].tolist() == [2, 2]
+    assert tokens.encode(pa.array(["12"]), PATH)[0].tolist() == whole(["12"])[0]
+
+
+def test_model_without_word_ends():
+    """Where ids don't tell where a word ends, parts are encoded one at a time."""
+    coder = tokens.Encoder(PATH)
+    parts = ["the", "hallo", "naïve", "!!?"]
+    ids, sizes = coder._coded(parts)
+    coder.last[:] = False
+    again, same = coder._coded(parts)
+    assert ids.tolist() == again.tolist() and sizes.tolist() == same.tolist()
+
+
 @pytest.mark.parametrize("top", [0, 1, 5, 300, 49407, 70000])
 def test_shard(top):
     rng = np.random.default_rng(top)
