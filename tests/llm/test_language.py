@@ -53,3 +53,18 @@ def test_nothing_to_learn(spark):
     assert language.fit(df) is None
     assert language.predict(df, None).first().language == ("und", 0.0)
     assert language.fit(df.limit(0)) is None and language.predict(df.limit(0), None).collect() == []
+
+
+def test_texts_reach_the_model_in_small_slices(spark, monkeypatch):
+    """A batch of many texts is laid out a slice at a time, and the answer does not depend on the slices."""
+    rows = [(i, t * 30, k) for i, (t, k) in enumerate([("the cat and the dog ", "aa"), ("der hund und die katze ", "bb")] * 40)]
+    docs = spark.createDataFrame([*rows, (900, None, None), (901, "12 3", None)], "doc_id long, text string, lang string").coalesce(1)
+    net = language.fit(docs)
+    whole = language.predict(docs, net)
+    assert "ArrowEvalPython" in whole._jdf.queryExecution().executedPlan().toString()
+    want = {r.doc_id: r.language for r in whole.collect()}
+    monkeypatch.setattr(language, "SLICE", 700)
+    got = {r.doc_id: r.language for r in language.predict(docs, net).collect()}
+    assert {i: x.lang_pred for i, x in got.items()} == {i: x.lang_pred for i, x in want.items()}
+    assert all(abs(got[i].score - want[i].score) < 1e-6 for i in got) and got[900].lang_pred == got[901].lang_pred == "und"
+    assert language.SLICE < 1 << 20 and not hasattr(language, "pd")
