@@ -26,8 +26,10 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of linked fingerprints, as op8 finds them, and
-    then of each group of texts that share 0.8 of their five-word runs."""
-    return similar.keep_one(kept(near_dup.keep_one(docs), "fingerprints"))
+    then of each group of texts that share 0.8 of their five-word runs.
+
+    What the first step keeps is told by id and hash, so that no text is stored between the two."""
+    return similar.keep_one(docs, among=kept(near_dup.firsts(docs), "firsts"))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

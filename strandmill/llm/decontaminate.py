@@ -185,7 +185,7 @@ def contamination(
     counts = _count_in_corpus(docs, text_col, widths, context.broadcast(bitmap_of(hashes, "hash", 64)))
     anchors = kept(_anchors(items, counts), "anchors")
     near_anchor = context.broadcast(bitmap_of(anchors.select("hash").distinct(), "hash", 64))
-    found = kept(_places(docs, id_col, text_col, widths, window, near_anchor), "places")
+    found = kept(_places(docs, id_col, text_col, widths, window, near_anchor), "places", "zstd")
     hits = found.where(F.size("places") > 0).distinct().select("id", "same", "n_words", F.explode("places").alias("p"))
     hits = hits.select("id", "same", "n_words", "p.*")
     near = hits.join(anchors.withColumnRenamed("at", "anchor"), "hash").where(

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandmill.llm.bitmap import bitmap_of, passes
@@ -200,17 +200,35 @@ def near_duplicates(
     return prints.join(label, "fp").select(id_col, "fp", "root", "component", *(["__hash"] if with_hash else []))
 
 
+def _named(docs: DataFrame, id_col: str) -> list[Column]:
+    return [F.col(id_col).isNull().alias("__none"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("__id")]
+
+
+def first_of(found: DataFrame, id_col: str, node_col: str) -> DataFrame:
+    """(__none, __id, __hash) of the row with the smallest id of each ``root`` in ``found``; without an id, or among
+    equal ids, of one with the smallest node."""
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(node_col).alias("node"), F.col("__hash").alias("hash"))
+    first = found.groupBy("root").agg(F.min(key).alias("k")).select("k.*")
+    return first.select(*_named(first, "id"), F.col("hash").alias("__hash"))
+
+
+def rows_of(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str | None = None) -> DataFrame:
+    """One row of ``docs`` for each row of ``chosen``, found again by its id and the hash of its text, so no text is
+    hashed word by word again; without ``text_col``, ``docs`` has that hash as ``__hash``."""
+    # Join and removal of repeats use the same keys, so the rows are shuffled once.
+    keys = ["__none", "__id", "__hash"]
+    named = docs.select("*", *_named(docs, id_col), *([F.xxhash64(text_col).alias("__hash")] if text_col else []))
+    return named.join(chosen, keys).dropDuplicates(keys).select(*docs.columns)
+
+
+def firsts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
+    """What ``rows_of`` needs to find one row of each group of near duplicates: that with the smallest id."""
+    return first_of(near_duplicates(docs, id_col, text_col, shingle, bits, with_hash=True), id_col, "fp")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: that with the smallest id.
 
-    Without an id, or among equal ids, it is one with the smallest fingerprint.  The row is found again by its
-    id and the hash of its text, so no text is fingerprinted twice.
+    Without an id, or among equal ids, it is one with the smallest fingerprint.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle, bits, with_hash=True)
-    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "fp", F.col("__hash").alias("hash"))
-    first = found.groupBy("root").agg(F.min(key).alias("k"))
-    name = lambda x: F.coalesce(F.col(x).cast("string"), F.lit(""))
-    chosen = first.select(F.col("k.none").alias("__none"), name("k.id").alias("__id"), F.col("k.hash").alias("__hash"))
-    # Join and removal of repeats use the same keys, so the texts are shuffled once.
-    named = docs.withColumns({"__none": F.col(id_col).isNull(), "__id": name(id_col), "__hash": F.xxhash64(text_col)})
-    return named.join(chosen, ["__none", "__id", "__hash"]).dropDuplicates(["__none", "__id", "__hash"]).select(*docs.columns)
+    return rows_of(docs, firsts(docs, id_col, text_col, shingle, bits), id_col, text_col)

@@ -187,7 +187,7 @@ def pack_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _packed(docs, id_col, text_col, vocabulary, window, slack, column, column_kind, make) -> DataFrame:
-    rows = kept(_encoded(docs, id_col, text_col, vocabulary or tokens.vocabulary(), window), "encoded")
+    rows = kept(_encoded(docs, id_col, text_col, vocabulary or tokens.vocabulary(), window), "encoded", "zstd")
     kind = rows.schema["id"].dataType.simpleString()
     # Per block and remainder: rows before.  Both tables are far smaller than the rows.
     per = rows.groupBy("rest", "block").agg(F.count("*").alias("m"))

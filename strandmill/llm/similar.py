@@ -8,11 +8,12 @@ Texts of equal words are one node.  A bucket is first linked through one leader,
 groups of copies in a row per member.  What stays apart is then compared pair by pair in buckets of
 up to ``BUCKET`` nodes, and in larger ones with further leaders, another in each bucket and
 round, until a round finds no link.  What then still is apart in one bucket is paired wherever the
-first hashes of two sets meet, which they do for all sets as similar as asked, so no link is lost.
+rarest runs of two sets meet, which they do for all sets as similar as asked, so no link is lost.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandmill.llm.bitmap import bitmap_of, passes
-from strandmill.llm.near_dup import components
+from strandmill.llm.near_dup import components, first_of, rows_of
 from strandmill.llm.store import kept
 from strandmill.llm.words import BLANKS_LOWER, Words, mix, roll, slices
 
@@ -30,6 +31,8 @@ SIMILAR = 0.8
 BANDS, ROWS = 16, 4
 BUCKET = 24
 LEAST_ROUNDS = 3
+LEVELS = (2, 16, 128)
+SKETCH = 512
 SLICE = 1 << 20  # bytes of text whose runs are laid out at a time
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _DRAWN = np.random.default_rng(77).integers(0, 1 << 63, (2, BANDS * ROWS)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -142,18 +145,98 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return rows.where("one != two").select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).distinct()
 
 
+def _met(sets: DataFrame) -> DataFrame:
+    """(run, n): the runs of ``sets`` (root, set) that sets of different roots have, and how many sets have them.
+
+    A batch sends a run once.
+    """
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            run = batch.column("set").flatten().to_numpy(zero_copy_only=False)
+            root = np.repeat(batch.column("root").to_numpy(), batch.column("set").value_lengths().to_numpy())
+            order = np.lexsort((root, run))
+            run, root = run[order], root[order]
+            ends = np.flatnonzero(np.diff(run, append=run[-1:] - 1))
+            first = np.concatenate([[0], ends + 1])[: len(ends)]
+            columns = [run[first], ends - first + 1, root[first], root[ends]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["run", "n", "lo", "hi"])
+
+    rows = sets.select("root", "set").mapInArrow(scan, "run int, n long, lo long, hi long")
+    found = rows.groupBy("run").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return found.where("lo != hi").select("run", "n")
+
+
+def _places(run: np.ndarray) -> np.ndarray:
+    """Well-mixed hashes of 32-bit runs."""
+    return mix((run.astype(np.int64).view(np.uint64) + np.uint64(1)) * _STEP)
+
+
+def _common(met: DataFrame) -> list[tuple[np.ndarray, int]]:
+    """Bitmaps of the runs in ``met`` that many sets have, one for each number in ``LEVELS``."""
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_places(batch.column("run").to_numpy()).view(np.int64))], ["h"])
+
+    return [bitmap_of(met.where(F.col("n") >= level).mapInArrow(hashed, "h long"), "h") for level in LEVELS]
+
+
+def _rarest(sets: DataFrame, common: list[tuple[np.ndarray, int]], similar: float) -> DataFrame:
+    """(node, root, n, sketch, more, less) of the ``sets`` (node, root, set) that may be similar to one of another root.
+
+    ``more`` are so many of the rarest runs of a set that one of them is in every similar set, ``less`` those of which
+    one is in every similar set that is no smaller.  ``sketch`` tells for each of ``SKETCH`` classes of runs whether
+    their number is odd.
+    """
+    shared = sets.sparkSession.sparkContext.broadcast(common)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, sizes, sketches, more, less = [], [], [], [], []
+            for r, runs in enumerate(batch.column("set")):
+                run = runs.values.to_numpy()
+                place = _places(run)
+                level = sum(passes(bits, place).astype(np.int8) for bits in shared.value)
+                # Runs of no other root come first in the order and meet nothing.
+                met = np.flatnonzero(level)
+                left = len(met) - _least(len(run), similar) + 1
+                if left <= 0:
+                    continue
+                order = met[np.lexsort((run[met], level[met]))]
+                keep.append(r)
+                sizes.append(len(run))
+                more.append(run[order[:left]])
+                less.append(run[order[: max(0, len(met) - _least(2 * len(run), similar / (1 + similar)) + 1)]])
+                odd = np.bincount((place & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+                sketches.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            take = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node").take(take), batch.column("root").take(take), pa.array(sizes, pa.int64()),
+                 pa.array(sketches, pa.list_(pa.int64())), pa.array(more, pa.list_(pa.int32())), pa.array(less, pa.list_(pa.int32()))],
+                ["node", "root", "n", "sketch", "more", "less"])
+
+    return sets.select("node", "root", "set").mapInArrow(scan, "node long, root long, n long, sketch array<long>, more array<int>, less array<int>")
+
+
+def _least(n: int, share: float) -> int:
+    return math.ceil(n * share - 1e-9)
+
+
 def _meeting(rest: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     """Pairs (one, two) of the (node, root) in ``rest`` with different roots that may be similar.
 
-    Similar sets share ``similar`` of each, so of the smallest hashes of both, as many as may be missing
-    and one more, at least one is the same.
+    Similar sets share ``similar`` of each, so of the first runs of both in any one order, as many as may be missing
+    and one more, at least one is the same.  The order starts with the rarest, which few sets have.  Sets whose
+    sketches differ in more classes than similar sets differ in runs are no pair.
     """
-    enough = F.ceil(F.size("set") * F.lit(similar) - 1e-9).cast("int")
-    first = rest.join(sets, "node").select(
-        "node", "root", F.size("set").alias("n"), F.explode(F.slice("set", F.lit(1), F.size("set") - enough + 1)).alias("run"))
-    other = first.select("run", F.col("node").alias("two"), F.col("root").alias("root2"), F.col("n").alias("n2"))
-    met = first.withColumnRenamed("node", "one").join(other, "run").where("one < two AND root != root2")
-    return met.where(F.least("n", "n2") >= F.lit(similar) * F.greatest("n", "n2") - 1e-9).select("one", "two")
+    own = kept(rest.join(sets, "node").select("node", "root", "set"), "own")
+    first = kept(_rarest(own, _common(kept(_met(own), "met")), similar), "rarest")
+    large = first.select(F.col("node").alias("one"), "root", "n", "sketch", F.explode("more").alias("run"))
+    small = first.select(F.col("node").alias("two"), F.col("root").alias("root2"), F.col("n").alias("n2"), F.col("sketch").alias("sketch2"), F.explode("less").alias("run"))
+    odd = sum(F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("sketch2")[i])) for i in range(SKETCH // 64))
+    both = F.ceil((F.col("n") + F.col("n2")) * F.lit(similar / (1 + similar)) - 1e-9)
+    return large.join(small, "run").where(
+        (F.col("root") != F.col("root2")) & ((F.col("n") > F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("one") > F.col("two"))))
+        & (F.col("n2") >= F.lit(similar) * F.col("n") - 1e-9) & (odd <= F.col("n") + F.col("n2") - 2 * both)).select("one", "two")
 
 
 def links(docs: DataFrame, nodes: DataFrame, text_col: str, similar: float = SIMILAR, bucket: int = BUCKET) -> DataFrame:
@@ -197,26 +280,25 @@ def links(docs: DataFrame, nodes: DataFrame, text_col: str, similar: float = SIM
         members = members.where(F.col("n") > bucket)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, bucket: int = BUCKET) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, bucket: int = BUCKET, among: DataFrame | None = None,
+) -> DataFrame:
     """(id, node, root, __hash): one row per row of ``docs``, rows of one root are a group; ``__hash`` is the XXH64
-    of the whole text."""
-    prints = kept(_prints(docs, id_col, text_col), "prints")
+    of the whole text.  With ``among``, only the rows that ``near_dup.rows_of`` finds for it."""
+    prints = _prints(docs, id_col, text_col)
+    prints = kept(prints if among is None else rows_of(prints, among, id_col), "prints")
     nodes = kept(prints.groupBy("node").agg(F.first("bands").alias("bands")), "nodes")
     roots = links(docs, nodes, text_col, similar, bucket).withColumnRenamed("fp", "node")
     named = prints.select(id_col, "node", "__hash").join(roots, "node", "left")
     return named.select(id_col, "node", F.coalesce("root", "node").alias("root"), "__hash")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, bucket: int = BUCKET) -> DataFrame:
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, bucket: int = BUCKET, among: DataFrame | None = None,
+) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: that with the smallest id.
 
-    Without an id, or among equal ids, it is one with the smallest node.  The row is found again by its id and
-    the hash of its text, so no text is hashed word by word again.
+    Without an id, or among equal ids, it is one with the smallest node.  ``among`` as in ``near_duplicates``.
     """
-    found = near_duplicates(docs, id_col, text_col, similar, bucket)
-    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "node", F.col("__hash").alias("hash"))
-    first = found.groupBy("root").agg(F.min(key).alias("k"))
-    name = lambda x: F.coalesce(F.col(x).cast("string"), F.lit(""))
-    chosen = first.select(F.col("k.none").alias("__none"), name("k.id").alias("__id"), F.col("k.hash").alias("__hash"))
-    named = docs.withColumns({"__none": F.col(id_col).isNull(), "__id": name(id_col), "__hash": F.xxhash64(text_col)})
-    return named.join(chosen, ["__none", "__id", "__hash"]).dropDuplicates(["__none", "__id", "__hash"]).select(*docs.columns)
+    found = near_duplicates(docs, id_col, text_col, similar, bucket, among)
+    return rows_of(docs, first_of(found, id_col, "node"), id_col, text_col)

@@ -296,7 +296,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
         return pd.Series(passes(wanted.value, keys.to_numpy().view(np.uint64)))
 
     # Bucketed by text, so that what belongs to a text later meets it without moving it again.
-    sources = bucketed(texts.where(may_repeat("c1")).join(spots, ["c1", "c2"]).where("id = uid").select("c1", "c2", "base", "text", "places"), "sources", ["c1", "c2"])
+    sources = bucketed(texts.where(may_repeat("c1")).join(spots, ["c1", "c2"]).where("id = uid").select("c1", "c2", "base", "text", "places"), "sources", ["c1", "c2"], "zstd")
     paths = kept(_paths(_edges(sources, width, seed)), "paths")
     spans = _starts(sources, context.broadcast(bitmap_of(paths, "edge")), width, seed).join(paths, "edge")
     spans = spans.groupBy("c1", "c2").agg(F.collect_set(F.struct("edge", "at", "size")).alias("spans"))

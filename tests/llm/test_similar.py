@@ -106,3 +106,40 @@ def test_pipeline_stage_links_fingerprints(spark, docs_schema):
     assert linked and not got & linked
     left = {r.doc_id for r in corpus_pipeline.similar.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert left & linked  # the runs alone would keep them
+
+
+def test_meeting_pairs_few_of_many_texts_apart(spark, tmp_path):
+    """Texts that share two thirds of their runs are no candidates, and no similar pair is lost."""
+    rng = random.Random(21)
+    base = list(range(200))
+    rows = []
+    for group in range(150):
+        own = base[:160] + rng.sample(range(10_000, 900_000), 40)
+        for other in (own, own[:190] + rng.sample(range(10_000, 900_000), 10)) if group < 10 else (own,):
+            rows.append((len(rows), len(rows), sorted(other)))
+    rows += [(1000 + i, 1000, sorted(base[: 9 + i])) for i in range(30)] + [(2000, 2000, base[:1]), (2001, 2001, base[:1])]
+    spark.createDataFrame([(n, s) for n, _, s in rows], "node long, `set` array<int>").write.parquet(f"{tmp_path}/sets")
+    rest = spark.createDataFrame([r[:2] for r in rows], "node long, root long")
+    met = similar._meeting(rest, spark.read.parquet(f"{tmp_path}/sets"), similar.SIMILAR).collect()
+    both = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] != b[1] and both(a[2], b[2]) >= similar.SIMILAR - 1e-9}
+    assert want and want <= {(min(r), max(r)) for r in met}
+    assert len(met) < 2000  # of 13,000 pairs that share 160 of 200 runs
+
+
+def test_no_text_is_stored_between_the_steps(spark, docs_schema, tmp_path):
+    """What the near-duplicate stage leaves in the shared folder is far smaller than its texts."""
+    from pathlib import Path
+
+    import corpus_pipeline
+    from strandmill.session import checkpoint_dir
+
+    rng = random.Random(22)
+    rows = [(i, " ".join(f"w{rng.randrange(10**9)}" for _ in range(3000)), "a", "s", 1) for i in range(60)]
+    spark.createDataFrame(rows, docs_schema).write.parquet(f"{tmp_path}/docs")
+    size = lambda files: sum(p.stat().st_size for p in files)
+    folder = Path(checkpoint_dir(spark).removeprefix("file:"))
+    before = set(folder.rglob("*.parquet"))
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.read.parquet(f"{tmp_path}/docs"), "")
+    assert got.count() == 60
+    assert size(set(folder.rglob("*.parquet")) - before) < 0.2 * size((tmp_path / "docs").rglob("*.parquet"))
